@@ -51,7 +51,7 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     h64, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         hashes = np.array([h64(text[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -181,14 +181,16 @@ def near_duplicates(docs: DataFrame, differ: int = BITS, shingle: int = SHINGLE,
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The row of ``docs`` with the smallest key of each group of near-duplicates; all columns.
 
-    Keys are taken to be unique.  Of rows that repeat the smallest key one
-    stays; of groups without any key, one row of each text.
+    Keys are taken to be unique; of rows that repeat the smallest key one
+    stays.  Rows without a key cannot be named as duplicates of others: one of
+    each text stays.
     """
-    kept = near_duplicates(docs, key=key, text=text, **more).filter(F.col(key).eqNullSafe(F.col("component"))).groupBy(key).agg(F.count("*").alias("_n"))
-    kept = cut(kept)
-    single = kept.filter("_n = 1").select(F.col(key).alias("_kept"))
-    twice = kept.filter("_n > 1").select(F.col(key).alias("_kept"))
-    out = docs.join(broadcast_if_small(single, 16), docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    if not twice.isEmpty():
-        out = out.unionByName(docs.join(broadcast_if_small(twice, 16), docs[key].eqNullSafe(F.col("_kept")), "left_semi").withColumn("_text", F.when(F.col(key).isNull(), F.col(text))).dropDuplicates([key, "_text"]).drop("_text"))
-    return out
+    kept = near_duplicates(docs, key=key, text=text, **more).filter(F.col(key) == F.col("component"))
+    kept = cut(kept.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")))
+
+    def rows(ids: DataFrame) -> DataFrame:
+        return docs.join(broadcast_if_small(ids.select("_kept"), 16), docs[key] == F.col("_kept"), "left_semi")
+
+    out = rows(kept.filter("_n = 1")).unionByName(docs.filter(F.col(key).isNull()).dropDuplicates([text]))
+    twice = kept.filter("_n > 1")
+    return out if twice.isEmpty() else out.unionByName(rows(twice).dropDuplicates([key]))
