@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 from .words import alnum_words, utf8
 
 WINDOW = 13
@@ -250,6 +250,14 @@ def contaminated():
     return (n_hit() > 0) & (n_hit() * 20 >= F.col("n_words"))
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated; all columns.  Rows that agree in key and text are judged alike."""
+    row = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.sha2(text, 256))
+    rows = docs.select(row.alias("_gapline_row"), F.col(text).alias("text"))
+    bad = cut(contaminated_words(rows, items, key="_gapline_row", text="text", **more).filter(contaminated()).select("_gapline_row").distinct())
+    return docs.withColumn("_gapline_row", row).join(broadcast_if_small(bad, 160), "_gapline_row", "left_anti").select(*docs.columns)
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
     """The same by comparing every window at every word, for tests: (key, n_words, n_hit, items)."""
     by_words, out = windows_of([("" if k is None else str(k), t.encode()) for k, t in items if t is not None], window), []

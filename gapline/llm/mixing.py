@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, key_digest, running_totals
+from .common import broadcast_if_small, cut, key_digest, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 Knots = list[tuple[float, float]]
@@ -121,3 +121,22 @@ def mix(docs: DataFrame, max_passes: int = 3, whole: bool = False, schedule: Cal
     return rows.orderBy("_sort", "_key").select(
         F.col("_key").alias(key), "size", "source_size", "target", F.aggregate("takes", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("taken"), F.size("takes").alias("passes"), "position", "takes"
     )
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """The mix as rows of ``docs``: each as often as the mix takes it, whole; all columns.
+
+    Rows that agree in key and text are one to the join, and appear as often
+    as the mix takes all of them together.
+    """
+    row = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.sha2(text, 256), F.lit("-"))))
+    mixed = mix(docs.withColumn("_gapline_row", row), whole=True, key="_gapline_row", text=text, **more)
+    taken = cut(mixed.filter("passes > 0").groupBy("_gapline_row").agg(F.sum("passes").cast("int").alias("_gapline_passes"), F.count("*").alias("_gapline_rows")))
+
+    def rows(some: DataFrame) -> DataFrame:
+        return docs.withColumn("_gapline_row", row).join(broadcast_if_small(some.drop("_gapline_rows"), 96), "_gapline_row").drop("_gapline_row")
+
+    out, twice = rows(taken.filter("_gapline_rows = 1")), taken.filter("_gapline_rows > 1")
+    if not twice.isEmpty():
+        out = out.unionByName(rows(twice).dropDuplicates([key, text]))
+    return out.withColumn("_gapline_pass", F.explode(F.sequence(F.lit(1), "_gapline_passes"))).select(*docs.columns)

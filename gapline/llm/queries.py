@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, mixing, sharding, simhash
-from .common import table
+from . import chat, decontamination, languages, licenses, matroska, mixing, passages, sharding, simhash, tokens
+from .common import new_dir, table
+
+#: The id put after each document.
+END = 2
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +89,38 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")})
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op4_licenses": op4_licenses, "op5_simhash": op5_simhash, "op9_chat": op9_chat}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary file, which every machine has; imported here, so that the other queries do without it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), END)
+    return tokens.read_tokens(spark, written)
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = new_dir(spark, "media")
+    matroska.store_media(table(spark, sf_dir, "documents")).write.parquet(stored, compression="zstd")
+    found = matroska.media_digest(spark.read.parquet(stored))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+
+
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.fit(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_decontamination, op4_licenses, op5_simhash, op6_tokens, op7_passages, op8_matroska, op9_chat, op10_languages)}
 ORACLE_SQL = {"op1_mixing": OP1_SQL}
