@@ -73,3 +73,8 @@ def running_totals(df: DataFrame, group: list[str], bucket: str, order: list[str
 def key_digest(*columns: str) -> Column:
     """32 hex digits that order rows at random and alike in every run; null counts as empty."""
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+
+
+def row_digest(key: str, text: str) -> Column:
+    """32 hex digits that rows share only if they agree in key and text, nulls included."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.sha2(text, 256), F.lit("-"))))

@@ -30,8 +30,8 @@ FIT_DOCS, FIT_PIECE = 512, 320
 FIT_LETTERS = 160_000
 #: The most frequent labels are learned, so many at most.
 MAX_LANGUAGES = 64
-#: Texts whose best language needs more bits a letter than this are in none of them.
-MAX_BITS = 12.0
+#: Texts of which even the best language needs more phrases a letter than this are in none of them.
+MAX_RATE = 0.75
 STRETCH = 512
 #: Letters walked at once.
 BATCH = 1 << 20
@@ -220,41 +220,41 @@ def fit(docs: DataFrame, learnable: Column | None = None, key: str = "doc_id", t
 
 
 def predictor(model: Model):
-    """An Arrow function of a text column: struct<lang_pred string, score double, bits double>."""
-    labels = [label for label, _ in model.texts]
+    """An Arrow function of a text column: struct<lang_pred string, score double, rate double>."""
+    labels, logs = [label for label, _ in model.texts], [math.log2(len(text) + 1) for _, text in model.texts]
 
-    @F.arrow_udf("struct<lang_pred:string,score:double,bits:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,rate:double>")
     def predict(texts: pa.Array) -> pa.Array:
         if not labels:
             n = len(texts)
-            return pa.StructArray.from_arrays([pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([None] * n, pa.float64())], ["lang_pred", "score", "bits"])
+            return pa.StructArray.from_arrays([pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([None] * n, pa.float64())], ["lang_pred", "score", "rate"])
         letters, bits = model.bits(texts.to_pylist())
         best, none = bits.argmin(axis=1), letters == 0  # ties go to the label that comes first
         least = bits.min(axis=1)
         second = np.partition(bits, 1, axis=1)[:, 1] if len(labels) > 1 else np.full(len(bits), np.inf)
         score = np.where(none | (second == 0), 0.0, 1 - least / np.maximum(second, 1e-300))
         named = [UNKNOWN if x else labels[i] for i, x in zip(best, none, strict=True)]
-        return pa.StructArray.from_arrays([pa.array(named), pa.array(score), pa.array(least, mask=none)], ["lang_pred", "score", "bits"])
+        return pa.StructArray.from_arrays([pa.array(named), pa.array(score), pa.array(least / np.array(logs)[best], mask=none)], ["lang_pred", "score", "rate"])
 
     return predict
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, lang_pred, score, bits.
+    """Per row of ``docs``: key, lang_pred, score, rate.
 
     ``score`` is how much less the winner needs than the next language, 0 to
-    1; ``bits`` the winner's bits a letter.  Null texts and texts without
-    letters are ``und`` with score 0 and null bits, and so is every text if
+    1; ``rate`` the winner's phrases a letter.  Null texts and texts without
+    letters are ``und`` with score 0 and null rate, and so is every text if
     nothing was learned.  Rows stay where they are.
     """
-    return docs.select(F.col(key), predictor(model)(F.col(text)).alias("_found")).select(key, "_found.lang_pred", "_found.score", "_found.bits")
+    return docs.select(F.col(key), predictor(model)(F.col(text)).alias("_found")).select(key, "_found.lang_pred", "_found.score", "_found.rate")
 
 
-def in_a_known_language(docs: DataFrame, model: Model, text: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
+def in_a_known_language(docs: DataFrame, model: Model, text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of ``docs`` that are in a language of the model, unchanged.
 
-    Rejected are ``und`` and texts whose best language needs over ``max_bits``
-    bits a letter: these are no prose of any of them.
+    Rejected are ``und`` and texts whose best language needs over ``max_rate``
+    phrases a letter: these are no prose of any of them.
     """
     found = docs.withColumn("_gapline_found", predictor(model)(F.col(text)))
-    return found.filter((F.col("_gapline_found.lang_pred") != UNKNOWN) & (F.col("_gapline_found.bits") <= max_bits)).drop("_gapline_found")
+    return found.filter((F.col("_gapline_found.lang_pred") != UNKNOWN) & (F.col("_gapline_found.rate") <= max_rate)).drop("_gapline_found")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, key_digest, running_totals
+from .common import broadcast_if_small, cut, key_digest, row_digest, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 Knots = list[tuple[float, float]]
@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     Rows that agree in key and text are one to the join, and appear as often
     as the mix takes all of them together.
     """
-    row = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.sha2(text, 256), F.lit("-"))))
+    row = row_digest(key, text)
     mixed = mix(docs.withColumn("_gapline_row", row), whole=True, key="_gapline_row", text=text, **more)
     taken = cut(mixed.filter("passes > 0").groupBy("_gapline_row").agg(F.sum("passes").cast("int").alias("_gapline_passes"), F.count("*").alias("_gapline_rows")))
 

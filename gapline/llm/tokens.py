@@ -81,8 +81,8 @@ class Encoder:
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(new) or (len(cuts) and cuts[-1] != len(ids)):
             raise ValueError("the tokenizers file parts words in another way")
-        width, raw = self.kind.itemsize, ids.tobytes()
-        for part, a, b in zip(new, [0, *(cuts[:-1] * width).tolist()], (cuts * width).tolist(), strict=True):
+        raw, cuts = ids.tobytes(), (np.concatenate([[0], cuts]) * self.kind.itemsize).tolist()
+        for part, a, b in zip(new, cuts[:-1], cuts[1:], strict=True):
             self.parts[part] = raw[a:b]
         parts = self.parts.old | self.parts if self.parts.old else self.parts
         for piece, found in plain.items():
