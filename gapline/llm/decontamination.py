@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, row_digest
 from .words import alnum_words, utf8
 
 WINDOW = 13
@@ -37,6 +37,8 @@ SEGMENT_WORDS = 2_000_000
 BLOCK_BYTES = 8 << 20
 #: Words that a proximity match may be moved by, and the share of a window's words it needs.
 SLOP, NEAR_SHARE = 2, 0.8
+#: Places compared at once.
+NEAR_ROWS = 1 << 14
 
 SEGMENT = "segment long, doc array<string>, start array<int>, term array<int>, first array<int>, place array<int>"
 
@@ -127,15 +129,15 @@ def _near(seg: dict, window: np.ndarray, rarest: int, slop: int, share: float) -
     """Starts at which the rarest word stands in its place and at least ``share`` of the words within ``slop`` of theirs."""
     at = _places(seg, window[rarest]) - rarest
     at = at[(at >= 0) & (at + len(window) < len(seg["words"]))]
-    if not len(at):
-        return at
-    score = np.zeros(len(at), np.int32)
-    for j, w in enumerate(window):
-        hit = np.zeros(len(at), bool)
-        for d in range(-slop, slop + 1):
-            hit |= seg["words"][np.clip(at + j + d, 0, len(seg["words"]) - 1)] == w
-        score += hit
-    return at[score >= np.ceil(share * len(window))]
+    found, reach = [], np.arange(len(window) + 2 * slop)
+    for i in range(0, len(at), NEAR_ROWS):
+        some = at[i : i + NEAR_ROWS]
+        around = seg["padded"][some[:, None] + reach]  # the words from slop before each place to slop behind
+        hit = around[:, : len(window)] == window
+        for d in range(1, 2 * slop + 1):
+            hit |= around[:, d : d + len(window)] == window
+        found.append(some[hit.sum(axis=1) >= np.ceil(share * len(window))])
+    return np.concatenate(found) if found else at
 
 
 MATCH = "segment long, n int, doc string, n_words long, spans array<struct<start:int,end:int>>, items array<string>, near_items array<string>"
@@ -155,7 +157,7 @@ def find_matches(index: DataFrame, windows: list[tuple[tuple[int, ...], list[str
         start, docs = seg["start"], row.column("doc")[i].as_py()
         words = np.full(start[-1], -1, np.int32)
         words[seg["place"]] = np.repeat(seg["term"], np.diff(seg["first"]))
-        seg["words"] = words
+        seg["words"], seg["padded"] = words, np.pad(words, slop, constant_values=-1)
         hit, items, near = np.zeros(len(words) + 1, np.int32), defaultdict(set), defaultdict(set)
         for w, by, (_, names) in zip(numbers, order, windows, strict=True):
             at = _lookup(seg, w, by)
@@ -252,10 +254,10 @@ def contaminated():
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated; all columns.  Rows that agree in key and text are judged alike."""
-    row = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.sha2(text, 256))
+    row = row_digest(key, text)
     rows = docs.select(row.alias("_gapline_row"), F.col(text).alias("text"))
     bad = cut(contaminated_words(rows, items, key="_gapline_row", text="text", **more).filter(contaminated()).select("_gapline_row").distinct())
-    return docs.withColumn("_gapline_row", row).join(broadcast_if_small(bad, 160), "_gapline_row", "left_anti").select(*docs.columns)
+    return docs.withColumn("_gapline_row", row).join(broadcast_if_small(bad, 96), "_gapline_row", "left_anti").select(*docs.columns)
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
