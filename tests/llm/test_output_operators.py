@@ -77,8 +77,7 @@ def test_encoder_equals_the_library():
     rng = random.Random(4)
     alphabet = "abcXYZ '’.,!?éÉßΣ12²½_\x1c\x85\xa0́\n\t<|>日ﬁİ"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)] + ["<|startoftext|>A <|EndOfText|>"]
-    encode = tokens.Encoder(queries.tokenizer_path())
-    encode.pieces.size = encode.parts.size = 900
+    encode = tokens.Encoder(queries.tokenizer_path(), 900)
     want = [x.ids for x in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = [ids.tolist() for i in range(0, len(texts), 50) for ids in encode(texts[i : i + 50])]
     assert got == want
