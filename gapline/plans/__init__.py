@@ -1,4 +1,4 @@
 """Queries that bind the operators to the tables, each with its SQL where SQL can express it."""
 
-from . import disparity_queries  # noqa: F401
+from . import disparity_queries, list_queries, scalar_queries, series_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
