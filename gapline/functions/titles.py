@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii
 EDITIONS = ["edition", "remastered", "definitive", "complete", "goty", "game of the year"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once, however often the body or functions in it name it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized_title(title: Column) -> Column:
     """Lower-case, colons and dashes to spaces, edition endings and trademark signs gone, single spaces."""
     out = F.regexp_replace(F.regexp_replace(F.trim(F.lower(title)), r"\s*:\s*", " "), r"\s*-\s*", " ")
@@ -69,9 +75,11 @@ def arabic(word: Column) -> Column:
 
 def topic_key(title: Column) -> Column:
     """The first three telling words of a title."""
-    every = words(title)
-    telling = F.filter(every, lambda w: ~w.isin(*STOP) & ((F.length(w) > 2) | w.rlike(r"^\d+$") | w.isin(*ROMAN)))
-    kept = F.transform(F.slice(F.when(F.size(telling) > 0, telling).otherwise(every), 1, 3), arabic)
+    def first_three(every: Column) -> Column:
+        telling = F.filter(every, lambda w: ~w.isin(*STOP) & ((F.length(w) > 2) | w.rlike(r"^\d+$") | w.isin(*ROMAN)))
+        return F.transform(F.slice(F.when(F.size(telling) > 0, telling).otherwise(every), 1, 3), arabic)
+
+    kept = let(words(title), first_three)
     return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise("untitled")
 
 
@@ -111,6 +119,12 @@ def title_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs], pa.float64())
 
 
+def runs(text: Column, n: int) -> Column:
+    """All runs of ``n`` words, as arrays."""
+    none = F.expr("cast(array() as array<array<string>>)")
+    return let(words(text), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n))).otherwise(none))
+
+
 def series_markers(title: Column) -> Column:
     """Numbers in a title, roman ones too, that tell parts of a series apart; years are left out."""
     numbers = F.filter(F.transform(words(title), arabic), lambda w: w.rlike(r"^\d+$") & ~w.rlike(r"^(19|20)\d\d$"))

@@ -224,21 +224,20 @@ def milestones(spark, d):
     return reached.filter(F.size("reached") > 0).select("item", "day", F.array_max("reached").alias("milestone"))
 
 
-@query("JOI-03_reviews_with_dims", views("reviews", then="""SELECT r.critic, c.c_name AS critic_name, s.s_name AS outlet_name, r.item, r.score FROM reviews r JOIN customer c ON r.critic = c.c_custkey LEFT JOIN supplier s ON r.outlet = s.s_suppkey WHERE r.score >= 90"""))
+@query("JOI-03_reviews_with_dims", views("reviews", then="""SELECT r.critic, c.c_name AS critic_name, s.s_name AS outlet_name, r.item, r.score FROM reviews r JOIN customer c ON r.critic = c.c_custkey LEFT JOIN supplier s ON r.outlet = s.s_suppkey"""))
 def reviews_with_dims(spark, d):
     critics = b.table(spark, d, "customer").select(F.col("c_custkey").alias("critic"), F.col("c_name").alias("critic_name"))
     outlets = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("outlet"), F.col("s_name").alias("outlet_name"))
-    rows = b.reviews(spark, d).filter("score >= 90").withColumn("outlet", F.col("outlet").cast("int"))
+    rows = b.reviews(spark, d).withColumn("outlet", F.col("outlet").cast("int"))
     return rows.join(critics, "critic").join(outlets, "outlet", "left").select("critic", "critic_name", "outlet_name", "item", "score")
 
 
 @query("JOI-05_full_reviews", views("reviews", "items", then="""SELECT r.review_id, i.title, c.c_name AS critic_name, s.s_name AS outlet_name, r.score FROM reviews r JOIN items i ON r.item = i.item
-    JOIN customer c ON r.critic = c.c_custkey JOIN supplier s ON r.outlet = s.s_suppkey WHERE i.size = 7"""))
+    JOIN customer c ON r.critic = c.c_custkey JOIN supplier s ON r.outlet = s.s_suppkey"""))
 def full_reviews(spark, d):
     critics = b.table(spark, d, "customer").select(F.col("c_custkey").alias("critic"), F.col("c_name").alias("critic_name"))
     outlets = b.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("outlet"), F.col("s_name").alias("outlet_name"))
-    small = b.items(spark, d).filter("size = 7").select("item", "title")
-    return b.reviews(spark, d).join(small, "item").join(critics, "critic").join(outlets, "outlet").select("review_id", "title", "critic_name", "outlet_name", "score")
+    return b.reviews(spark, d).join(b.items(spark, d).select("item", "title"), "item").join(critics, "critic").join(outlets, "outlet").select("review_id", "title", "critic_name", "outlet_name", "score")
 
 
 @query("JOI-07_outlet_critics", views("reviews", then="""+

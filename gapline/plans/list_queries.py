@@ -62,11 +62,11 @@ def item_detail(spark, d):
     return one.crossJoin(early)  # one row each
 
 
-@query("Q-07_item_reviews", views("disparity", "items", then="""SELECT r.item, r.critic, r.outlet, r.s, r.d, r.published_at FROM disparity r JOIN items i ON r.item = i.item WHERE r.item BETWEEN 1 AND 40
+@query("Q-07_item_reviews", views("disparity", "items", then="""SELECT r.item, r.critic, r.outlet, r.s, r.d, r.published_at FROM disparity r JOIN items i ON r.item = i.item WHERE r.item = 5
     AND CAST(r.published_at AS DATE) - i.released BETWEEN 0 AND 60 ORDER BY r.published_at DESC, r.item, r.review_id, r.critic, r.s DESC LIMIT 50"""))
 def item_reviews(spark, d):
     timing = dates.review_timing(F.col("published_at"), F.col("released"))
-    rows = scored_reviews(spark, d).filter("item BETWEEN 1 AND 40").join(b.items(spark, d).select("item", "released"), "item").filter(timing == "launch_window")
+    rows = scored_reviews(spark, d).filter("item = 5").join(b.items(spark, d).select("item", "released"), "item").filter(timing == "launch_window")
     return relational.page(rows, [F.desc("published_at"), F.asc("item"), F.asc("review_id"), F.asc("critic"), F.desc("s")], 1, 50).select("item", "critic", "outlet", "s", "d", "published_at")
 
 
@@ -164,19 +164,19 @@ def quarter_range(spark, d):
     return rows.groupBy(dates.quarter_key(F.col("published_at")).alias("quarter")).agg(F.count("*").alias("n"), disparity.mean("d").alias("avg_d"))
 
 
-@query("CLI-03_heatmap", views("disparity", then=f"SELECT critic, CAST(year(published_at) AS INTEGER) AS year, item, review_id, d / 1000 AS gap, CASE WHEN d IS NULL THEN NULL ELSE {_LEAN} END AS lean FROM disparity WHERE critic <= 20"))
+@query("CLI-03_heatmap", views("disparity", then=f"SELECT critic, CAST(year(published_at) AS INTEGER) AS year, item, review_id, d / 1000 AS gap, CASE WHEN d IS NULL THEN NULL ELSE {_LEAN} END AS lean  FROM disparity"))
 def heatmap(spark, d):
-    rows = scored_reviews(spark, d).filter("critic <= 20")
+    rows = scored_reviews(spark, d)
     return rows.select("critic", F.year("published_at").alias("year"), "item", "review_id", (F.col("d") / 1000).alias("gap"), scores.leaning(F.col("d") / 1000).alias("lean"))
 
 
 @query("CLI-05_beeswarm", views("disparity", then="""SELECT item, review_id, critic, s, CAST(round(s / 1000) AS BIGINT) AS axis, round(CAST(round(s / 1000) AS BIGINT) - 0.4::DOUBLE + CASE WHEN n > 1 THEN 0.8::DOUBLE / (n - 1) * (k - 1) ELSE 0.4::DOUBLE END, 6) AS x FROM
-    (SELECT *, row_number() OVER (PARTITION BY item, s ORDER BY review_id, critic, outlet NULLS FIRST, d) AS k, count(*) OVER (PARTITION BY item, s) AS n FROM disparity WHERE item <= 60)"""))
+    (SELECT *, row_number() OVER (PARTITION BY item, s ORDER BY review_id, critic, outlet NULLS FIRST, d) AS k, count(*) OVER (PARTITION BY item, s) AS n FROM disparity)"""))
 def beeswarm(spark, d):
     from pyspark.sql import Window
 
     group = Window.partitionBy("item", "s")
-    rows = scored_reviews(spark, d).filter("item <= 60").withColumns({"k": F.row_number().over(group.orderBy("review_id", "critic", F.asc_nulls_first("outlet"), "d")), "n": F.count("*").over(group)})
+    rows = scored_reviews(spark, d).withColumns({"k": F.row_number().over(group.orderBy("review_id", "critic", F.asc_nulls_first("outlet"), "d")), "n": F.count("*").over(group)})
     axis = F.round(F.col("s") / 1000).cast("long")
     x = axis - F.lit(0.4) + F.when(F.col("n") > 1, F.try_divide(F.lit(0.8), F.col("n") - 1) * (F.col("k") - 1)).otherwise(0.4)
     return rows.select("item", "review_id", "critic", "s", axis.alias("axis"), F.round(x, 6).alias("x"))
@@ -190,18 +190,18 @@ def outliers(spark, d):
     return rows.join(means, "item").filter(F.abs(F.col("s") - F.col("mean")) >= 10000).groupBy("item").agg(F.max("s").alias("highest"), F.min("s").alias("lowest"))
 
 
-@query("CLI-07_alignment", views("disparity", then="""SELECT item, critic, d, CASE WHEN d > 0 THEN 'above' ELSE 'below' END AS side FROM (SELECT * FROM disparity WHERE item <= 100 QUALIFY row_number() OVER (PARTITION BY item, critic ORDER BY published_at, review_id, s, outlet NULLS FIRST) = 1) WHERE d <> 0"""))
+@query("CLI-07_alignment", views("disparity", then="""SELECT item, critic, d, CASE WHEN d > 0 THEN 'above' ELSE 'below' END AS side FROM (SELECT * FROM disparity QUALIFY row_number() OVER (PARTITION BY item, critic ORDER BY published_at, review_id, s, outlet NULLS FIRST) = 1) WHERE d <> 0"""))
 def alignment(spark, d):
-    first = relational.topk_per_group(scored_reviews(spark, d).filter("item <= 100"), ["item", "critic"], [F.asc("published_at"), F.asc("review_id"), F.asc("s"), F.asc_nulls_first("outlet")])
+    first = relational.topk_per_group(scored_reviews(spark, d), ["item", "critic"], [F.asc("published_at"), F.asc("review_id"), F.asc("s"), F.asc_nulls_first("outlet")])
     return first.filter("d <> 0").select("item", "critic", "d", F.when(F.col("d") > 0, "above").otherwise("below").alias("side"))
 
 
-@query("SET-04_event_timeline", views("disparity", "items", "articles", then="""SELECT item, 'release' AS kind, CAST(released AS TIMESTAMP) AS moment, title AS detail FROM items WHERE released IS NOT NULL AND item <= 50
-    UNION ALL SELECT item, 'review', published_at, CAST(s AS VARCHAR) FROM disparity WHERE item <= 50 UNION ALL SELECT item, 'news', published_at, source FROM articles WHERE item IS NOT NULL"""))
+@query("SET-04_event_timeline", views("disparity", "items", "articles", then="""SELECT item, 'release' AS kind, CAST(released AS TIMESTAMP) AS moment, title AS detail FROM items WHERE released IS NOT NULL
+    UNION ALL SELECT item, 'review', published_at, CAST(s AS VARCHAR) FROM disparity UNION ALL SELECT item, 'news', published_at, source FROM articles WHERE item IS NOT NULL"""))
 def event_timeline(spark, d):
     shape = lambda rows, kind, at, detail: rows.select(F.col("item").cast("long").alias("item"), F.lit(kind).alias("kind"), F.col(at).cast("timestamp_ntz").alias("moment"), F.col(detail).cast("string").alias("detail"))
-    releases = shape(b.items(spark, d).filter("released IS NOT NULL AND item <= 50"), "release", "released", "title")
-    return releases.unionByName(shape(scored_reviews(spark, d).filter("item <= 50"), "review", "published_at", "s")).unionByName(shape(b.articles(spark, d).filter("item IS NOT NULL"), "news", "published_at", "source"))
+    releases = shape(b.items(spark, d).filter("released IS NOT NULL"), "release", "released", "title")
+    return releases.unionByName(shape(scored_reviews(spark, d), "review", "published_at", "s")).unionByName(shape(b.articles(spark, d).filter("item IS NOT NULL"), "news", "published_at", "source"))
 
 
 @query("WIN-16_first_per_key", views("reviews", then="SELECT critic, item, published_at, review_id FROM reviews QUALIFY row_number() OVER (PARTITION BY critic, item ORDER BY published_at DESC, review_id DESC) = 1"))

@@ -87,7 +87,7 @@ def normalized_titles(spark, d):
 
 @query("FN-24_title_similarity")
 def title_similarity(spark, d):
-    a = b.items(spark, d).filter("item <= 400").select("item", titles.normalized_title(F.col("title")).alias("title"))
+    a = b.items(spark, d).select("item", titles.normalized_title(F.col("title")).alias("title"))
     pairs = a.join(a.select((F.col("item") - 1).alias("item"), F.col("title").alias("next")), "item")
     return pairs.select("item", F.round(titles.title_similarity("title", "next"), 6).alias("similarity"))
 
@@ -99,7 +99,7 @@ def compact(spark, d):
 
 @query("FN-20_ascii_labels")
 def ascii_labels(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", titles.ascii_label(F.substring("text", 1, 200)).alias("label"))
+    return b.table(spark, d, "documents").select("doc_id", titles.ascii_label("text").alias("label"))
 
 
 @query("FN-32_html_text", r"""SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), 1, 8000) AS text FROM pages""")
