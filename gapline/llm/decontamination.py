@@ -32,7 +32,7 @@ WINDOW = 13
 #: Rare words whose posting lists are intersected first.
 RAREST = 3
 #: A segment is closed once it has so many words; a longer document has one of its own.
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 #: Bytes of test items worked through at once.
 BLOCK_BYTES = 8 << 20
 #: Words that a proximity match may be moved by, and the share of a window's words it needs.
@@ -74,7 +74,8 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], key: str = "doc_id", t
             nonlocal n
             n += 1
             made = segment(doc, ids) | {"segment": (task << 32) + n}
-            return pa.RecordBatch.from_pylist([made], schema=schema)
+            listed = lambda name: pa.ListArray.from_arrays([0, len(made[name])], pa.array(made[name], schema.field(name).type.value_type))
+            return pa.RecordBatch.from_arrays([pa.array([made["segment"]], pa.int64()), *(listed(f.name) for f in schema if f.name != "segment")], schema=schema)
 
         doc, ids, total = [], [], 0
         for batch in batches:

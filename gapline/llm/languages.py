@@ -27,7 +27,7 @@ UNKNOWN = "und"
 #: Labelled documents drawn for each language, and letters taken from each: together the bound of what is fitted.
 FIT_DOCS, FIT_PIECE = 512, 320
 #: Letters of all automata together; each language has an equal part.
-FIT_LETTERS = 160_000
+FIT_LETTERS = 120_000
 #: The most frequent labels are learned, so many at most.
 MAX_LANGUAGES = 64
 #: Texts of which even the best language needs more phrases a letter than this are in none of them.
@@ -163,7 +163,7 @@ class _Walker:
         return np.where(has_letters, lengths, 0), out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _walker(model: Model) -> _Walker:
     """Made once in each Python worker."""
     return _Walker(model)

@@ -18,7 +18,7 @@ from . import records
 from .common import broadcast_if_small, new_dir
 
 #: Pieces of text whose ids a task remembers; when so many have come, those not seen since the last time are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Texts encoded together hold at least so many characters, unless they are the last.
 TOGETHER = 1 << 20
 #: Bytes of a piece that numpy looks up; longer ones are looked up one by one.
@@ -130,7 +130,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.table = _Table(remembered, self.kind)
-        self.long, self.parts, self.other = (_Memory(remembered // 2) for _ in range(3))
+        self.long, self.parts, self.other = (_Memory(remembered // 3) for _ in range(3))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
