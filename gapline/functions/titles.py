@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that tell no topic.
 STOP = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "at", "by", "from", "new", "game", "games", "review", "trailer", "news", "update", "how", "why", "what", "this", "that"]
@@ -96,13 +97,13 @@ def strip_html(text: Column, most: int = 8000) -> Column:
     return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, most)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def unescaped(texts: pa.Array) -> pa.Array:
     """All HTML entities decoded."""
     return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def ascii_label(labels: pa.Array) -> pa.Array:
     """A label's plain form: accents gone, lower-case, & as and, other signs as spaces."""
     def one(text: str | None) -> str:
@@ -112,7 +113,7 @@ def ascii_label(labels: pa.Array) -> pa.Array:
     return pa.array(map(one, labels.to_pylist()), pa.string())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def title_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of matching blocks of two normalised titles (Ratcliff and Obershelp); null if either is."""
     pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
