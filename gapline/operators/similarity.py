@@ -149,3 +149,34 @@ def first_source(*ranked: DataFrame, anchor: str = "anchor", least: int = 2) ->
         some = rows.join(enough, anchor, "left_semi")
         out = some if out is None else out.unionByName(some.join(out.select(anchor).distinct(), anchor, "left_anti"))
     return out
+
+
+#: Fixed values of the local scoring profile: the parts' weights, the divisor of the facet score, and what a published pair has at least.
+PROFILE = {"taxonomy": 0.72, "text": 0.08, "facet": 0.05, "prototype": 0.04, "rerank": 0.08, "prior": 0.03}
+DIVISOR, PUBLISHED, LEAST_TAXONOMY = 300, 0.42, 0.38
+
+
+def sparse_cosine(pairs: DataFrame, sparse: DataFrame, key: str) -> DataFrame:
+    """anchor, candidate, cosine of unit vectors in sparse form; pairs without a common bucket have none. Dense vectors are never made."""
+    a = sparse.select(F.col(key).alias("anchor"), "bucket", F.col("value").alias("_a"))
+    c = sparse.select(F.col(key).alias("candidate"), "bucket", F.col("value").alias("_c"))
+    met = pairs.select("anchor", "candidate").join(a, "anchor").join(c, ["candidate", "bucket"])
+    return met.groupBy("anchor", "candidate").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("_a") * F.col("_c")))).alias("cosine"))
+
+
+def final_scores(pairs: DataFrame, profile: dict[str, float] | None = None) -> DataFrame:
+    """``pairs`` with taxonomy (from score) and final, where both are high enough to be published.
+
+    Parts that ``pairs`` lacks count nothing; negative prototypes cost three tenths of their value.
+    """
+    taxonomy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / DIVISOR))
+    part = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in pairs.columns else F.lit(0.0)
+    weights = profile or PROFILE
+    known = pairs.withColumn("taxonomy", taxonomy)
+    final = sum((F.greatest(F.lit(0.0), part(n)) * w for n, w in weights.items() if n != "taxonomy"), F.col("taxonomy") * weights["taxonomy"]) + F.least(F.lit(0.0), part("prototype")) * 0.3
+    return known.withColumn("final", final).filter((F.col("final") >= PUBLISHED) & (F.col("taxonomy") >= LEAST_TAXONOMY))
+
+
+def vector_exceptions(pairs: DataFrame) -> DataFrame:
+    """Pairs outside the taxonomy that are let in: text and re-rank very alike, a positive prototype, and at least one facet shared."""
+    return pairs.filter("text >= 0.88 AND rerank >= 0.80 AND prototype > 0 AND shared > 0")
