@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,17 @@ def running_totals(df: DataFrame, group: list[str], bucket: str, order: list[str
     return inner.join(base, keys).withColumn(into, F.col("_base") + F.col("_within")).drop("_base", "_within")
 
 
+_kept: list[tuple[object, object]] = []
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this Python worker for the tasks that follow, but only until another is asked for."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
 def key_digest(*columns: str) -> Column:
     """32 hex digits that order rows at random and alike in every run; null counts as empty."""
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))

@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, kept
 
 UNKNOWN = "und"
 #: Labelled documents drawn for each language, and letters taken from each: together the bound of what is fitted.
@@ -35,6 +35,8 @@ MAX_RATE = 0.75
 STRETCH = 512
 #: Letters walked at once.
 BATCH = 1 << 20
+#: Texts taken out of an Arrow batch at once.
+ROWS = 512
 GAP, OTHER = 0, 1
 LAST_LETTER = 0x3FFFF
 
@@ -163,10 +165,8 @@ class _Walker:
         return np.where(has_letters, lengths, 0), out
 
 
-@lru_cache(maxsize=1)
 def _walker(model: Model) -> _Walker:
-    """Made once in each Python worker."""
-    return _Walker(model)
+    return kept(model, lambda: _Walker(model))
 
 
 def _draw(docs: DataFrame, learnable: Column, key: str, text: str, lang: str) -> list[tuple[str, str]]:
@@ -228,7 +228,8 @@ def predictor(model: Model):
         if not labels:
             n = len(texts)
             return pa.StructArray.from_arrays([pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([None] * n, pa.float64())], ["lang_pred", "score", "rate"])
-        letters, bits = model.bits(texts.to_pylist())
+        found = [model.bits(texts.slice(i, ROWS).to_pylist()) for i in range(0, len(texts), ROWS)] or [(np.empty(0), np.empty((0, len(labels))))]
+        letters, bits = (np.concatenate(x) for x in zip(*found, strict=True))
         best, none = bits.argmin(axis=1), letters == 0  # ties go to the label that comes first
         least = bits.min(axis=1)
         second = np.partition(bits, 1, axis=1)[:, 1] if len(labels) > 1 else np.full(len(bits), np.inf)

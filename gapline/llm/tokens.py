@@ -7,7 +7,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import records
-from .common import broadcast_if_small, new_dir
+from .common import broadcast_if_small, kept, new_dir
 
 #: Pieces of text whose ids a task remembers; when so many have come, those not seen since the last time are forgotten.
 REMEMBERED = 250_000
@@ -213,9 +212,8 @@ def _latin1(text: str) -> bytes | None:
         return None
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(path, lambda: Encoder(path))
 
 
 @dataclass(frozen=True)
