@@ -25,15 +25,17 @@ def phrase_candidates(articles: DataFrame, dictionary: DataFrame, key: str = "ar
     lengths = sorted(r.n for r in entries.select("n").distinct().collect())  # at most ``longest`` numbers
 
     def grams(where: str) -> DataFrame:
-        runs = F.concat(*[titles.runs(F.col(where), n) for n in lengths])
-        text = F.concat(F.lit(" "), F.array_join(titles.words(F.col(where)), " "), F.lit(" "))
-        every = articles.select(key, F.lit(where).alias("_where"), text.alias("_text"), F.explode(runs).alias("_run"))
-        return every.withColumn("gram", F.array_join("_run", " ")).drop("_run")
+        joined = F.concat(*[F.transform(titles.runs(F.col(where), n), lambda r: F.array_join(r, " ")) for n in lengths])
+        return articles.select(key, F.lit(where).alias("_where"), F.explode(F.array_distinct(joined)).alias("gram"))
 
     if not lengths:
         return articles.limit(0).select(key).join(dictionary.limit(0).select(id)).select(key, id, F.lit(True).alias("in_headline"), F.lit(True).alias("in_description"), F.lit(0).alias("score"))
-    found = grams("headline").unionByName(grams("description")).join(broadcast_if_small(entries), "gram")
-    sure = found.filter(F.contains("_text", F.concat(F.lit(" "), F.col("_whole"), F.lit(" "))))
+    met = grams("headline").unionByName(grams("description")).join(broadcast_if_small(entries), "gram").withColumn("_size", F.size(F.split("_whole", " ")))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(titles.words(F.col(c)), " "), F.lit(" "))
+    text = F.when(F.col("_where") == "headline", spaced("headline")).otherwise(spaced("description"))
+    long = met.filter(F.col("_size") > longest).join(articles.select(key, "headline", "description"), key)
+    long = long.filter(F.contains(text, F.concat(F.lit(" "), F.col("_whole"), F.lit(" "))))
+    sure = met.filter(F.col("_size") <= longest).unionByName(long.select(*met.columns))
     both = sure.groupBy(key, id).agg(F.bool_or(F.col("_where") == "headline").alias("in_headline"), F.bool_or(F.col("_where") == "description").alias("in_description"), F.max(F.length("_whole")).alias("_length"))
     score = F.col("_length") + F.when(F.col("in_headline"), IN_HEADLINE).otherwise(0) + F.when(F.col("in_description"), IN_DESCRIPTION).otherwise(0)
     return both.select(key, id, "in_headline", "in_description", score.alias("score"))

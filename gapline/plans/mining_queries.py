@@ -220,7 +220,7 @@ def phrase_candidates(spark, d):
     return linking.phrase_candidates(stories(spark, d), dictionary(spark, d))
 
 
-@query("LNK-07_winners", f"""WITH {_LINKS}, a AS (SELECT *, bool_or(in_headline) OVER (PARTITION BY article) AS some FROM scored), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM a WHERE NOT some OR in_headline WINDOW w AS (PARTITION BY article ORDER BY score DESC, item))
+@query("LNK-07_winners", f"""WITH {_LINKS}, a AS (SELECT *, bool_or(in_headline) OVER (PARTITION BY article) AS any_head FROM scored), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM a WHERE NOT any_head OR in_headline WINDOW w AS (PARTITION BY article ORDER BY score DESC, item))
     SELECT article, item, score FROM r WHERE k = 1 AND score >= 65 AND (second IS NULL OR score - second >= 8)""")
 def winners(spark, d):
     return linking.winners(phrase_candidates(spark, d))
