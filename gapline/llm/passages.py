@@ -6,6 +6,12 @@ else) and hashed.  Digests are grouped over all documents; the occurrence that
 comes first, by document key and place, stays, and every other is repeated.
 Neighbouring repeated units make up a passage, which is removed if it has
 enough words.  All offsets are the original text's.
+
+Where units are too short or a copy starts and ends within them, stretches of
+words are compared instead: each stretch of a passage's least size that stands
+before is repeated, wherever lines and sentences end.  A stretch is known by
+the least digest of the shorter runs of words in it, its anchor; only
+stretches whose anchor stands twice are hashed and grouped.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, new_dir
 from .words import _ALNUM, utf8
 
 #: Units of fewer words are not hashed; they go with the passage around them.
@@ -27,7 +33,13 @@ UNIT_WORDS = 4
 #: Passages of fewer words stay: a line that many documents share by nature, such as a heading, is no copied text.
 PASSAGE_WORDS = 20
 _END = re.compile(rb"\n+|[.!?]+(?=\s)")
-UNITS = "unit int, start int, end int, n_words int, digest long, fresh boolean"
+UNITS = "unit int, start int, end int, n_words int, digest long, fresh boolean, word int"
+#: Words of the runs that anchor stretches.
+ANCHOR_WORDS = 8
+#: Words hashed at once.
+HASH_WORDS = 1 << 18
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
 
 
 def units_of(raw: bytes, least: int = UNIT_WORDS) -> list[tuple[int, int, int, int]]:
@@ -45,7 +57,7 @@ def units_of(raw: bytes, least: int = UNIT_WORDS) -> list[tuple[int, int, int, i
 
 
 def units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The hashed units of each row: key, unit (number among them), start, end (code points, end open), n_words, digest, fresh (first of its digest in the text)."""
+    """The hashed units of each row: key, unit (number among them), start, end (code points, end open), n_words, digest, fresh (first of its digest in the text), word (words before it)."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, *(x.split()[0] for x in UNITS.split(", "))]
 
@@ -54,13 +66,14 @@ def units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id", text: s
             of, found, fresh, size = [], [], [], 0
             for i, raw in enumerate(utf8(batch.column(1))):
                 got = units_of(raw, least)
+                word = np.searchsorted(word_places(raw)[0], [u[0] for u in got]).tolist() if got else []
                 if got and not raw.isascii():
                     before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
                     got = [(int(before[a]), int(before[b]), n, d) for a, b, n, d in got]
                 seen: set[int] = set()
                 for n, unit in enumerate(got):
                     of.append(i)
-                    found.append((n, *unit))
+                    found.append((n, *unit, word[n]))
                     fresh.append(unit[3] not in seen)
                     seen.add(unit[3])
                 size += len(raw)
@@ -73,13 +86,13 @@ def units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id", text: s
 
 
 def _unit_batch(keys: pa.Array, of: list[int], found: list[tuple], fresh: list[bool], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [()] * 5
+    columns = list(zip(*found, strict=True)) if found else [()] * 6
     digest = pa.array(np.array(columns[4], np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(of, pa.int64())), *(pa.array(c, pa.int32()) for c in columns[:4]), digest, pa.array(fresh, pa.bool_())], names=names)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(of, pa.int64())), *(pa.array(c, pa.int32()) for c in columns[:4]), digest, pa.array(fresh, pa.bool_()), pa.array(columns[5], pa.int32())], names=names)
 
 
 def repeated_units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The units that stand somewhere before: key, unit, start, end, n_words, first_key (the key they stand first at).
+    """The units that stand somewhere before: key, unit, start, end, n_words, word, first_key (the key they stand first at).
 
     Counts and least keys are combined before they are shuffled.  They come
     back by a join that has one row per digest on one side, so that Spark can
@@ -89,7 +102,7 @@ def repeated_units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id"
     some = every.groupBy("digest").agg(F.count("*").alias("_n"), F.min(key).alias("first_key")).filter("_n > 1").drop("_n")
     found = every.join(some, "digest")
     first = F.col(key).eqNullSafe(F.col("first_key"))
-    return found.filter(~(first & F.col("fresh"))).select(key, "unit", "start", "end", "n_words", "first_key")
+    return found.filter(~(first & F.col("fresh"))).select(key, "unit", "start", "end", "n_words", "word", "first_key")
 
 
 def repeated_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,6 +147,180 @@ def _runs(kind: str):
     return runs
 
 
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end, in bytes."""
+    letters = np.frombuffer(b" " + raw.translate(_ALNUM) + b" ", np.uint8) != 32
+    edge = np.flatnonzero(letters[1:] != letters[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _word_digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of each word's letters."""
+    lower, out = np.frombuffer(raw.translate(_ALNUM), np.uint8), np.empty(len(start), np.uint64)
+    for i in range(0, len(start), HASH_WORDS):
+        a, size = start[i : i + HASH_WORDS], (end - start)[i : i + HASH_WORDS]
+        first = np.cumsum(size) - size
+        within = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+        power = np.cumprod(np.full(size.max(), _BASE))
+        out[i : i + HASH_WORDS] = _mix(np.add.reduceat(_BYTES[lower[np.repeat(a, size) + within]] * power[within], first))
+    return out
+
+
+def _run_digests(words: np.ndarray, n: int) -> np.ndarray:
+    """A digest of each ``n`` neighbouring words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for i in range(n if len(out) else 0):
+        out = out * _BASE + words[i : i + len(out)]
+    return _mix(out)
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """``best`` of each ``n`` neighbours."""
+    out, width = x, 1
+    while 2 * width <= n:
+        out, width = best(out[:-width], out[width:]), 2 * width
+    return best(out[: len(x) - n + 1], out[n - width :])
+
+
+def _anchors(words: np.ndarray, passage: int) -> np.ndarray:
+    """The anchor of each stretch of ``passage`` words, of which there is one at least."""
+    short = min(ANCHOR_WORDS, passage)
+    return _sliding(np.minimum, _run_digests(words, short), passage - short + 1)
+
+
+def _anchor_rows(docs: DataFrame, passage: int, key: str, text: str) -> DataFrame:
+    """The anchors of each row: key, digest, n (1 if the stretches it anchors stand together, 2 if it comes back)."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, found, often = [], [], []
+            for i, raw in enumerate(utf8(batch.column(1))):
+                start, end = word_places(raw)
+                if len(start) < passage:
+                    continue
+                words = _word_digests(raw, start, end)
+                short, least = min(ANCHOR_WORDS, passage), _anchors(words, passage)
+                runs = _run_digests(words, short)
+                around = np.pad(least, passage - short)
+                some, n = np.unique(runs[_sliding(np.maximum, around, passage - short + 1) == runs], return_counts=True)
+                of.append(np.full(len(some), i))
+                found.append(some.view(np.int64))
+                often.append(np.minimum(n, 2))
+            rows = np.concatenate([np.empty(0, np.int64), *of])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.concatenate([np.empty(0, np.int64), *often]))], names=[key, "digest", "n"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, digest long, n long")
+
+
+def _stretch_rows(docs: DataFrame, passage: int, key: str, text: str) -> DataFrame:
+    """The stretches at the anchors in ``_anchors``: key, word, start, end, digest, fresh."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, "word", "start", "end", "digest", "fresh"]
+
+    def rows(keys: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, size = [], 0
+            for i, raw in enumerate(utf8(batch.column(1))):
+                start, end = word_places(raw)
+                if len(start) < passage:
+                    continue
+                words = _word_digests(raw, start, end)
+                wanted = np.asarray(batch.column(2)[i].values).view(np.uint64)
+                at = np.flatnonzero(np.isin(_anchors(words, passage), wanted))
+                digest = _run_digests(words, passage)[at].view(np.int64)
+                fresh = np.zeros(len(at), bool)
+                fresh[np.unique(digest, return_index=True)[1]] = True
+                a, b = start[at], end[at + passage - 1]
+                if not raw.isascii():
+                    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                    a, b = before[a], before[b]
+                parts.append((np.full(len(at), i), at.astype(np.int32), a.astype(np.int32), b.astype(np.int32), digest, fresh))
+                size += len(at)
+                if size >= 1 << 18:
+                    yield rows(batch.column(0), parts)
+                    parts, size = [], 0
+            if parts:
+                yield rows(batch.column(0), parts)
+
+    return docs.select(key, text, "_anchors").mapInArrow(run, f"`{key}` {kind}, word int, start int, end int, digest long, fresh boolean")
+
+
+def repeated_stretches(docs: DataFrame, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stretches of ``passage`` words that stand somewhere before: key, word (words before it), start, end, first_key.
+
+    Every one is found: equal stretches have equal anchors.  The texts meet
+    their own repeated anchors by one join and are read once more; what they
+    give is kept in a Parquet table, as it is both counted and joined.
+    """
+    every = _anchor_rows(docs, passage, key, text)
+    twice = every.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1").drop("_n")
+    wanted = every.select(key, "digest").join(twice, "digest").groupBy(F.col(key).alias("_key")).agg(F.collect_set("digest").alias("_anchors"))
+    narrow = docs.select(key, text)
+    met = narrow.join(wanted, narrow[key].eqNullSafe(wanted["_key"]))
+    path = new_dir(docs.sparkSession, "stretches")
+    _stretch_rows(met, passage, key, text).write.parquet(path, compression="zstd")
+    found = docs.sparkSession.read.parquet(path)
+    some = found.groupBy("digest").agg(F.count("*").alias("_n"), F.min(key).alias("first_key")).filter("_n > 1").drop("_n")
+    first = F.col(key).eqNullSafe(F.col("first_key"))
+    return found.join(some, "digest").filter(~(first & F.col("fresh"))).select(key, "word", "start", "end", "first_key")
+
+
+def copied_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The passages to remove, whether they are whole units or not: columns and order of keys as in ``repeated_passages``.
+
+    A passage is made of repeated units and of repeated stretches of
+    ``passage`` words that touch or overlap; between two units, units of
+    under ``least`` words may stand.  Its n_words are the words in either,
+    each once, ``passage`` at least.  A copied run of so many words is found
+    to its last word wherever lines and sentences end.  Text without spaces,
+    such as a line of Chinese, is one word between two marks or line ends.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    in_units = repeated_units(docs, least, key, text)
+    in_stretches = repeated_stretches(docs, passage, key, text).select(key, F.lit(-2).alias("unit"), "start", "end", F.lit(passage).alias("n_words"), "word", "first_key")
+    rows = in_units.unionByName(in_stretches).groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("word", "n_words", "unit", "start", "end", "first_key")).alias("_units"))
+    out = rows.select("_key", F.explode(_joined(kind)(F.col("_units"))).alias("p")).filter(F.col("p.n_words") >= passage)
+    return out.select(F.col("_key").alias(key), "p.*")
+
+
+def _joined(kind: str):
+    """An Arrow function that joins units and stretches into passages."""
+    @F.arrow_udf(f"array<struct<start:int,end:int,n_words:int,first_keys:array<{kind}>>>")
+    def joined(rows: pa.Array) -> pa.Array:
+        out_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_keys", pa.list_(rows.type.value_type.field("first_key").type))]))
+        out = []
+        for i in range(len(rows)):
+            pieces = list(zip(*(c.to_pylist() for c in rows[i].values.flatten()), strict=True))
+            units = sorted((p for p in pieces if p[2] >= 0), key=lambda p: p[2:5])
+            between = [(w + n, to - w - n) for (w, n, u, _, end, _), (to, _, v, start, *_) in zip(units, units[1:], strict=False) if v == u + 1 and start >= end and to > w + n]
+            pieces += [(w, n, -1, 0, 0, None) for w, n in between]  # the short units between two
+            passages: list[dict] = []
+            behind = counted = -1  # the word behind the passage, and behind the words counted
+            for word, n, unit, start, end, first in sorted(pieces, key=lambda p: (p[0], p[3], p[1])):
+                if word > behind:
+                    passages.append({"start": start, "end": end, "n_words": 0, "first_keys": set()})
+                behind, last = max(behind, word + n), passages[-1]
+                if unit != -1:
+                    last["end"], last["n_words"] = max(last["end"], end), last["n_words"] + max(0, word + n - max(word, counted))
+                    last["first_keys"].add(first)
+                    counted = max(counted, word + n)
+            out.append([p | {"first_keys": sorted(p["first_keys"], key=lambda k: (k is None, k))} for p in passages])
+        return pa.array(out, out_kind)
+
+    return joined
+
+
 def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the passages cut out of their texts; all columns, rows without passages unchanged."""
     spans = cut(passages.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")))

@@ -102,7 +102,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return passages.copied_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,61 @@ def test_passages_of_odd_rows(spark):
             assert cleaned[k] == want
 
 
+def stretches_of(rows, size=passages.PASSAGE_WORDS):
+    """(key, word, start, end, first key) of the stretches that stand before, by comparing all of them."""
+    order = lambda k: (k is None, k or 0)
+    found, first = [], {}
+    for n, (key, text) in enumerate(rows):
+        words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), text or ""))]
+        for i in range(len(words) - size + 1):
+            run = tuple(w for w, *_ in words[i : i + size])
+            found.append((run, n, key, i, words[i][1], words[i + size - 1][2]))
+            first[run] = min(first.get(run, key), key, key=order)
+    seen, out = set(), []
+    for run, n, key, i, start, end in found:
+        if first[run] != key or (n, run) in seen:
+            out.append((key, i, start, end, first[run]))
+        seen.add((n, run))
+    return sorted(out, key=str)
+
+
+def check_stretches(docs, rows):
+    assert sorted((tuple(r) for r in passages.repeated_stretches(docs).collect()), key=str) == stretches_of(rows)
+    found = passages.copied_passages(docs).collect()
+    inside = lambda key, a, b: any(p.doc_id == key and p.start <= a and b <= p.end for p in found)
+    assert all(inside(key, a, b) for key, _, a, b, _ in stretches_of(rows))
+    assert all(inside(r.doc_id, r.start, r.end) for r in passages.repeated_passages(docs).collect())
+    assert all(p.n_words >= passages.PASSAGE_WORDS for p in found)
+    return found
+
+
+def test_stretches_on_the_table(spark):
+    docs = docs_of(spark)
+    assert check_stretches(docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_stretches_of_odd_rows(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["Äb", "cd", "ef", "gé", "日本"]) + str(rng.randint(0, 99)) for _ in range(n))
+    p = [words(40) for _ in range(4)]
+    rows = [
+        (1, None), (2, ""), (3, "..."), (4, p[0] + " " + p[1]), (5, words(7) + " " + p[1].upper().replace("Ä", "Ä").replace("É", "é") + "\n" + words(30)), (6, p[2]), (6, p[2]), (7, p[2] + words(2)), (None, p[3]), (None, p[3] + " x"),
+        (8, p[3]), (9, "a " * 500), (0, "a " * 19), (10, p[0][: len(p[0]) // 2] + "! " + p[2]), (11, "x" * 300_000 + " " + p[0]),
+    ]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, word string, start int")
+    check_stretches(docs, rows)
+    assert passages.copied_passages(docs.limit(0)).count() == 0
+
+
+def test_copies_of_short_units_are_found(spark):
+    rng = random.Random(7)
+    copy = "".join(f"{rng.choice('abcdef')}{rng.randint(0, 999)}!! " for _ in range(155)).strip()
+    verse = "\n".join(f"line {rng.randint(0, 999)}" for _ in range(40))
+    docs = spark.createDataFrame([(1, copy), (2, "Other words come first here. " + copy), (3, verse), (4, verse)], "doc_id long, text string")
+    found = {r.doc_id: (r.start, r.n_words, r.first_keys) for r in passages.copied_passages(docs).collect()}
+    assert found == {2: (29, 155, [1]), 4: (0, 80, [3])}
+
+
 # --- languages
 
 
