@@ -311,6 +311,18 @@ def test_copies_of_short_units_are_found(spark):
     assert found == {2: (29, 155, [1]), 4: (0, 80, [3])}
 
 
+def test_copies_that_start_and_end_within_sentences_are_found(spark):
+    word = iter(f"w{i}" for i in range(10_000))
+    words = lambda n: " ".join(next(word) for _ in range(n))
+    copy = f"{words(17)}. {words(9)}. {words(9)}. {words(18)}"
+    long = words(60)
+    docs = spark.createDataFrame([(1, f"{words(5)} {copy} {words(4)}."), (2, f"{words(6)} {copy} {words(3)}."), (3, f"{words(2)} {long} {words(2)}"), (4, f"{words(3)} {long}")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: (texts[r.doc_id][r.start : r.end], r.n_words, r.first_keys) for r in passages.copied_passages(docs).collect()}
+    assert found == {2: (copy, 53, [1]), 4: (long, 60, [3])}
+    assert passages.repeated_passages(docs).count() == 0
+
+
 # --- languages
 
 
