@@ -37,6 +37,8 @@ SEGMENT_WORDS = 1_000_000
 BLOCK_BYTES = 8 << 20
 #: Words that a proximity match may be moved by, and the share of a window's words it needs.
 SLOP, NEAR_SHARE = 2, 0.8
+#: Rare words that have to agree before a place is compared.
+AGREE = 3
 #: Places compared at once.
 NEAR_ROWS = 1 << 14
 
@@ -126,19 +128,40 @@ def _lookup(seg: dict, window: np.ndarray, order: np.ndarray) -> np.ndarray:
     return found
 
 
-def _near(seg: dict, window: np.ndarray, rarest: int, slop: int, share: float) -> np.ndarray:
-    """Starts at which the rarest word stands in its place and at least ``share`` of the words within ``slop`` of theirs."""
-    at = _places(seg, window[rarest]) - rarest
-    at = at[(at >= 0) & (at + len(window) < len(seg["words"]))]
-    found, reach = [], np.arange(len(window) + 2 * slop)
+def _near(seg: dict, window: np.ndarray, order: np.ndarray, slop: int, share: float) -> np.ndarray:
+    """Documents with a place at which at least ``share`` of the words stand within ``slop`` of theirs.
+
+    If ``lost`` words may be missing, ``lost + n`` words have ``n`` near their
+    places in any match: places at which that many of the rarest (``order``)
+    agree are compared, each within one document.
+    """
+    need = int(np.ceil(share * len(window)))
+    lost = len(window) - need
+    some = order[: lost + AGREE]
+    agree = len(some) - lost
+    at = np.sort(np.concatenate([_moved(seg, window[j], slop) - j for j in some]), kind="stable")
+    at = np.unique(at[: len(at) - agree + 1][at[: len(at) - agree + 1] == at[agree - 1 :]])
+    start, found = seg["start"], []
+    reach = np.arange(-slop, len(window) + slop)
     for i in range(0, len(at), NEAR_ROWS):
-        some = at[i : i + NEAR_ROWS]
-        around = seg["padded"][some[:, None] + reach]  # the words from slop before each place to slop behind
-        hit = around[:, : len(window)] == window
-        for d in range(1, 2 * slop + 1):
-            hit |= around[:, d : d + len(window)] == window
-        found.append(some[hit.sum(axis=1) >= np.ceil(share * len(window))])
-    return np.concatenate(found) if found else at
+        place = at[i : i + NEAR_ROWS, None] + reach
+        words = seg["words"][np.clip(place, 0, len(seg["words"]) - 1)]
+        first, last = (np.clip(np.searchsorted(start, place[:, j], side="right") - 1, 0, len(start) - 2) for j in (0, -1))
+        for k in range(int((last - first).max()) + 1):
+            d = np.minimum(first + k, last)
+            around = np.where((place >= start[d, None]) & (place < start[d + 1, None] - 1), words, -1)
+            hit = around[:, : len(window)] == window
+            for m in range(1, 2 * slop + 1):
+                hit |= around[:, m : m + len(window)] == window
+            found.append(d[hit.sum(axis=1) >= need])
+    return np.unique(np.concatenate(found)) if found else at
+
+
+def _moved(seg: dict, number: int, slop: int) -> np.ndarray:
+    """The places up to ``slop`` from a word's, sorted; kept for the windows that follow."""
+    if number not in seg["moved"]:
+        seg["moved"][number] = np.unique(_places(seg, number)[:, None] + np.arange(-slop, slop + 1, dtype=np.int32))
+    return seg["moved"][number]
 
 
 MATCH = "segment long, n int, doc string, n_words long, spans array<struct<start:int,end:int>>, items array<string>, near_items array<string>"
@@ -158,7 +181,7 @@ def find_matches(index: DataFrame, windows: list[tuple[tuple[int, ...], list[str
         start, docs = seg["start"], row.column("doc")[i].as_py()
         words = np.full(start[-1], -1, np.int32)
         words[seg["place"]] = np.repeat(seg["term"], np.diff(seg["first"]))
-        seg["words"], seg["padded"] = words, np.pad(words, slop, constant_values=-1)
+        seg["words"], seg["moved"] = words, {}
         hit, items, near = np.zeros(len(words) + 1, np.int32), defaultdict(set), defaultdict(set)
         for w, by, (_, names) in zip(numbers, order, windows, strict=True):
             at = _lookup(seg, w, by)
@@ -168,7 +191,7 @@ def find_matches(index: DataFrame, windows: list[tuple[tuple[int, ...], list[str
                 for d in np.unique(np.searchsorted(start, at, side="right") - 1):
                     items[d].update(names)
             if slop:
-                for d in np.unique(np.searchsorted(start, _near(seg, w, by[0], slop, share), side="right") - 1):
+                for d in _near(seg, w, by, slop, share):
                     near[d].update(names)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(hit[:-1]) > 0, [False]])))
         spans: dict[int, list] = defaultdict(list)
@@ -207,8 +230,9 @@ def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     A word is hit inside any occurrence of a window: ``window`` consecutive
     words of an item, or all of a shorter one.  ``items`` are the ids, as
     strings in order, of the items with occurring windows; ``near_items``
-    those with a proximity match, exact ones included.  A null text has no
-    words; items without words have no windows.  Repeated rows are kept apart.
+    those with a proximity match, exact ones included: any words of a window,
+    its rarest too, may be moved by ``slop`` or, up to a fifth of them, be
+    missing.  A null text has no words; items without words have no windows.  Repeated rows are kept apart.
     """
     kind = docs.schema[key].dataType
     narrow = docs.select(key, text)

@@ -54,6 +54,32 @@ def test_proximity(spark):
     assert (got[1]["items"], got[1].near_items) == ([], ["7"]) and got[2].near_items == [] and got[3]["items"] == ["7"]
 
 
+def plain_near(docs, items, window=13, slop=dc.SLOP, share=dc.NEAR_SHARE):
+    windows = dc.windows_of([(str(k), t.encode()) for k, t in items], window)
+    out = {}
+    for key, text in docs:
+        words, out[key] = dc.alnum_words(text.encode()), set()
+        for w, ids in windows.items():
+            for s in range(-len(w) - slop, len(words) + slop + 1):
+                if sum(x in words[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, x in enumerate(w)) >= share * len(w):
+                    out[key] |= ids
+                    break
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_proximity_whatever_word_is_lost(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(13)]
+    texts = [words[:i] + ["new"] + words[i + 1 :] for i in range(13)] + [words[2:], words[:-2], words[1:-1], words[:6], words[6:], words[3:], words[:-3]]
+    texts += [rng.sample(words, 13) for _ in range(20)] + [[rng.choice([w, "w4", "x"]) if rng.random() < 0.2 else w for w in words] for _ in range(20)] + [[w for w in words for _ in range(rng.randint(0, 2))] for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, f"w{i % 9} " * 50) for i in range(9)]
+    items = [(7, " ".join(words)), (8, "w1 w2 w3"), (9, " ".join(words[:5])), (10, "never here at all w5 w6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.near_items for r in dc.contaminated_words(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all("7" in got[i] for i in range(16))
+    assert got == plain_near(rows, items)
+
+
 def base_scan(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
