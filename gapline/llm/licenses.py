@@ -1,8 +1,8 @@
 """License scans: an Aho-Corasick automaton and a shunting-yard parser.
 
 The automaton looks for notice phrases and identifier tags among the words of
-a text.  What follows a tag on its line is a licence expression; a
-shunting-yard parser puts it into postfix order and evaluates it.
+a text.  What follows a tag, up to the next one or the end of its line, is a
+licence expression; a shunting-yard parser puts it into postfix order and evaluates it.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ NOTICES = {
     "the unlicense": ("unlicense", 0.6),
 }
 TAG = "spdx license identifier"
-_TAG_LINE = re.compile(rb"spdx[^a-z0-9\x80-\xff\n]+license[^a-z0-9\x80-\xff\n]+identifier[^\S\n]*:?[^\S\n]*([^\n]*)")
+_TAG = rb"(?<![a-z0-9\x80-\xff])spdx[^a-z0-9\x80-\xff]+license[^a-z0-9\x80-\xff]+identifier(?![a-z0-9\x80-\xff])"
+_TAG_LINE = re.compile(_TAG + rb"[^\S\n]*:?[^\S\n]*((?:(?!" + _TAG + rb")[^\n])*)")
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 BASE_SCORE, EXPRESSION_SCORE = 0.8, 1.0

@@ -116,3 +116,12 @@ def test_expressions():
     assert choices == [frozenset({"a", "c with d"}), frozenset({"b", "c with d"})]
     got = licenses.scan(b"// SPDX-License-Identifier: MIT OR (GPL-2.0-only AND Zlib)\nint x;", licenses.automaton())
     assert got["labels"] == ["gpl-2.0-only", "mit", "zlib"] and got["score"] == 1.0 and got["n_base"] == 0
+
+
+@pytest.mark.parametrize("text, expressions", [
+    ("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: Apache-2.0", ["mit", "apache-2.0"]),
+    ("x spdx license identifier MIT OR Zlib, SPDX-License-Identifier: SPDX-License-Identifier: (ISC) y\nSPDX-License-\nIdentifier: BSD-3-Clause\nISC", ["mit zlib or", "isc", "bsd-3-clause"]),
+    ("SPDX-License-Identifier: MIT xspdx-license-identifiers: Zlib", ["mit"]),
+])
+def test_every_tag_of_a_line_is_parsed(text, expressions):
+    assert licenses.scan(text.encode(), licenses.automaton())["expressions"] == expressions
