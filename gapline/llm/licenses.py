@@ -98,6 +98,27 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0] if stack else []
 
 
+def labels_of(postfix: list[str]) -> set[str]:
+    """The licences in the choices of an expression of any size, without its choices, which multiply under and.
+
+    ``with`` joins the licences and exceptions at its sides, one of which is
+    single in any licence expression; of two that aren't, all stand alone.
+    """
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token not in PRECEDENCE:
+            stack.append({token})
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with" and min(len(a), len(b)) == 1:
+            stack.append({f"{x} with {y}" for x in a for y in b})
+        else:
+            small, large = sorted((a, b), key=len)
+            large |= small
+            stack.append(large)
+    return stack[0] if stack else set()
+
+
 def automaton() -> ahocorasick.Automaton:
     """Phrases between spaces, over words joined by spaces; a word's neighbours share its space."""
     found = ahocorasick.Automaton()
@@ -107,10 +128,6 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
-#: Expressions of more terms than this are reported as they stand: choices multiply under and.
-MAX_TERMS = 12
-
-
 def scan(raw: bytes, finder: ahocorasick.Automaton) -> dict:
     """One text's places, labels, expressions and score."""
     words = alnum_words(raw)
@@ -134,9 +151,7 @@ def scan(raw: bytes, finder: ahocorasick.Automaton) -> dict:
             postfix = to_postfix(m[1].decode("utf-8", "replace"))
             if postfix:
                 expressions.append(" ".join(postfix))
-                terms = [t for t in postfix if t not in PRECEDENCE]
-                choices = evaluate(postfix) if len(terms) <= MAX_TERMS else [frozenset(terms)]
-                labels |= {x for choice in choices for x in choice}
+                labels |= labels_of(postfix)
                 scores.append(EXPRESSION_SCORE)
     return {
         "n_words": len(words), "n_base": len(base), "first_word": min((at for at, _ in base), default=None), "last_word": max((at for at, _ in base), default=None),

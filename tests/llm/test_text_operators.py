@@ -125,3 +125,12 @@ def test_expressions():
 ])
 def test_every_tag_of_a_line_is_parsed(text, expressions):
     assert licenses.scan(text.encode(), licenses.automaton())["expressions"] == expressions
+
+
+def test_labels_of_long_expressions():
+    many = [f"l{i}" for i in range(40)]
+    got = licenses.scan(f"SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 AND ({' OR '.join(many)}) AND ({' OR '.join(many)})".encode(), licenses.automaton())
+    assert got["labels"] == sorted(["gpl-2.0 with classpath-exception-2.0", *many])
+    for text in ("a", "a or b and c with d", "(a or b) with c and a", "a with (b or c)", "(a or b) and (c or a with d)", "a with b with c"):
+        postfix = licenses.to_postfix(text)
+        assert licenses.labels_of(postfix) == {x for choice in licenses.evaluate(postfix) for x in choice}
