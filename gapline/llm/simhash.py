@@ -7,9 +7,10 @@ blocks; those that meet are compared bit by bit.
 
 A group of fingerprints under one key is compared in one task only while it is
 small.  The members of a larger one are dealt again, by the same rule, by
-blocks of the bits that are still free: with each round more bits are fixed,
-so that after three rounds no group can have more than 2**8 members.  Of the links within
-a group only a spanning forest is passed on, as components need no more.
+blocks of the bits that are still free.  Each round fixes more bits, and once
+at most FREE are free, a group has at most 2**FREE members and is compared
+whatever its size.  Of the links within a group only a spanning forest is
+passed on, as components need no more.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BITS = 3
 BLOCKS = 6
 #: Groups of at most so many fingerprints are compared in one task.
 GROUP = 256
+#: Groups whose fingerprints differ in so few bits are compared in one task at any size.
+FREE = 8
 SEED = 42
 #: Shingles hashed at once; a longer text's bits are counted in turns.
 CHUNK = 1 << 16
@@ -81,22 +84,25 @@ def _mask(bits: list[int]) -> int:
 
 
 def _deal(rows: DataFrame, blocks: int, differ: int) -> DataFrame:
-    """Deal (fingerprint, mask) once more: mask long (all bits fixed so far), key long (the fingerprint's).
+    """Deal each fingerprint by every choice of blocks: fingerprint, mask long (the bits fixed)."""
+    each = F.array(*[F.lit(_mask(bits)).cast("long") for bits in plan(blocks, differ)])
+    return rows.select("fingerprint", F.explode(each).alias("mask"))
 
-    The bits of a mask that are still free are cut into blocks anew.
-    """
-    masks = [r["mask"] for r in rows.select("mask").distinct().collect()] if "mask" in rows.columns else [0]  # at most comb(blocks, differ) ** rounds
-    chosen: dict[int, list[int]] = {}
-    for mask in masks:
-        free = [b for b in range(64) if not (mask >> b) & 1]
-        chosen[mask] = [mask | _mask(sorted(sum(c, []))) for c in combinations(_split(free, blocks), blocks - differ)]
-    if list(chosen) == [0] and "mask" not in rows.columns:
-        each = F.array(*[F.lit(m).cast("long") for m in chosen[0]])
-        dealt = rows.select("fingerprint", F.explode(each).alias("mask"))
-    else:
-        table = rows.sparkSession.createDataFrame([(m, x) for m, c in chosen.items() for x in c], "mask long, next long")
-        dealt = rows.join(F.broadcast(table), "mask").select("fingerprint", F.col("next").alias("mask")).distinct()  # the table has at most comb(blocks, differ) ** rounds rows
-    return dealt.select("fingerprint", "mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"))
+
+def _deal_again(rows: DataFrame, blocks: int, differ: int) -> DataFrame:
+    """Deal (fingerprint, mask) once more: the bits of a mask that are still free are cut into blocks anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            masks, of = np.unique(mask, return_inverse=True)
+            for i, m in enumerate(masks.tolist()):
+                free = [b for b in range(64) if not (m >> b) & 1]
+                next_masks = np.array([m | _mask(sorted(sum(c, []))) for c in combinations(_split(free, blocks), blocks - differ)])
+                some = f[of == i]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(next_masks))), pa.array(np.tile(next_masks, len(some)))], names=["fingerprint", "mask"])
+
+    return rows.select("fingerprint", "mask").mapInArrow(run, "fingerprint long, mask long").distinct()
 
 
 def _forest(values: np.ndarray, differ: int) -> list[tuple[int, int]]:
@@ -136,7 +142,7 @@ def _links_in(dealt: DataFrame, differ: int) -> DataFrame:
             frame = batch.to_pandas()
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             last = (frame["key"] == frame["key"].iloc[-1]) & (frame["mask"] == frame["mask"].iloc[-1])
-            frame, rest = frame[~last], frame[last]  # a group may go on in the next batch; it has GROUP rows at most
+            frame, rest = frame[~last], frame[last]  # a group may go on in the next batch; it has GROUP or 2**FREE rows at most
             if found := forests(frame) if len(frame) else []:
                 yield pa.RecordBatch.from_arrays(list(pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found, strict=True)), schema=schema)
         if rest is not None and (found := forests(rest)):
@@ -147,17 +153,18 @@ def _links_in(dealt: DataFrame, differ: int) -> DataFrame:
 
 def links(distinct: DataFrame, differ: int = BITS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
     """a, b long: links among distinct ``fingerprint`` whose components are those of all pairs at ``differ`` bits or fewer."""
-    rows, found = distinct.select("fingerprint"), None
+    found, rows = None, _deal(distinct, blocks, differ)
     while True:
-        dealt = _deal(rows, blocks, differ)
-        large = cut(dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("mask", "key"))
-        none = large.isEmpty()
-        small = dealt if none else dealt.join(broadcast_if_small(large, 16), ["mask", "key"], "left_anti")
+        dealt = rows.withColumn("key", F.col("fingerprint").bitwiseAND(F.col("mask")))
+        large = F.col("n") > group
+        some = cut(dealt.filter(F.bit_count("mask") < 64 - FREE).groupBy("mask", "key").agg(F.count("*").alias("n")).filter(large).select("mask", "key"))
+        none = some.isEmpty()
+        small = dealt if none else dealt.join(broadcast_if_small(some, 64), ["mask", "key"], "left_anti")
         now = _links_in(small, differ)
         found = now if found is None else found.unionByName(now)
         if none:
             return found.distinct()
-        rows = dealt.join(broadcast_if_small(large, 16), ["mask", "key"], "left_semi").select("fingerprint", "mask")
+        rows = _deal_again(cut(dealt.join(broadcast_if_small(some, 64), ["mask", "key"], "left_semi").select("fingerprint", "mask")), blocks, differ)
 
 
 def near_duplicates(docs: DataFrame, differ: int = BITS, shingle: int = SHINGLE, blocks: int = BLOCKS, group: int = GROUP, key: str = "doc_id", text: str = "text") -> DataFrame:
