@@ -76,3 +76,8 @@ def quarter_key(day: Column) -> Column:
 
 def month_key(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
+
+
+def iso_moment(text: Column) -> Column:
+    """An ISO 8601 time; one without a zone is UTC, anything else null."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "Z$", "+00:00"))

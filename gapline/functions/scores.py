@@ -139,3 +139,17 @@ def quality_prior(reviews: Column, critic: Column, user_a: Column, user_b: Colum
 
 def confidence_band(score: Column) -> Column:
     return ladder(score, [(0.82, "high"), (0.70, "medium"), (None, "low")])
+
+
+def share_of(value: Column, divisor: int) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value / F.lit(float(divisor))))
+
+
+def quantized(score: Column) -> Column:
+    """Within 0..1, to four digits, half up."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
+
+
+def derived_score(critic: Column, disparity: Column) -> Column:
+    """The users' score that a disparity was taken from; null if either is unknown."""
+    return critic - disparity

@@ -89,12 +89,13 @@ def content_words(text: Column) -> Column:
     return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
 
 
-def strip_html(text: Column, most: int = 8000) -> Column:
-    """Tags gone, the five basic entities and numbers decoded by the JVM, single spaces, cut to ``most``."""
+def strip_html(text: Column, most: int | None = None) -> Column:
+    """Tags gone, the five basic entities and numbers decoded by the JVM, single spaces; cut to ``most`` characters where that is given, as for descriptions (8000)."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
-    return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, most)
+    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return bare if most is None else F.substring(bare, 1, most)
 
 
 @F.arrow_udf(T.StringType())
@@ -139,3 +140,15 @@ def titles_related(expected: Column, candidate: Column, similarity: Column) -> C
     overlap = F.try_divide(F.size(F.array_intersect(a, b)), F.greatest(F.lit(1), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))))
     numbers = F.size(F.array_except(series_markers(expected), series_markers(candidate))) == 0
     return numbers & ((similarity >= 0.82) | ((overlap >= 0.5) & (F.size(shared) > 0)))
+
+
+def slug_candidates(title: Column) -> Column:
+    """Slugs under which a title may stand: plain, without connecting words, with numerals in figures, with figures as numerals."""
+    romans = F.array(*map(F.lit, ROMAN))
+
+    def of(parts: Column) -> Column:
+        numeral = lambda w: F.when(w.rlike("^([1-9]|1[0-9]|20)$"), F.get(romans, w.try_cast("int") - 1)).otherwise(w)
+        every = [parts, F.filter(parts, lambda w: ~w.isin("and", "the", "of", "a")), F.transform(parts, arabic), F.transform(parts, numeral)]
+        return F.array_distinct(F.array(*[F.array_join(x, "-") for x in every]))
+
+    return let(F.split(trimmed_slug(title), "-"), of)
