@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tables up to this many bytes may be broadcast; beyond it a shuffle join is planned.
 BROADCAST_BYTES = 32 << 20
+#: What a partition should hold at least: bytes of files read, short rows written.
+PART_BYTES, PART_ROWS = 8 << 20, 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gapline-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
@@ -29,10 +34,24 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage there.
+
+    If it has at most ``most_rows`` short rows, partitions are merged until
+    there are few enough, so that no swarm of tiny files is written.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if most_rows is None else df.coalesce(_parts(df.sparkSession, most_rows, PART_ROWS))).checkpoint()
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """``df``, read from files, in partitions of about PART_BYTES at least, if Spark's splits are smaller; two for each core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(_parts(df.sparkSession, size, PART_BYTES))
+
+
+def _parts(spark: SparkSession, total: int, each: int) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, min(-(-total // each), 1_000_000))  # unknown sizes are estimated without bound
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, row_digest
+from .common import broadcast_if_small, cut, merged, row_digest
 from .words import alnum_words, utf8
 
 WINDOW = 13
@@ -235,7 +235,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     missing.  A null text has no words; items without words have no windows.  Repeated rows are kept apart.
     """
     kind = docs.schema[key].dataType
-    narrow = docs.select(key, text)
+    narrow = merged(docs.select(key, text))
     found = []
     for block in _blocks(items, item, item_text, block_bytes):
         by_words = windows_of(block, window)
@@ -281,8 +281,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     """The rows of ``docs`` that aren't contaminated; all columns.  Rows that agree in key and text are judged alike."""
     row = row_digest(key, text)
     rows = docs.select(row.alias("_gapline_row"), F.col(text).alias("text"))
-    bad = cut(contaminated_words(rows, items, key="_gapline_row", text="text", **more).filter(contaminated()).select("_gapline_row").distinct())
-    return docs.withColumn("_gapline_row", row).join(broadcast_if_small(bad, 96), "_gapline_row", "left_anti").select(*docs.columns)
+    bad = cut(contaminated_words(rows, items, key="_gapline_row", text="text", **more).filter(contaminated()).select("_gapline_row").distinct(), docs.count())
+    return merged(docs).withColumn("_gapline_row", row).join(broadcast_if_small(bad, 96), "_gapline_row", "left_anti").select(*docs.columns)
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:

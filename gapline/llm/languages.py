@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, kept
+from .common import broadcast_if_small, cut, kept, merged
 
 UNKNOWN = "und"
 #: Labelled documents drawn for each language, and letters taken from each: together the bound of what is fitted.
@@ -32,8 +32,8 @@ FIT_LETTERS = 120_000
 #: The least letters of an automaton: with more labels than have so many each, fitting is an error.
 LEAST_LETTERS = 500
 #: Texts are in no language if even the best needs more bits a letter than so many times what its own labelled pieces need
-#: (half as much again for texts of 64 letters, a tenth for 1,600: the fewer letters, the less certain the rate).
-MAX_BITS, SHORT_MARGIN = 2.5, 4.0
+#: (an eighth more for texts of 64 letters: the fewer letters, the less certain the rate).
+MAX_BITS, SHORT_MARGIN = 2.5, 1.0
 #: Letters walked side by side.
 STRETCH = 512
 #: Letters walked at once.
@@ -279,10 +279,10 @@ def _draw(docs: DataFrame, learnable: Column, key: str, text: str, lang: str) ->
 
     The least hashes are combined before they are shuffled; only they come back for their pieces.
     """
-    usable = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+    usable = merged(docs).filter(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("fit")).alias("h")
     ).withColumn("bucket", F.pmod("h", F.lit(FIT_DOCS)))
-    least = cut(usable.groupBy("label", "bucket").agg(F.min("h").alias("h")))  # FIT_DOCS rows of each label
+    least = cut(usable.groupBy("label", "bucket").agg(F.min("h").alias("h")), FIT_DOCS * FIT_LETTERS // LEAST_LETTERS)  # FIT_DOCS rows of each label
     labels = least.select("label").distinct().limit(FIT_LETTERS // LEAST_LETTERS + 1).count()
     if labels * LEAST_LETTERS > FIT_LETTERS:
         raise ValueError(f"over {FIT_LETTERS // LEAST_LETTERS} labels: raise FIT_LETTERS, so that each has enough text to learn from")
@@ -363,7 +363,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     letters are ``und`` with score 0 and null bits, and so is every text if
     nothing was learned.  Texts of any length are parsed whole, in parts.  Rows stay where they are.
     """
-    return docs.select(F.col(key), predictor(model)(F.col(text)).alias("_found")).select(key, "_found.lang_pred", "_found.score", "_found.bits", "_found.known")
+    return merged(docs).select(F.col(key), predictor(model)(F.col(text)).alias("_found")).select(key, "_found.lang_pred", "_found.score", "_found.bits", "_found.known")
 
 
 def in_a_known_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -373,4 +373,4 @@ def in_a_known_language(docs: DataFrame, model: Model, text: str = "text") -> Da
     several times the bits of its labelled texts: other scripts, languages
     that were not learned, letters at random.
     """
-    return docs.withColumn("_gapline_found", predictor(model)(F.col(text))).filter("_gapline_found.known").drop("_gapline_found")
+    return merged(docs).withColumn("_gapline_found", predictor(model)(F.col(text))).filter("_gapline_found.known").drop("_gapline_found")

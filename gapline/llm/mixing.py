@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, key_digest, row_digest, running_totals
+from .common import broadcast_if_small, cut, key_digest, merged, row_digest, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 Knots = list[tuple[float, float]]
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, max_passes: int = 3, whole: bool = False, schedule: Cal
     Nothing is grouped by source alone: running totals are by (source, 1/4096
     of the documents).
     """
-    sized = docs.select(
+    sized = merged(docs).select(
         F.col(key).alias("_key"), F.col(source).isNull().alias("_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         word_count(text).alias("size"), key_digest(key).alias("_digest"),
     )
@@ -131,10 +131,10 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     """
     row = row_digest(key, text)
     mixed = mix(docs.withColumn("_gapline_row", row), whole=True, key="_gapline_row", text=text, **more)
-    taken = cut(mixed.filter("passes > 0").groupBy("_gapline_row").agg(F.sum("passes").cast("int").alias("_gapline_passes"), F.count("*").alias("_gapline_rows")))
+    taken = cut(mixed.filter("passes > 0").groupBy("_gapline_row").agg(F.sum("passes").cast("int").alias("_gapline_passes"), F.count("*").alias("_gapline_rows")), docs.count())
 
     def rows(some: DataFrame) -> DataFrame:
-        return docs.withColumn("_gapline_row", row).join(broadcast_if_small(some.drop("_gapline_rows"), 96), "_gapline_row").drop("_gapline_row")
+        return merged(docs).withColumn("_gapline_row", row).join(broadcast_if_small(some.drop("_gapline_rows"), 96), "_gapline_row").drop("_gapline_row")
 
     out, twice = rows(taken.filter("_gapline_rows = 1")), taken.filter("_gapline_rows > 1")
     if not twice.isEmpty():

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, merged
 from .components import connected_components
 from .words import spaced_words, utf8
 
@@ -176,12 +176,13 @@ def near_duplicates(docs: DataFrame, differ: int = BITS, shingle: int = SHINGLE,
     one fingerprint are combined before they are shuffled, and joined back
     from a table with one row per fingerprint, so that Spark can split them.
     """
-    prints = cut(fingerprints(docs, shingle, key, text))
-    distinct = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("_least")))
-    roots = connected_components(links(distinct, differ, blocks, group))
+    prints = cut(fingerprints(merged(docs.select(key, text)), shingle, key, text))
+    rows = prints.count()
+    distinct = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("_least")), rows)
+    roots = connected_components(links(distinct, differ, blocks, group), most_links=rows * len(plan(blocks, differ)))
     joined = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("_root"), "_least")
     least = joined.groupBy("_root").agg(F.min("_least").alias("component"))
-    members = cut(joined.join(least, "_root").select("fingerprint", "component"))
+    members = joined.join(least, "_root").select("fingerprint", "component")
     return prints.join(members, "fingerprint").select(key, "fingerprint", "component")
 
 
@@ -192,8 +193,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **more
     stays.  Rows without a key cannot be named as duplicates of others: one of
     each text stays.
     """
+    docs = merged(docs)
     kept = near_duplicates(docs, key=key, text=text, **more).filter(F.col(key) == F.col("component"))
-    kept = cut(kept.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")))
+    kept = cut(kept.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")), docs.count())
 
     def rows(ids: DataFrame) -> DataFrame:
         return docs.join(broadcast_if_small(ids.select("_kept"), 16), docs[key] == F.col("_kept"), "left_semi")

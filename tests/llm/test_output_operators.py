@@ -341,23 +341,18 @@ def test_automaton_has_all_substrings_and_no_others():
 
 
 def plain_phrases(letters, fit):
-    """Phrases that end within each stretch, by substring search."""
-    n = 0
-    for at in range(0, len(letters), languages.STRETCH):
-        now = ""
-        for c in letters[at : at + languages.STRETCH]:
-            if now + c in fit:
-                now += c
-            else:
-                n += 1
-                now = c if c in fit else ""
+    """Phrases that end within a text, by substring search."""
+    n, now = 0, ""
+    for c in letters:
+        if now + c in fit:
+            now += c
+        else:
+            n += 1
+            now = c if c in fit else ""
     return n
 
 
-def test_cross_parse_against_substring_search():
-    rng = random.Random(3)
-    model = languages.Model((("x", "".join(rng.choices("abcd é", k=900))), ("y", "".join(rng.choices("aabbe ", k=500)))))
-    texts = [None, "", "12 .", "日本", "A", *["".join(rng.choices("abCdÉe  .1ñ", k=rng.randint(1, 1800))) for _ in range(40)]]
+def check_parse(model, texts):
     letters, bits = model.bits(texts)
     for t, n, found in zip(texts, letters, bits, strict=True):
         plain = languages.letters_of(t)
@@ -370,6 +365,33 @@ def test_cross_parse_against_substring_search():
             assert b == pytest.approx(plain_phrases(padded, fit) * np.log2(len(fit) + 1) / n)
 
 
+def test_cross_parse_against_substring_search(monkeypatch):
+    """Texts are parsed whole: phrases go on from stretch to stretch, and from part to part of a text that is taken in parts."""
+    rng = random.Random(3)
+    fits = ["".join(rng.choices("abcd é", k=900)), "".join(rng.choices("aabbe ", k=500))]
+    model = languages.Model((("x", fits[0]), ("y", fits[1])))
+    texts = [None, "", "12 .", "日本", "A", fits[0] * 3, fits[1][40:480] * 5, "a" * 3000, *["".join(rng.choices("abCdÉe  .1ñ", k=rng.randint(1, 1800))) for _ in range(40)]]
+    check_parse(model, texts)
+    monkeypatch.setattr(languages, "STRETCH", 50)
+    monkeypatch.setattr(languages, "BATCH", 700)
+    check_parse(model, texts)
+
+
+def test_a_very_long_text_equals_the_whole_parse():
+    rng = random.Random(4)
+    model = languages.Model((("x", "".join(rng.choices("abc ", k=300))), ("y", "".join(rng.choices("cde ", k=300)))))
+    check_parse(model, ["".join(rng.choices("abcde ", k=100_000))])
+
+
+def test_packed_automata_of_large_alphabets():
+    """Thousands of letters take room by their transitions, not by states times letters."""
+    rng = random.Random(5)
+    text = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(3000))
+    walker = languages._Walker(languages.Model((("zh", text), ("x", "abc"))))
+    assert sum(t.nbytes for t, *_ in walker.tables) < 1 << 20
+    assert walker.bits([text])[1][0].argmin() == 0 and walker.bits(["abcabc"])[1][0].argmin() == 1
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op10_languages(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -389,10 +411,29 @@ def test_languages_of_odd_rows(spark, odd):
     assert languages.fit(docs.limit(0)).texts == () and languages.identify(odd.limit(0), model).count() == 0
     kept = languages.in_a_known_language(docs.unionByName(spark.createDataFrame([(-1, "日本語 テスト", "en", "s", 1), (-2, "123", "en", "s", 1)], docs.schema)), model)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+    rng = random.Random(6)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=2000)), " ".join("".join(rng.choice(["szcz", "prz", "krz", "wj", "yj", "dzw"]) for _ in range(3)) for _ in range(200))]
+    noisy = spark.createDataFrame([(-3 - i, t, "en", "s", 1) for i, t in enumerate(noise)], docs.schema)
+    assert languages.in_a_known_language(noisy, model).count() == 0
     one = languages.fit(docs.filter("lang = 'en'"))
     assert {r.lang_pred for r in languages.identify(docs, one).collect()} == {"en"}
 
 
+def test_many_labels(spark, monkeypatch):
+    """Every label is learned, the 65th too; too many for their texts are an error."""
+    rng = random.Random(7)
+    sets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüß", 6)) for _ in range(65)]
+    rows = [(65 * k + i, " ".join("".join(rng.choices(s, k=5)) for _ in range(60)), f"l{i:02d}") for k in range(6) for i, s in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.fit(docs)
+    assert len(model.texts) == 65
+    found = {r.doc_id: r.lang_pred for r in languages.identify(docs, model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) >= 0.9 * len(rows)
+    monkeypatch.setattr(languages, "FIT_LETTERS", 64 * languages.LEAST_LETTERS)
+    with pytest.raises(ValueError, match="over 64 labels"):
+        languages.fit(docs)
+
+
 # --- pipeline
 
 
