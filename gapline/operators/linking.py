@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import titles
+from ..functions import labels, mentions, titles
 from .relational import broadcast_if_small, topk_per_group
 
 #: What a title found in headline or description scores, the least score and lead, and how common a rarest word may be.
@@ -94,3 +94,67 @@ def resolve(wanted: DataFrame, catalog: DataFrame, least: float = 0.85, toleranc
     judged = scored.filter(titles.titles_related(F.col("title"), F.col("name"), F.col("_raw"))).withColumn("similarity", F.when(fits, F.col("_raw")).otherwise(F.col("_raw") * 0.7))
     best = topk_per_group(judged, ["id"], [F.desc("similarity"), F.asc("entry")])
     return best.filter(F.col("similarity") >= least).select("id", F.col("entry").alias("match"), F.round("similarity", 6).alias("similarity"))
+
+
+def title_frequency(dictionary: DataFrame, stop: list[str], id: str = "item") -> DataFrame:
+    """id, often: in how many titles the most frequent telling word of each stands."""
+    each = dictionary.select(id, F.explode(F.array_distinct(F.filter(mentions.words(F.col("title")), lambda w: ~w.isin(*stop)))).alias("_word"))
+    counts = each.groupBy("_word").agg(F.count("*").alias("_n"))
+    return each.join(counts, "_word").groupBy(id).agg(F.max("_n").alias("often"))
+
+
+def adjusted_candidates(candidates: DataFrame, articles: DataFrame, dictionary: DataFrame, lists: dict[str, list[str]], key: str = "article", id: str = "item") -> DataFrame:
+    """``candidates`` with score adjusted: mere references, sequels, ambiguous titles with and without context.
+
+    ``lists`` has the words that are common, stop, context and followups.  The
+    flags are looked up in the texts of candidate pairs only.
+    """
+    titled = dictionary.select(id, mentions.words(F.col("title")).alias("_t")).join(title_frequency(dictionary, lists["stop"], id), id, "left")
+    titled = titled.withColumns({"_primary": mentions.primary_word(F.col("_t"), lists["stop"]), "_ambiguous": mentions.ambiguous(F.col("_t"), F.coalesce("often", F.lit(0)), lists["common"], lists["stop"]), "_risky": mentions.risky(F.col("_t"), lists["common"], lists["stop"])})
+    texts = articles.select(key, mentions.words(F.col("headline")).alias("_h"), mentions.words(F.col("description")).alias("_d"))
+    rows = candidates.join(broadcast_if_small(titled), id).join(texts, key)
+    flag = lambda c, name, on: F.when(F.col(on), mentions.adjustment(F.col(c), F.col("_t"), F.col("_primary"), F.col("_ambiguous"), F.col("_risky"), lists, name)).otherwise(0)
+    context = (F.col("in_headline") & mentions.near_context(F.col("_h"), F.col("_primary"), lists["context"])) | (F.col("in_description") & mentions.near_context(F.col("_d"), F.col("_primary"), lists["context"]))
+    plain = F.when(F.col("in_headline") & ~F.col("in_description"), -70).when(~F.col("in_headline") & F.col("in_description"), -45).otherwise(-35)
+    doubt = F.when(F.col("_ambiguous"), F.when(context, 30).when(F.col("_risky"), -120).otherwise(plain)).otherwise(0)
+    score = F.col("score") + flag("_h", True, "in_headline") + flag("_d", False, "in_description") + doubt
+    return rows.select(key, id, "in_headline", "in_description", score.cast("int").alias("score"))
+
+
+def lookup(wanted: DataFrame, catalog: DataFrame, most: int = 25) -> DataFrame:
+    """asked, entry, title: the entry that a typed text names best.
+
+    Exact titles first, then plain forms that agree, beginnings, containment,
+    shorter titles, newer ids.  ``wanted`` has asked, ``catalog`` entry, title;
+    they meet on a trigram of the asked text that few titles have, so that no
+    text is tried against all titles.
+    """
+    low, plain = F.lower(F.trim("asked")), labels.plain_label(F.col("asked"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3))))
+    entries = catalog.select("entry", "title", F.explode(grams(F.lower("title"))).alias("_gram"))
+    often = entries.groupBy("_gram").agg(F.count("*").alias("_n"))
+    asked = wanted.select("asked", F.explode(grams(low)).alias("_gram")).join(often, "_gram")
+    rarest = topk_per_group(asked, ["asked"], [F.asc("_n"), F.asc("_gram")]).select("asked", "_gram")
+    met = rarest.join(entries, "_gram").filter(F.contains(F.lower("title"), low))
+    title, other = F.lower("title"), labels.plain_label(F.col("title"))
+    order = [F.desc(title == low), F.desc(other == plain), F.desc(title.startswith(low)), F.desc(F.contains(other, plain)), F.asc(F.length("title")), F.desc("entry")]
+    return topk_per_group(met, ["asked"], order).select("asked", "entry", "title")
+
+
+def store_rank(query: Column, name: Column) -> Column:
+    """3 for the same plain title, 2 for a beginning, 1 for containment, else 0."""
+    q, n = labels.plain_label(query), labels.plain_label(name)
+    return F.when(n == q, 3).when(n.startswith(q), 2).when(F.contains(n, q), 1).otherwise(0)
+
+
+def import_actions(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """store_id, title, item, action: how a store's entries enter the catalogue (item, title, store_id).
+
+    By store id first, then by title; a title that already has another store id is refused.
+    """
+    by_id = catalog.filter("store_id IS NOT NULL").select("store_id", F.col("item").alias("_by_id"))
+    by_title = catalog.groupBy(F.lower("title").alias("_low")).agg(F.max(F.struct(F.col("store_id").isNotNull(), "item", "store_id")).alias("_t"))
+    both = found.withColumn("_low", F.lower("title")).join(by_id, "store_id", "left").join(by_title, "_low", "left")
+    clash = F.col("_t.store_id").isNotNull() & (F.col("_t.store_id") != F.col("store_id"))
+    action = F.when(F.col("_by_id").isNotNull(), "updated").when(F.col("_t.item").isNull(), "created").when(clash, "refused").otherwise("linked")
+    return both.select("store_id", "title", F.coalesce("_by_id", F.when(~clash, F.col("_t.item"))).alias("item"), action.alias("action"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tables up to this many bytes by Spark's own estimate may be broadcast.
@@ -92,3 +94,19 @@ def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     a = left.select(left_key, F.explode(F.array_distinct(left_array)).alias("_value"))
     b = right.select(right_key, F.explode(F.array_distinct(right_array)).alias("_value"))
     return a.join(b, "_value").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; on one machine, where that is unset, a local one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='gapline-')}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """Replace a table by none of its rows."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

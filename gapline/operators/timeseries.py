@@ -118,3 +118,8 @@ def trailing(rows: DataFrame, item: str, ts: str, seconds: int) -> DataFrame:
     """The rows of each series from ``seconds`` before its last sample on."""
     at = F.unix_timestamp(F.col(ts).cast("timestamp"))
     return rows.withColumn("_end", F.max(at).over(Window.partitionBy(item))).filter(at >= F.col("_end") - seconds).drop("_end")
+
+
+def clipped(rows: DataFrame, ts: str, since: str, released: Column) -> DataFrame:
+    """Samples from the day on which tracking began, and from release on where that is later."""
+    return rows.filter(F.col(ts) >= F.greatest(F.lit(since).cast("timestamp_ntz"), released.cast("timestamp_ntz")))

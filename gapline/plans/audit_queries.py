@@ -43,11 +43,13 @@ def rejected(spark, d):
     return b.table(spark, d, "part").select("p_partkey", reason.alias("reason"))
 
 
-@query("FLT-18_nonstandalone", "SELECT doc_id FROM documents WHERE regexp_matches(lower(split_part(text, chr(10), 1)), '\\b(dlc|season pass|expansion)\\b') OR regexp_matches(lower(text), 'requires .{0,40}base (game|program)')")
+@query("FLT-18_nonstandalone", """SELECT p_partkey FROM (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN ': Season Pass' WHEN 1 THEN ' DLC' ELSE ' widlc' END AS title, CASE WHEN p_partkey % 5 = 2 THEN 'It requires the full base game to play.' ELSE 'requires nothing' END AS about FROM part)
+    WHERE regexp_matches(lower(title), '\\b(dlc|season pass|expansion)\\b') OR regexp_matches(lower(about), 'requires .{0,40}base (game|program)')""")
 def nonstandalone(spark, d):
-    docs = b.table(spark, d, "documents")
-    head = F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))
-    return docs.filter(head.rlike(r"\b(dlc|season pass|expansion)\b") | F.lower("text").rlike("requires .{0,40}base (game|program)")).select("doc_id")
+    k = F.col("p_partkey") % 5
+    title = F.lower(F.concat("p_name", F.when(k == 0, ": Season Pass").when(k == 1, " DLC").otherwise(" widlc")))
+    about = F.lower(F.when(k == 2, "It requires the full base game to play.").otherwise("requires nothing"))
+    return b.table(spark, d, "part").filter(title.rlike(r"\b(dlc|season pass|expansion)\b") | about.rlike("requires .{0,40}base (game|program)")).select("p_partkey")
 
 
 @query("FLT-19_dirty_targets", views("items", then="SELECT item FROM items WHERE CASE WHEN item % 4 = 0 THEN NULL ELSE item % 3 END IS DISTINCT FROM 1 OR size > 40"))

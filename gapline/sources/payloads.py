@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTS = "points array<struct<window_ending_at string, bucket_started_at string, observed_24h_high string, observed_24h_low string, latest_players string>>, app struct<latest_24h_high string, latest_24h_low string, all_time_peak_players string, all_time_peak_at string, last_success_at string>"
@@ -70,3 +70,37 @@ def deep_merge(base: Any, override: Any) -> Any:
                 out.append(x)
         return out
     return override
+
+
+def catalog_text(rules: list[dict]) -> str:
+    return json.dumps({"rules": rules})
+
+
+def catalog(spark: SparkSession, text: str, schema: str) -> DataFrame:
+    """The rules of a JSON catalogue as a table."""
+    kind = ", ".join(f"{n}: {t}" for n, t in (f.split() for f in schema.split(", ")))
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"rules array<struct<{kind}>>")["rules"]).alias("r")).select("r.*")
+
+
+def rule_table(spark: SparkSession, rules: dict) -> DataFrame:
+    """path, value: the leaves of a rule document, values as JSON."""
+    def leaves(node: Any, path: str) -> list[tuple[str, str]]:
+        return [x for k, v in node.items() for x in leaves(v, f"{path}.{k}" if path else k)] if isinstance(node, dict) else [(path, json.dumps(node, separators=(",", ":")))]
+
+    return spark.createDataFrame(leaves(rules, ""), "path string, value string")
+
+
+def peak_summary(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, peak_day, peak_all, peak_at: the charts' block of a page, numbers before or behind their labels."""
+    text = F.regexp_replace(F.replace(F.col(html), F.lit("&nbsp;"), F.lit(" ")), "[‐-―−]", "-")
+    flat = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
+    block = F.regexp_extract(flat, r"(?i)steam charts(.*?)(?:store data|twitch stats|owner estimations|monthly players breakdown|$)", 1)
+    block = F.when(block == "", flat).otherwise(block)
+
+    def value(label: str) -> Column:
+        before, behind = F.regexp_extract(block, rf"(?i)([\d,]+)\s+{label}\b", 1), F.regexp_extract(block, rf"(?i){label}\s+([\d,]+)\b", 1)
+        return F.regexp_replace(F.when(before != "", before).otherwise(behind), ",", "").try_cast("long")
+
+    at = F.regexp_extract(block, r"(?i)all[- ]time peak\D{0,3}\s*(\d{1,2} [A-Z][a-z]+ \d{4}|[A-Z][a-z]+ \d{1,2}, \d{4}|\d{4}-\d\d-\d\d)", 1)
+    moment = F.coalesce(*[F.try_to_timestamp(at, F.lit(f)) for f in ("d MMM yyyy", "MMM d, yyyy", "yyyy-MM-dd")])
+    return pages.select(key, value("24[- ]hour peak").alias("peak_day"), value("all[- ]time peak").alias("peak_all"), moment.alias("peak_at"))
