@@ -152,12 +152,12 @@ def names_in(value: Any) -> list[str]:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def json_names(values: pa.Array) -> pa.Array:
-    """``names_in`` of JSON texts of any form; text that is no JSON has none."""
+    """``names_in`` of JSON texts of any form; other text is a name itself, unless it begins like an object or a list."""
     def one(text: str | None) -> list[str]:
         try:
             return names_in(json.loads(text)) if text else []
         except ValueError:
-            return []
+            return [] if text.lstrip()[:1] in ("{", "[") else names_in(text)
 
     return pa.array(map(one, values.to_pylist()), pa.list_(pa.string()))
 

@@ -110,3 +110,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def cleared(spark: SparkSession, path: str) -> None:
     """Replace a table by none of its rows."""
     spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read from there, for plans that use it several times."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, titles
+from ..functions import hashing, labels, titles
 from .relational import broadcast_if_small, topk_per_group
 
 #: What a shared value of each facet adds, and a shared outlet or critic.
@@ -180,3 +180,83 @@ def final_scores(pairs: DataFrame, profile: dict[str, float] | None = None) -> D
 def vector_exceptions(pairs: DataFrame) -> DataFrame:
     """Pairs outside the taxonomy that are let in: text and re-rank very alike, a positive prototype, and at least one facet shared."""
     return pairs.filter("text >= 0.88 AND rerank >= 0.80 AND prototype > 0 AND shared > 0")
+
+
+#: The longest fused document, and the words below which a summary is made up for it.
+LONGEST_DOCUMENT, FEW_WORDS = 16_000, 60
+#: Fixed value: an anchor with fewer neighbours is hidden.
+LEAST_PUBLISHED = 2
+
+
+def fused_documents(rows: DataFrame, fingerprint: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, title, provider_text, labels, summary) with fingerprint and fused: the parts under their headings, cut to the feature's bound.
+
+    The summary stands in for a missing or short text.
+    """
+    axes = fingerprint.groupBy(key, "axis").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("_v"))
+    prints = axes.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "axis", "_v"))), "\n").alias("fingerprint"))
+    short = F.col("provider_text").isNull() | (F.size(F.split(F.trim("provider_text"), r"\s+")) < FEW_WORDS)
+    part = lambda name, text: F.when(F.length(F.trim(text)) > 0, F.concat(F.lit(f"[{name}]\n"), F.trim(text)))
+    parts = [part("title", F.col("title")), part("fingerprint", F.col("fingerprint")), part("labels", F.col("labels")), part("provider_text", F.col("provider_text")), part("synthetic_summary", F.when(short, F.col("summary")))]
+    return rows.join(prints, key, "left").withColumn("fused", F.substring(F.concat_ws("\n\n", *parts), 1, LONGEST_DOCUMENT))
+
+
+def embedded(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """kind, key, bucket, value: the hashed embeddings of each document column."""
+    out = None
+    for c in columns:
+        found = embeddings(docs, key, c).select(F.lit(c).alias("kind"), key, "bucket", "value")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def pools(sources: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """anchor, candidate, pools: the union of each source's best (anchor, candidate, score), so many an anchor."""
+    every = None
+    for name, (pairs, k) in sources.items():
+        best = topk_per_group(pairs.select("anchor", "candidate", "score"), ["anchor"], [F.desc("score"), F.asc("candidate")], k).select("anchor", "candidate", F.lit(name).alias("pool"))
+        every = best if every is None else every.unionByName(best)
+    return every.groupBy("anchor", "candidate").agg(F.array_sort(F.collect_set("pool")).alias("pools"))
+
+
+def lane_fit(fingerprint: DataFrame, signals: dict[str, tuple[str, list[str]]], conflicts: list[tuple[str, str | None]], least: int, key: str) -> DataFrame:
+    """key, hits, conflicts, fits: how many of a lane's signals (axis, values) a fingerprint has, and whether anything speaks against it."""
+    hit = F.lit(None).cast("string")
+    for name, (axis, values) in signals.items():
+        hit = F.when((F.col("axis") == axis) & F.col("value").isin(*values), name).otherwise(hit)
+    against = F.lit(False)
+    for axis, value in conflicts:
+        against = against | ((F.col("axis") == axis) & (F.lit(True) if value is None else F.col("value") == value))
+    found = fingerprint.groupBy(key).agg(F.countDistinct(hit).alias("hits"), F.bool_or(against).alias("conflicts"))
+    return found.withColumn("fits", (F.col("hits") >= least) & ~F.col("conflicts"))
+
+
+def publish(anchors: DataFrame, scored: DataFrame, k: int, least: int = LEAST_PUBLISHED) -> tuple[DataFrame, DataFrame]:
+    """The neighbours (anchor, candidate, final, rank) of anchors that have enough, and per anchor status, audit_state, published."""
+    best = topk_per_group(scored, ["anchor"], [F.desc("final"), F.asc("candidate")], k, "rank")
+    counts = anchors.join(best.groupBy("anchor").agg(F.count("*").alias("published")), "anchor", "left").withColumn("published", F.coalesce("published", F.lit(0).cast("long")))
+    hidden = F.col("published") < least
+    state = F.when(F.col("published") == 0, "insufficient_signal").when(hidden, "conflict_ambiguous")
+    run = counts.select("anchor", F.when(hidden, "hidden").otherwise("computed").alias("status"), state.alias("audit_state"), "published")
+    return best.join(run.filter("status = 'computed'").select("anchor"), "anchor", "left_semi"), run
+
+
+def mark_dirty(rows: DataFrame, reasons: list[str]) -> DataFrame:
+    """``rows`` (…, dirty, reasons) with new reasons behind those there are, each once; changed tells rows that have to be written."""
+    new = F.transform(F.array(*map(F.lit, reasons)), labels.token)
+    merged = labels.ordered_union(F.col("reasons"), new)
+    marked = rows.withColumn("_merged", merged).withColumn("changed", ~F.col("dirty") | (F.col("_merged") != F.col("reasons")))
+    return marked.withColumn("reasons", F.col("_merged")).withColumn("dirty", F.lit(True)).drop("_merged")
+
+
+def explanation(reasons: Column, final: Column, relationship: Column, components: dict[str, Column]) -> Column:
+    """The stored payload of a pair as JSON: three reasons, confidence, relationship, rounded components."""
+    confidence = F.when(final >= 0.82, "high").when(final >= 0.70, "medium").otherwise("low")
+    return F.to_json(F.struct(F.slice(reasons, 1, 3).alias("match_reasons"), confidence.alias("confidence"), relationship.alias("relationship_type"), F.struct(*[F.round(c, 4).alias(n) for n, c in components.items()]).alias("components")))
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    """The scoring profiles: name, the parts' weights, divisor, published, least_taxonomy."""
+    other = {"taxonomy": 0.5, "text": 0.2, "facet": 0.1, "prototype": 0.05, "rerank": 0.1, "prior": 0.05}
+    rows = [(n, *p.values(), DIVISOR, out, low) for n, p, out, low in (("local", PROFILE, PUBLISHED, LEAST_TAXONOMY), ("vectors", other, 0.5, 0.3))]
+    return spark.createDataFrame(rows, "name string, taxonomy double, text double, facet double, prototype double, rerank double, prior double, divisor int, published double, least_taxonomy double")

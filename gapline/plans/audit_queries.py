@@ -122,12 +122,6 @@ def missing_axes(spark, d):
     return hits.select("item", "archetype", "matched").join(F.broadcast(need), "archetype").filter(~F.array_contains("matched", F.col("axis"))).groupBy("archetype", "axis").agg(F.count("*").alias("n"))  # the rules' axes
 
 
-@query("AGG-21_archetype_confusion", None)
-def archetype_confusion(spark, d):
-    pairs = mq.secondaries(spark, d).select("primary", F.explode("secondaries").alias("secondary"))
-    return pairs.groupBy("primary", "secondary").agg(F.count("*").alias("n"))
-
-
 @query("AGG-22_relationship_confusion", views("items", then=mq._SHARED + " SELECT i.brand AS kind, CASE WHEN score >= 180 THEN 'high' ELSE 'medium' END AS relationship, count(*) AS n FROM s JOIN items i ON s.anchor = i.item WHERE score < 300 GROUP BY 1, 2 ORDER BY n DESC, kind, relationship LIMIT 50"))
 def relationship_confusion(spark, d):
     rows = mq.shared_facets(spark, d).filter("score < 300").join(b.items(spark, d).select(F.col("item").alias("anchor"), F.col("brand").alias("kind")), "anchor")

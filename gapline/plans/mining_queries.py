@@ -142,7 +142,6 @@ def archetypes(spark, d):
     return taxonomy.archetypes(fingerprints(spark, d), axes(spark), excluded).drop("confidence")
 
 
-@query("TAX-22_secondaries")
 def secondaries(spark, d):
     excluded = spark.createDataFrame(EXCLUDED, "value string, archetype string")
     return taxonomy.primary_and_secondary(taxonomy.archetypes(fingerprints(spark, d), axes(spark), excluded))
