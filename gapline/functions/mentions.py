@@ -111,3 +111,24 @@ def adjustment(text: Column, title: Column, primary: Column, is_ambiguous: Colum
     lead = F.when(is_ambiguous & generic_lead(text, primary, lists["followups"]) & primary.isin(*lists["common"]), d).otherwise(0)
     phrase = F.when(is_ambiguous & is_risky & other_word_before(text, primary, [*lists["stop"], *PREPOSITIONS, *lists["followups"], *lists["context"]]), e).otherwise(0)
     return F.when(only_referred_to(text, title), a).otherwise(0) + sequel + lead + phrase
+
+
+def numeral_variants(title: Column, romans: list[str]) -> Column:
+    """The title's words as text, with each numeral to twenty in figures or as a roman numeral, in every combination."""
+    table = F.array(*map(F.lit, romans))
+
+    def ways(w: Column) -> Column:
+        at = F.array_position(table, w)
+        figure = w.rlike("^([1-9]|1[0-9]|20)$")
+        return F.when(at > 0, F.array(w, at.cast("string"))).when(figure, F.array(w, F.get(table, w.try_cast("int") - 1))).otherwise(F.array(w))
+
+    start = F.expr("array(cast(array() as array<string>))")
+    every = F.aggregate(words(title), start, lambda acc, w: F.flatten(F.transform(acc, lambda a: F.transform(ways(w), lambda v: F.array_append(a, v)))))
+    return F.array_distinct(F.transform(every, lambda a: F.array_join(a, " ")))
+
+
+def segments_match(text: Column, title: Column) -> Column:
+    """Whether the parts of a title around its colons stand in a text in order, whatever is between; null for titles without two parts."""
+    parts = F.filter(F.transform(F.split(title, ":"), normalized), lambda p: F.length(p) >= 3)
+    pattern = F.concat(F.lit("(^| )"), F.array_join(parts, "( |$).*?(^| )"), F.lit("( |$)"))
+    return F.when(F.size(parts) >= 2, F.regexp(normalized(text), pattern))

@@ -184,7 +184,6 @@ def text_evidence(spark, d):
     return taxonomy.text_evidence(b.table(spark, d, "documents"), RULES, "doc_id", "text", "text")
 
 
-@query("AGG-20_boilerplate")
 def boilerplate(spark, d):
     parts = taxonomy.segments(b.table(spark, d, "documents"), "doc_id", "text")
     return taxonomy.flagged_segments(parts, [("licence", r"licensed under|all rights reserved"), ("contact", r"@|https?://")], [r"\bopen world\b"]).filter("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
@@ -225,7 +224,6 @@ def winners(spark, d):
     return linking.winners(phrase_candidates(spark, d))
 
 
-@query("LNK-08_fallback")
 def fallback(spark, d):
     return linking.fallback(stories(spark, d), dictionary(spark, d))
 
@@ -237,7 +235,6 @@ def relinked(spark, d):
     return linking.relinked(b.articles(spark, d).select("article", "item"), new)
 
 
-@query("RES-01_resolved")
 def resolved(spark, d):
     names = b.items(spark, d).select("title").distinct()
     wanted = names.select(F.col("title").alias("id"), F.concat(F.initcap("title"), F.lit(": Edition")).alias("title"), F.lit(None).cast("date").alias("released"))

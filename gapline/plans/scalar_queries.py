@@ -97,11 +97,6 @@ def compact(spark, d):
     return b.table(spark, d, "part").select("p_partkey", titles.compact(F.col("p_name")).alias("compact"), titles.trimmed_slug(F.concat("p_brand", F.lit(" & "), "p_type")).alias("slug"))
 
 
-@query("FN-20_ascii_labels")
-def ascii_labels(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", titles.ascii_label("text").alias("label"))
-
-
 @query("FN-32_html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark, d):
     return b.table(spark, d, "pages").select("page_id", titles.strip_html(F.col("html")).alias("text"))
