@@ -1,17 +1,20 @@
-"""Substring de-duplication by hashing lines and the sentences in them.
+"""Substring de-duplication by hashing lines, the sentences in them, and anchors among the words.
 
 A text is cut into units: lines, and within them what ends in a full stop,
 question or exclamation mark.  Units are normalised (lower-case words, nothing
 else) and hashed.  Digests are grouped over all documents; the occurrence that
 comes first, by document key and place, stays, and every other is repeated.
-Neighbouring repeated units make up a passage, which is removed if it has
-enough words.  All offsets are the original text's.
-
-Where units are too short or a copy starts and ends within them, stretches of
-words are compared instead: each stretch of a passage's least size that stands
-before is repeated, wherever lines and sentences end.  A stretch is known by
-the least digest of the shorter runs of words in it, its anchor; only
-stretches whose anchor stands twice are hashed and grouped.
+
+Where units are too short or a copy starts and ends within them, anchors find
+it: runs of ANCHOR_WORDS words, chosen by their digests alone, so that every
+stretch of a passage's least size has one, wherever lines and sentences end.
+Anchors are hashed and grouped with the units.
+
+Repeated units and anchors that touch, or that stand equally far apart at
+their first occurrence, make up a passage.  Its ends are then compared word by
+word with the first occurrence, as far as a copy can reach beyond its outermost
+anchors, and it is removed if it has enough words.  All offsets are the
+original text's.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import broadcast_if_small, cut, new_dir
+from .common import BROADCAST_BYTES, cut, merged, new_dir
 from .words import _ALNUM, utf8
 
 #: Units of fewer words are not hashed; they go with the passage around them.
@@ -33,8 +37,8 @@ UNIT_WORDS = 4
 #: Passages of fewer words stay: a line that many documents share by nature, such as a heading, is no copied text.
 PASSAGE_WORDS = 20
 _END = re.compile(rb"\n+|[.!?]+(?=\s)")
-UNITS = "unit int, start int, end int, n_words int, digest long, fresh boolean, word int"
-#: Words of the runs that anchor stretches.
+PIECES = "unit int, word int, n_words int, start int, end int, digest long, fresh boolean"
+#: Words of an anchor.
 ANCHOR_WORDS = 8
 #: Words hashed at once.
 HASH_WORDS = 1 << 18
@@ -56,97 +60,6 @@ def units_of(raw: bytes, least: int = UNIT_WORDS) -> list[tuple[int, int, int, i
     return out
 
 
-def units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The hashed units of each row: key, unit (number among them), start, end (code points, end open), n_words, digest, fresh (first of its digest in the text), word (words before it)."""
-    kind = docs.schema[key].dataType.simpleString()
-    names = [key, *(x.split()[0] for x in UNITS.split(", "))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, found, fresh, size = [], [], [], 0
-            for i, raw in enumerate(utf8(batch.column(1))):
-                got = units_of(raw, least)
-                word = np.searchsorted(word_places(raw)[0], [u[0] for u in got]).tolist() if got else []
-                if got and not raw.isascii():
-                    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                    got = [(int(before[a]), int(before[b]), n, d) for a, b, n, d in got]
-                seen: set[int] = set()
-                for n, unit in enumerate(got):
-                    of.append(i)
-                    found.append((n, *unit, word[n]))
-                    fresh.append(unit[3] not in seen)
-                    seen.add(unit[3])
-                size += len(raw)
-                if size >= 8 << 20:
-                    yield _unit_batch(batch.column(0), of, found, fresh, names)
-                    of, found, fresh, size = [], [], [], 0
-            yield _unit_batch(batch.column(0), of, found, fresh, names)
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {UNITS}")
-
-
-def _unit_batch(keys: pa.Array, of: list[int], found: list[tuple], fresh: list[bool], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [()] * 6
-    digest = pa.array(np.array(columns[4], np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(of, pa.int64())), *(pa.array(c, pa.int32()) for c in columns[:4]), digest, pa.array(fresh, pa.bool_()), pa.array(columns[5], pa.int32())], names=names)
-
-
-def repeated_units(docs: DataFrame, least: int = UNIT_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The units that stand somewhere before: key, unit, start, end, n_words, word, first_key (the key they stand first at).
-
-    Counts and least keys are combined before they are shuffled.  They come
-    back by a join that has one row per digest on one side, so that Spark can
-    split a digest with very many units on the other.
-    """
-    every = units(docs, least, key, text)
-    some = every.groupBy("digest").agg(F.count("*").alias("_n"), F.min(key).alias("first_key")).filter("_n > 1").drop("_n")
-    found = every.join(some, "digest")
-    first = F.col(key).eqNullSafe(F.col("first_key"))
-    return found.filter(~(first & F.col("fresh"))).select(key, "unit", "start", "end", "n_words", "word", "first_key")
-
-
-def repeated_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The passages to remove: key, start, end (code points from 0, end open), n_words, first_keys (sorted keys at which its units stand first).
-
-    A unit's first occurrence is the one with the least key, and in that text
-    the first.  Rows that share a key, null included, count as one document:
-    none repeats another of them, but what they repeat of others goes from
-    all.  Keys that are null come after all others.  A passage is a run of
-    repeated units between which at most units of under ``least`` words stand;
-    it has at least ``passage`` words in units.  Null and empty texts have no
-    units.  Passages of a row are gathered in one row, and nothing larger is.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    rows = repeated_units(docs, least, key, text).groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct("unit", "start", "end", "n_words", "first_key")).alias("_units"))
-    runs = _runs(kind)
-    out = rows.select("_key", F.explode(runs(F.col("_units"))).alias("p")).filter(F.col("p.n_words") >= passage)
-    return out.select(F.col("_key").alias(key), "p.*")
-
-
-def _runs(kind: str):
-    """An Arrow function that joins neighbouring units into passages."""
-    @F.arrow_udf(f"array<struct<start:int,end:int,n_words:int,first_keys:array<{kind}>>>")
-    def runs(rows: pa.Array) -> pa.Array:
-        inner = rows.type.value_type
-        out_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_keys", pa.list_(inner.field("first_key").type))]))
-        out = []
-        for found in rows.to_pylist():
-            passages: list[dict] = []
-            before = None
-            for u in sorted(found, key=lambda u: (u["unit"], u["start"], u["end"])):
-                if before is not None and u["unit"] == before + 1 and u["start"] >= passages[-1]["end"]:
-                    last = passages[-1]
-                    last["end"], last["n_words"] = u["end"], last["n_words"] + u["n_words"]
-                    last["first_keys"].add(u["first_key"])
-                else:
-                    passages.append({"start": u["start"], "end": u["end"], "n_words": u["n_words"], "first_keys": {u["first_key"]}})
-                before = u["unit"]
-            out.append([p | {"first_keys": sorted(p["first_keys"], key=lambda k: (k is None, k))} for p in passages])
-        return pa.array(out, out_kind)
-
-    return runs
-
-
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text start and end, in bytes."""
     letters = np.frombuffer(b" " + raw.translate(_ALNUM) + b" ", np.uint8) != 32
@@ -188,143 +101,265 @@ def _sliding(best: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return best(out[: len(x) - n + 1], out[n - width :])
 
 
-def _anchors(words: np.ndarray, passage: int) -> np.ndarray:
-    """The anchor of each stretch of ``passage`` words, of which there is one at least."""
-    short = min(ANCHOR_WORDS, passage)
-    return _sliding(np.minimum, _run_digests(words, short), passage - short + 1)
-
-
-def _anchor_rows(docs: DataFrame, passage: int, key: str, text: str) -> DataFrame:
-    """The anchors of each row: key, digest, n (1 if the stretches it anchors stand together, 2 if it comes back)."""
+def anchors_of(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the anchors of a text start, by the digests of its words, and their digests: the runs that are least among those of a stretch of ``passage`` words."""
+    n = min(ANCHOR_WORDS, passage)
+    runs, wide = _run_digests(words, n), passage - n + 1
+    if len(runs) < wide:
+        return np.empty(0, np.int64), runs[:0]
+    least = np.pad(_sliding(np.minimum, runs, wide), wide - 1)  # zero is no stretch's
+    at = np.flatnonzero(_sliding(np.maximum, least, wide) == runs)  # an anchor is the greatest of its stretches' least ones
+    return at, runs[at]
+
+
+def _code_points(raw: bytes) -> np.ndarray | None:
+    """For each byte the code points before it; None if that is the byte's own place."""
+    return None if raw.isascii() else np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+
+
+def pieces_of(raw: bytes, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS) -> list[np.ndarray]:
+    """unit (its number; -1 for an anchor), word (words before it), n_words, start, end (code points), digest, fresh (first of its digest in the text); without ``passage`` no anchors."""
+    starts, ends = word_places(raw)
+    units = units_of(raw, least)
+    a, b, n, digest = (np.array(x, np.uint64 if i == 3 else np.int64) for i, x in enumerate(zip(*units, strict=True))) if units else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    word, unit = np.searchsorted(starts, a), np.arange(len(a))
+    if passage and len(starts) >= passage:
+        at, found = anchors_of(_word_digests(raw, starts, ends), passage)
+        size = min(ANCHOR_WORDS, passage)
+        unit, word, n = np.concatenate([unit, np.full(len(at), -1)]), np.concatenate([word, at]), np.concatenate([n, np.full(len(at), size)])
+        a, b, digest = np.concatenate([a, starts[at]]), np.concatenate([b, ends[at + size - 1]]), np.concatenate([digest, found])
+    if (before := _code_points(raw)) is not None:
+        a, b = before[a], before[b]
+    fresh = np.zeros(len(digest), bool)
+    fresh[np.unique(digest, return_index=True)[1]] = True
+    return [unit, word, n, a, b, digest.view(np.int64), fresh]
+
+
+def pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The hashed units and anchors of each row: key and the columns of ``pieces_of``."""
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, *(x.split()[0] for x in PIECES.split(", "))]
+
+    def rows(keys: pa.Array, of: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*(x for _, x in of), strict=True)]
+        take = np.repeat([i for i, _ in of], [len(x[0]) for _, x in of])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), *(pa.array(c.astype(np.int32)) for c in columns[:5]), pa.array(columns[5]), pa.array(columns[6])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, found, often = [], [], []
+            of, size = [], 0
             for i, raw in enumerate(utf8(batch.column(1))):
-                start, end = word_places(raw)
-                if len(start) < passage:
-                    continue
-                words = _word_digests(raw, start, end)
-                short, least = min(ANCHOR_WORDS, passage), _anchors(words, passage)
-                runs = _run_digests(words, short)
-                around = np.pad(least, passage - short)
-                some, n = np.unique(runs[_sliding(np.maximum, around, passage - short + 1) == runs], return_counts=True)
-                of.append(np.full(len(some), i))
-                found.append(some.view(np.int64))
-                often.append(np.minimum(n, 2))
-            rows = np.concatenate([np.empty(0, np.int64), *of])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.concatenate([np.empty(0, np.int64), *often]))], names=[key, "digest", "n"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, digest long, n long")
-
-
-def _stretch_rows(docs: DataFrame, passage: int, key: str, text: str) -> DataFrame:
-    """The stretches at the anchors in ``_anchors``: key, word, start, end, digest, fresh."""
-    kind = docs.schema[key].dataType.simpleString()
-    names = [key, "word", "start", "end", "digest", "fresh"]
+                of.append((i, pieces_of(raw, least, passage)))
+                size += len(raw)
+                if size >= 4 << 20:
+                    yield rows(batch.column(0), of)
+                    of, size = [], 0
+            if of:
+                yield rows(batch.column(0), of)
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {PIECES}")
+
+
+def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pieces that stand somewhere before: key, unit, word, n_words, start, end, first_key, first_word.
+
+    Pieces are made once and kept in a Parquet table, as they are both counted
+    and joined.  Counts and first places are combined before they are shuffled;
+    they come back by a join that has one row per digest on one side, so that
+    Spark can split a digest with very many pieces on the other.
+    """
+    path = new_dir(docs.sparkSession, "pieces")
+    pieces(merged(docs.select(key, text)), least, passage, key, text).write.parquet(path, compression="zstd")
+    every = docs.sparkSession.read.parquet(path)
+    place = F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), "word")).alias("_first")
+    some = every.groupBy("digest").agg(F.count("*").alias("_n"), place).filter("_n > 1").select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word"))
+    first = F.col(key).eqNullSafe(F.col("first_key"))
+    return every.join(some, "digest").filter(~(first & F.col("fresh"))).select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
+
+
+def _passage_type(kind: str) -> str:
+    return f"array<struct<word:int,behind:int,start:int,end:int,n_words:int,keys:array<{kind}>,left_key:{kind},left_word:int,right_key:{kind},right_word:int>>"
+
+
+def _put_together(passage: int, kind: str):
+    """An Arrow function that puts a text's repeated pieces together."""
+    @F.arrow_udf(_passage_type(kind))
+    def put(rows: pa.Array) -> pa.Array:
+        key_type = rows.type.value_type.field("first_key").type
+        whole = [pa.int32()] * 5
+        names = ["word", "behind", "start", "end", "n_words", "keys", "left_key", "left_word", "right_key", "right_word"]
+        out_kind = pa.list_(pa.struct(list(zip(names, [*whole, pa.list_(key_type), key_type, pa.int32(), key_type, pa.int32()], strict=True))))
+        return pa.array([together([tuple(p.values()) for p in rows[i].as_py()], passage) for i in range(len(rows))], out_kind)
+
+    return put
+
 
-    def rows(keys: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])], names=names)
+def together(found: list[tuple], passage: int) -> list[dict]:
+    """Passages of (word, n_words, unit, start, end, first_key, first_word): runs of pieces that touch or overlap.
+
+    Between two units, units of too few words may stand, which don't count;
+    between two anchors that are equally far apart at their first occurrence,
+    as many words as a copy can have there, which do.
+    """
+    units = sorted(p for p in found if p[2] >= 0)
+    anchors = sorted((p for p in found if p[2] < 0), key=lambda p: p[0])
+    fill = [(u[0] + u[1], v[0] - u[0] - u[1], False) for u, v in zip(units, units[1:], strict=False) if v[2] == u[2] + 1 and v[3] >= u[4] and v[0] > u[0] + u[1]]
+    fill += [(u[0] + u[1], gap, True) for u, v in zip(anchors, anchors[1:], strict=False) if 0 < (gap := v[0] - u[0] - u[1]) <= passage - u[1] and u[5] == v[5] and v[0] - u[0] == v[6] - u[6]]
+    every = sorted([(p[0], 0, p) for p in found] + [(w, 1, (w, n, c)) for w, n, c in fill], key=lambda x: x[:2])
+    out: list[dict] = []
+    behind = counted = -1  # the word behind the passage, and behind the words counted
+    for word, filling, p in every:
+        if word > behind:
+            out.append({"word": word, "behind": word, "start": p[3], "end": p[4], "n_words": 0, "keys": set(), "left_key": p[5], "left_word": p[6], "right_key": p[5], "right_word": p[6] + p[1]})
+        last = out[-1]
+        if not filling or p[2]:
+            last["n_words"] += max(0, word + p[1] - max(word, counted))
+            counted = max(counted, word + p[1])
+        if not filling:
+            last["keys"].add(p[5])
+            if word + p[1] > last["behind"]:
+                last |= {"behind": word + p[1], "end": max(last["end"], p[4]), "right_key": p[5], "right_word": p[6] + p[1]}
+        behind = max(behind, word + p[1])
+    return [x | {"keys": sorted(x["keys"], key=lambda k: (k is None, k))} for x in out]
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, key: str, text: str) -> DataFrame:
+    """_key, word, side, digests, places: of the places ``wanted`` (_key, _at array<struct<word, side>>) the words before (side 0, nearest first) or from there on (1), and where these start or end."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["_key", "word", "side", "digests", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, size = [], 0
             for i, raw in enumerate(utf8(batch.column(1))):
-                start, end = word_places(raw)
-                if len(start) < passage:
-                    continue
-                words = _word_digests(raw, start, end)
-                wanted = np.asarray(batch.column(2)[i].values).view(np.uint64)
-                at = np.flatnonzero(np.isin(_anchors(words, passage), wanted))
-                digest = _run_digests(words, passage)[at].view(np.int64)
-                fresh = np.zeros(len(at), bool)
-                fresh[np.unique(digest, return_index=True)[1]] = True
-                a, b = start[at], end[at + passage - 1]
-                if not raw.isascii():
-                    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                    a, b = before[a], before[b]
-                parts.append((np.full(len(at), i), at.astype(np.int32), a.astype(np.int32), b.astype(np.int32), digest, fresh))
-                size += len(at)
-                if size >= 1 << 18:
-                    yield rows(batch.column(0), parts)
-                    parts, size = [], 0
-            if parts:
-                yield rows(batch.column(0), parts)
-
-    return docs.select(key, text, "_anchors").mapInArrow(run, f"`{key}` {kind}, word int, start int, end int, digest long, fresh boolean")
-
-
-def repeated_stretches(docs: DataFrame, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stretches of ``passage`` words that stand somewhere before: key, word (words before it), start, end, first_key.
-
-    Every one is found: equal stretches have equal anchors.  The texts meet
-    their own repeated anchors by one join and are read once more; what they
-    give is kept in a Parquet table, as it is both counted and joined.
-    """
-    every = _anchor_rows(docs, passage, key, text)
-    twice = every.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1").drop("_n")
-    wanted = every.select(key, "digest").join(twice, "digest").groupBy(F.col(key).alias("_key")).agg(F.collect_set("digest").alias("_anchors"))
+                starts, ends = word_places(raw)
+                digests = _word_digests(raw, starts, ends).view(np.int64) if len(starts) else np.empty(0, np.int64)
+                if (before := _code_points(raw)) is not None:
+                    starts, ends = before[starts], before[ends]
+                at = batch.column(2)[i].values
+                word, side = (at.field(n).to_numpy() for n in ("word", "side"))
+                step = np.arange(reach)
+                every = np.where(side[:, None] == 0, word[:, None] - 1 - step, word[:, None] + step)
+                good = (every >= 0) & (every < len(starts))
+                where = every[good]
+                places = np.where(np.repeat(side, good.sum(axis=1)) == 0, starts[where], ends[where]) if len(starts) else np.empty(0, np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(good.sum(axis=1))]), pa.int32())
+                keys = batch.column(0).take(pa.array(np.full(len(word), i)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(word, pa.int32()), pa.array(side, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(digests[where])), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))], names=names)
+
+    size, rows = wanted.agg(F.sum(F.size("_at")), F.count("*")).first()
+    small = F.broadcast(wanted) if (size or 0) * 16 + rows * 128 <= BROADCAST_BYTES else wanted  # else both sides are shuffled
     narrow = docs.select(key, text)
-    met = narrow.join(wanted, narrow[key].eqNullSafe(wanted["_key"]))
-    path = new_dir(docs.sparkSession, "stretches")
-    _stretch_rows(met, passage, key, text).write.parquet(path, compression="zstd")
-    found = docs.sparkSession.read.parquet(path)
-    some = found.groupBy("digest").agg(F.count("*").alias("_n"), F.min(key).alias("first_key")).filter("_n > 1").drop("_n")
-    first = F.col(key).eqNullSafe(F.col("first_key"))
-    return found.join(some, "digest").filter(~(first & F.col("fresh"))).select(key, "word", "start", "end", "first_key")
+    met = narrow.join(small, narrow[key].eqNullSafe(F.col("_key"))).select(F.col("_key"), text, "_at")
+    return met.mapInArrow(run, f"_key {kind}, word int, side int, digests array<long>, places array<int>")
 
 
 def copied_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The passages to remove, whether they are whole units or not: columns and order of keys as in ``repeated_passages``.
-
-    A passage is made of repeated units and of repeated stretches of
-    ``passage`` words that touch or overlap; between two units, units of
-    under ``least`` words may stand.  Its n_words are the words in either,
-    each once, ``passage`` at least.  A copied run of so many words is found
-    to its last word wherever lines and sentences end.  Text without spaces,
-    such as a line of Chinese, is one word between two marks or line ends.
+    """The passages to remove: key, start, end (code points from 0, end open), n_words, first_keys (sorted keys at which its pieces stand first).
+
+    A piece's first occurrence is the one with the least key, and in that text
+    the first.  Rows that share a key, null included, count as one document:
+    none repeats another of them, but what they repeat of others goes from
+    all.  Keys that are null come after all others.  A passage has at least
+    ``passage`` words that are in a repeated unit or anchor, between anchors
+    of one copy, or like the first occurrence's at its ends; a copied run of
+    2 * passage words and more is found whole, a shorter one unless each of
+    its few anchors stands somewhere else before.  Null and empty texts have
+    no pieces.  Text without spaces, such as a line of Chinese, is one word
+    between two marks or line ends.  The pieces of one document are gathered
+    in one row, and nothing larger is.
     """
+    return _passages(docs, least, passage, key, text, anchors=True)
+
+
+def repeated_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Passages of whole repeated units alone; columns, and what counts as first, as in ``copied_passages``."""
+    return _passages(docs, least, passage, key, text, anchors=False)
+
+
+def _passages(docs: DataFrame, least: int, passage: int, key: str, text: str, anchors: bool) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
-    in_units = repeated_units(docs, least, key, text)
-    in_stretches = repeated_stretches(docs, passage, key, text).select(key, F.lit(-2).alias("unit"), "start", "end", F.lit(passage).alias("n_words"), "word", "first_key")
-    rows = in_units.unionByName(in_stretches).groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("word", "n_words", "unit", "start", "end", "first_key")).alias("_units"))
-    out = rows.select("_key", F.explode(_joined(kind)(F.col("_units"))).alias("p")).filter(F.col("p.n_words") >= passage)
+    found = repeated_pieces(docs, least, passage if anchors else None, key, text)
+    rows = found.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("word", "n_words", "unit", "start", "end", "first_key", "first_word")).alias("_pieces"))
+    some = rows.select("_key", F.posexplode(_put_together(passage, kind)(F.col("_pieces"))).alias("_p", "p")).select("_key", "_p", "p.*")
+    reach = passage - min(ANCHOR_WORDS, passage)
+    if anchors and reach:
+        some = _extended(docs, cut(some.filter(F.col("n_words") + 2 * reach >= passage)), reach, key, text)
+    rows = some.groupBy("_key").agg(F.collect_list(F.struct("word", "behind", "start", "end", "n_words", "keys")).alias("_all"))
+    out = rows.select("_key", F.explode(_disjoint(kind)(F.col("_all"))).alias("p")).filter(F.col("p.n_words") >= passage)
     return out.select(F.col("_key").alias(key), "p.*")
 
 
-def _joined(kind: str):
-    """An Arrow function that joins units and stretches into passages."""
+def _extended(docs: DataFrame, some: DataFrame, reach: int, key: str, text: str) -> DataFrame:
+    """Passages with their ends moved outward while the words are the first occurrence's."""
+    ends = some.select("_key", "_p", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("word").alias("at"), F.col("left_key").alias("first_key"), F.col("left_word").alias("first_at")),
+        F.struct(F.lit(1).alias("side"), F.col("behind").alias("at"), F.col("right_key").alias("first_key"), F.col("right_word").alias("first_at")),
+    )).alias("e")).select("_key", "_p", "e.*")
+    asked = ends.select(F.col("_key"), F.struct(F.col("at").alias("word"), "side").alias("a")).union(ends.select("first_key", F.struct(F.col("first_at").alias("word"), "side")))
+    wanted = cut(asked.groupBy("_key").agg(F.collect_set("a").alias("_at")))
+    contexts = _contexts(docs, wanted, reach, key, text).groupBy("_key", "word", "side").agg(F.min(F.struct("digests", "places")).alias("c"))  # rows that share a key
+    contexts = cut(contexts)
+    own = contexts.select(F.col("_key").alias("_k"), F.col("word").alias("at"), "side", F.col("c").alias("_own"))
+    other = contexts.select(F.col("_key").alias("_f"), F.col("word").alias("first_at"), "side", F.col("c.digests").alias("_other"))
+    on_own = ends["_key"].eqNullSafe(own["_k"]) & (ends["at"] == own["at"]) & (ends["side"] == own["side"])
+    met = ends.join(own, on_own).select("_key", "_p", ends["side"], "first_key", "first_at", "_own")
+    on_first = met["first_key"].eqNullSafe(other["_f"]) & (met["first_at"] == other["first_at"]) & (met["side"] == other["side"])
+    both = met.join(other, on_first).select("_key", "_p", met["side"], "_own", "_other")
+    n = F.least(F.size("_own.digests"), F.size("_other"))
+    alike = F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(~F.get("_own.digests", i - 1).eqNullSafe(F.get("_other", i - 1)) | (i > n), i - 1)), lambda i: i.isNotNull())), n)
+    moved = both.select("_key", "_p", "side", alike.alias("n"), "_own.places").select("_key", "_p", "side", "n", F.get("places", F.col("n") - 1).alias("to"))
+    by_side = moved.groupBy("_key", "_p").agg(*[F.max(F.when(F.col("side") == s, F.struct("n", "to"))).alias(f"_{s}") for s in (0, 1)])
+    joined = some.join(by_side.withColumnsRenamed({"_key": "_k", "_p": "_q"}), some["_key"].eqNullSafe(F.col("_k")) & (some["_p"] == F.col("_q")), "left")
+    more = lambda s: F.coalesce(F.col(f"_{s}.n"), F.lit(0))
+    return joined.select(
+        "_key", (F.col("word") - more(0)).cast("int").alias("word"), (F.col("behind") + more(1)).cast("int").alias("behind"), F.coalesce(F.when(more(0) > 0, F.col("_0.to")), "start").alias("start"),
+        F.coalesce(F.when(more(1) > 0, F.col("_1.to")), "end").alias("end"), (F.col("n_words") + more(0) + more(1)).cast("int").alias("n_words"), "keys",
+    )
+
+
+def _disjoint(kind: str):
+    """An Arrow function that makes one passage of those that touch or overlap after their ends were moved."""
     @F.arrow_udf(f"array<struct<start:int,end:int,n_words:int,first_keys:array<{kind}>>>")
-    def joined(rows: pa.Array) -> pa.Array:
-        out_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_keys", pa.list_(rows.type.value_type.field("first_key").type))]))
+    def disjoint(rows: pa.Array) -> pa.Array:
+        key_type = rows.type.value_type.field("keys").type
+        out_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_keys", key_type)]))
         out = []
         for i in range(len(rows)):
-            pieces = list(zip(*(c.to_pylist() for c in rows[i].values.flatten()), strict=True))
-            units = sorted((p for p in pieces if p[2] >= 0), key=lambda p: p[2:5])
-            between = [(w + n, to - w - n) for (w, n, u, _, end, _), (to, _, v, start, *_) in zip(units, units[1:], strict=False) if v == u + 1 and start >= end and to > w + n]
-            pieces += [(w, n, -1, 0, 0, None) for w, n in between]  # the short units between two
             passages: list[dict] = []
-            behind = counted = -1  # the word behind the passage, and behind the words counted
-            for word, n, unit, start, end, first in sorted(pieces, key=lambda p: (p[0], p[3], p[1])):
-                if word > behind:
-                    passages.append({"start": start, "end": end, "n_words": 0, "first_keys": set()})
-                behind, last = max(behind, word + n), passages[-1]
-                if unit != -1:
-                    last["end"], last["n_words"] = max(last["end"], end), last["n_words"] + max(0, word + n - max(word, counted))
-                    last["first_keys"].add(first)
-                    counted = max(counted, word + n)
+            behind = -1
+            for p in sorted(rows[i].as_py(), key=lambda p: (p["word"], p["behind"], p["start"])):
+                if p["word"] > behind:
+                    passages.append({"start": p["start"], "end": p["end"], "n_words": p["n_words"], "first_keys": set(p["keys"])})
+                else:
+                    last, shared = passages[-1], min(behind, p["behind"]) - p["word"]
+                    last["end"], last["n_words"] = max(last["end"], p["end"]), last["n_words"] + max(0, p["n_words"] - shared)
+                    last["first_keys"] |= set(p["keys"])
+                behind = max(behind, p["behind"])
             out.append([p | {"first_keys": sorted(p["first_keys"], key=lambda k: (k is None, k))} for p in passages])
         return pa.array(out, out_kind)
 
-    return joined
+    return disjoint
+
+
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans (start, end), which may overlap."""
+    def one(text: str | None, cuts: list[dict] | None) -> str | None:
+        if text is None or not cuts:
+            return text
+        kept, at = [], 0
+        for c in sorted(cuts, key=lambda c: c["start"]):
+            kept.append(text[at : max(at, c["start"])])
+            at = max(at, c["end"])
+        return "".join([*kept, text[at:]])
+
+    return pa.array(map(one, texts.to_pylist(), spans.to_pylist()), pa.string())
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the passages cut out of their texts; all columns, rows without passages unchanged."""
-    spans = cut(passages.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")))
-    joined = docs.join(broadcast_if_small(spans, 256), docs[key].eqNullSafe(F.col("_key")), "left")
-    pieces = lambda s, x: F.struct((F.concat(s["kept"], F.substring(F.col(text), s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])))).alias("kept"), x["end"].alias("at"))
-    whole = F.aggregate("_spans", F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), pieces, lambda s: F.concat(s["kept"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(whole)).select(*docs.columns)
+    spans = cut(passages.groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("_spans")))
+    size, rows = spans.agg(F.sum(F.size("_spans")), F.count("*")).first()
+    small = F.broadcast(spans) if (size or 0) * 16 + rows * 128 <= BROADCAST_BYTES else spans  # else both sides are shuffled
+    joined = docs.join(small, docs[key].eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_spans")))).select(*docs.columns)

@@ -275,7 +275,6 @@ def stretches_of(rows, size=passages.PASSAGE_WORDS):
 
 
 def check_stretches(docs, rows):
-    assert sorted((tuple(r) for r in passages.repeated_stretches(docs).collect()), key=str) == stretches_of(rows)
     found = passages.copied_passages(docs).collect()
     inside = lambda key, a, b: any(p.doc_id == key and p.start <= a and b <= p.end for p in found)
     assert all(inside(key, a, b) for key, _, a, b, _ in stretches_of(rows))
