@@ -199,7 +199,9 @@ def filled_gaps(spark, d):
     return relational.merge_latest(old, new, ["item"], rules={"released": F.coalesce("old.released", "new.released")})
 
 
-@query("SIM-13_served_neighbours", None)
+@query("SIM-13_served_neighbours", views("items", then=mq._SHARED + """, best AS (SELECT anchor, candidate, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) AS INTEGER) AS rank, score FROM s), b2 AS (SELECT anchor, candidate, rank FROM best WHERE rank <= 5 AND score >= 200),
+    r AS (SELECT a.item AS anchor, c.item AS candidate, CAST(row_number() OVER (PARTITION BY a.item ORDER BY c.price DESC, c.item) AS INTEGER) AS rank FROM items a JOIN items c ON c.type = a.type AND c.item <> a.item WHERE a.item % 50 = 0 QUALIFY rank <= 5), ok AS (SELECT anchor FROM b2 GROUP BY anchor HAVING count(*) >= 2), ok2 AS (SELECT anchor FROM r GROUP BY anchor HAVING count(*) >= 2)
+    SELECT * FROM b2 WHERE anchor IN (SELECT anchor FROM ok) UNION ALL SELECT * FROM r WHERE anchor NOT IN (SELECT anchor FROM ok) AND anchor IN (SELECT anchor FROM ok2)"""))
 def served_neighbours(spark, d):
     """Neighbours by shared facets, or by type and brand where there are too few."""
     best = mq.top_similar(spark, d).filter("score >= 200").select("anchor", "candidate", "rank")
