@@ -55,6 +55,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+OP2_SQL = r"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, CAST(n AS BIGINT))) AS crc_table),
+bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b
+  FROM documents),
+summed AS (
+  SELECT doc_id, size, h, xor(4294967295, list_reduce(b, lambda c, x: xor(crc_table[CAST(xor(c, x) % 256 AS INTEGER) + 1], c // 256), CAST(4294967295 AS BIGINT))) AS text_crc32
+  FROM bytes, bits),
+jumped AS (
+  SELECT *, list_reduce(
+      list_concat([{'k': CAST(CAST('0x' || h[1:16] AS UBIGINT) AS HUGEINT), 'b': CAST(-1 AS BIGINT), 'j': CAST(0 AS BIGINT)}],
+                  list_transform(range(40), lambda i: {'k': CAST(0 AS HUGEINT), 'b': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT)})),
+      lambda s, x: CASE WHEN s.j >= 40 THEN s ELSE {
+        'k': (s.k * 2862933555777941757 + 1) % CAST(18446744073709551616 AS HUGEINT), 'b': s.j,
+        'j': CAST(floor((s.j + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(((s.k * 2862933555777941757 + 1) % CAST(18446744073709551616 AS HUGEINT)) // 8589934592 AS DOUBLE) + 1))) AS BIGINT)} END) AS hop
+  FROM summed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(hop.b AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY hop.b ORDER BY h[17:32], doc_id, text_crc32, size) - 1 AS slot, CAST(CASE WHEN hop.j = 40 THEN 40 ELSE hop.b END AS INTEGER) AS grown_shard
+FROM jumped
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -76,6 +100,26 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*(?:/?s>|/?INST\]|/?<?/?(?:SYS|ROLE|TURN)>>))', '\1\\\2', 'g')) AS chars,
+         length(regexp_replace(role, '([<\[])(\\*(?:/?s>|/?INST\]|/?<?/?(?:SYS|ROLE|TURN)>>))', '\1\\\2', 'g')) AS role_chars
+  FROM rows),
+grouped AS (
+  SELECT conv_id, count(*) AS n_turns, list(role ORDER BY turn NULLS FIRST, role, text) AS roles,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+         CAST(sum(chars + CASE role WHEN 'system' THEN 7 + 8 WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 3 + 4 ELSE 8 + role_chars + 9 + 9 END) AS BIGINT) AS formatted_chars
+  FROM marked GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars,
+       list_reduce(roles, lambda s, r: CASE WHEN (s = '' AND r IN ('system', 'user')) OR (s = 'system' AND r = 'user') OR (s = 'user' AND r = 'assistant') OR (s = 'assistant' AND r = 'user') THEN r ELSE '!' END, '') = 'assistant' AS valid
+FROM grouped
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -123,4 +167,4 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_decontamination, op4_licenses, op5_simhash, op6_tokens, op7_passages, op8_matroska, op9_chat, op10_languages)}
-ORACLE_SQL = {"op1_mixing": OP1_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_sharding": OP2_SQL, "op9_chat": OP9_SQL}
