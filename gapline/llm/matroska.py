@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,56 +233,96 @@ def samples(data: bytes, media: Media, track: int = 1) -> bytes:
 def feature(media: Media, payload: bytes) -> str:
     """Counts of the file's parts, its span, and the level and zero crossings of its samples around 128."""
     level = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
-    cued = sum(place in set(media.clusters) for _, _, place in media.cues)
+    clusters = set(media.clusters)
+    cued = sum(place in clusters for _, _, place in media.cues)
     last = max((t for _, t, *_ in media.packets), default=0)
     crossings = int(np.count_nonzero((level[1:] < 0) != (level[:-1] < 0)))
     mean = int(np.abs(level).sum(dtype=np.int64)) * 1000 // max(1, len(level))
     return f"tracks={len(media.tracks)};clusters={len(media.clusters)};blocks={media.blocks};packets={len(media.packets)};cues={cued};last_us={last // 1000};level={mean};crossings={crossings}"
 
 
-def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: int = 64) -> DataFrame:
-    """Per row of ``docs``: key, n_bytes long, media binary: the text's UTF-8, filled up with bytes 0 to a positive multiple of ``unit``, as a Matroska file.  A null text is empty."""
+#: Bytes of texts or files worked on at once in a task; a longer one is taken alone.
+TOGETHER = 8 << 20
 
-    @F.arrow_udf("binary")
-    def made(texts: pa.Array) -> pa.Array:
-        raw = (b"" if t is None else t.encode() for t in texts.to_pylist())
-        return pa.array([mux(b + bytes(-len(b) % unit if b else unit)) for b in raw], pa.binary())
 
-    return docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), made(F.col(text)).alias("media"))
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most about TOGETHER bytes: first row, number of rows."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > TOGETHER:
+            yield first, i - first
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes) - first
 
 
-def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """The packet table of a media column: key, n, track, timestamp_ns, start, end, keyframe, cluster; byte ranges from 0, end open.
+def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: int = 64) -> DataFrame:
+    """Per row of ``docs``: key, n_bytes long, media binary: the text's UTF-8, filled up with bytes 0 to a positive multiple of ``unit``, as a Matroska file.
 
-    A null file has no packets; a broken one is an error.
+    A null text is empty; repeated rows have files of their own.  Rows stay
+    where they are, and few megabytes of them are held at once; one file has
+    to fit one row.
     """
-    kind = pa.list_(pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keyframe", pa.bool_()), ("cluster", pa.int64())]))
+    kind = docs.schema[key].dataType.simpleString()
 
-    @F.arrow_udf("array<struct<track:long,timestamp_ns:long,start:long,end:long,keyframe:boolean,cluster:long>>")
-    def parsed(files: pa.Array) -> pa.Array:
-        names = [f.name for f in kind.value_type]
-        return pa.array([[dict(zip(names, p, strict=True)) for p in demux(f).packets] if f is not None else [] for f in files.to_pylist()], kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for first, n in _slices(sizes):
+                raw = [b"" if t is None else t.encode() for t in batch.column(1).slice(first, n).to_pylist()]
+                files = [mux(b + bytes(-len(b) % unit if b else unit)) for b in raw]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(map(len, raw), pa.int64()), pa.array(files, pa.binary())], names=[key, "n_bytes", "media"])
 
-    rows = media.select(F.col(key).alias("_key"), F.posexplode(parsed(F.col(column))).alias("n", "p"))
-    return rows.select(F.col("_key").alias(key), "n", "p.*")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def media_digest(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Per row of a media table: its other columns, and payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature, all from the stored bytes."""
+def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """The packet table of a media column: key, n, track, timestamp_ns, start, end, keyframe, cluster; byte ranges from 0, end open.
+
+    A null file has no packets; a broken one is an error.
+    """
+    names = ["track", "timestamp_ns", "start", "end", "keyframe", "cluster"]
+    types = [pa.int64()] * 4 + [pa.bool_(), pa.int64()]
+    kind = media.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for first, n in _slices(sizes):
+                found = [demux(f).packets if f is not None else [] for f in batch.column(1).slice(first, n).to_pylist()]
+                rows = [p for x in found for p in x]
+                keys = batch.column(0).slice(first, n).take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+                numbers = pa.array([i for x in found for i in range(len(x))], pa.int32())
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([keys, numbers, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "n", *names])
+
+    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, n int, track long, timestamp_ns long, start long, end long, keyframe boolean, cluster long")
+
+
+def media_digest(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
+    """Per row of a media table: key, the columns ``keep``, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature, all from the stored bytes; null where there is no file."""
     import hashlib
     import zlib
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature"]
-    kind = pa.struct([(names[0], pa.int64()), (names[1], pa.string()), (names[2], pa.int64()), (names[3], pa.string())])
-
-    def one(data: bytes) -> dict:
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
         found = demux(data)
         payload = samples(data, found)
-        return dict(zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature(found, payload)), strict=True))
-
-    @F.arrow_udf("struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,feature:string>")
-    def digest(files: pa.Array) -> pa.Array:
-        return pa.array([None if f is None else one(f) for f in files.to_pylist()], kind)
-
-    found = media.withColumn("_found", digest(F.col(column))).withColumn("media_bytes", F.octet_length(column).cast("long")).withColumn("media_sha256", F.sha2(column, 256))
-    return found.select(*[c for c in media.columns if c != column], *[f"_found.{n}" for n in names], "media_bytes", "media_sha256")
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(found, payload)
+
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kept = [key, *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column(len(kept))
+            sizes = pc.binary_length(files).fill_null(0).to_pylist()
+            for first, n in _slices(sizes):
+                columns = list(zip(*map(one, files.slice(first, n).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in batch.columns[:-1]), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept, *names])
+
+    schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in kept)
+    return media.select(*kept, column).mapInArrow(run, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, languages, licenses, matroska, mixing, passages, sharding, simhash, tokens
-from .common import new_dir, table
+from .common import merged, new_dir, table
 
 #: The id put after each document.
 END = 2
@@ -151,8 +151,8 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = new_dir(spark, "media")
-    matroska.store_media(table(spark, sf_dir, "documents")).write.parquet(stored, compression="zstd")
-    found = matroska.media_digest(spark.read.parquet(stored))
+    matroska.store_media(merged(table(spark, sf_dir, "documents"))).write.parquet(stored, compression="zstd")
+    found = matroska.media_digest(merged(spark.read.parquet(stored)))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
