@@ -9,12 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tables up to this many bytes by Spark's own estimate may be broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Tables up to this many bytes by Spark's own estimate may be broadcast. The estimate starts from compressed files and does not grow through
+#: ``explode``, so that a table may be several times as large in memory: the bound is low for that.
+BROADCAST_BYTES = 8 << 20
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint for ``df`` if its plan's size estimate, an upper bound, allows it; else Spark's own choice."""
+    """A broadcast hint for ``df`` if its plan's size estimate allows it; else Spark's own choice, a shuffle join for large tables."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if estimate <= limit else df
 

@@ -107,13 +107,13 @@ def rerank(a_words: Column, b_words: Column, telling: list[str]) -> Column:
     return F.least(F.lit(1.0), F.coalesce(jaccard, F.lit(0.0)) + F.least(hits, F.lit(5)) * 0.08)
 
 
-def diverse(pairs: DataFrame, k: int, anchor: str = "anchor", group: str = "group", score: str = "score", tie: str = "candidate", pool: int = 600) -> DataFrame:
+def diverse(pairs: DataFrame, k: int, anchor: str = "anchor", group: str = "group", score: str = "score", tie: str = "candidate", pool: int | None = None) -> DataFrame:
     """anchor, candidate, place: greedy selection in which each chosen candidate makes its group cost REPEAT_PENALTY more.
 
     The choice is sequential; it runs anchor by anchor over the best ``pool``
-    candidates, which is the feature's own bound.
+    candidates, which is the feature's own bound: sixty for each place, 600 at least.
     """
-    best = topk_per_group(pairs, [anchor], [F.desc(score), F.asc(tie)], pool)
+    best = topk_per_group(pairs, [anchor], [F.desc(score), F.asc(tie)], pool or max(60 * k, 600))
     key, candidate = pairs.schema[anchor].dataType.simpleString(), pairs.schema[tie].dataType.simpleString()
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
