@@ -478,3 +478,68 @@ def test_digests_are_of_normalised_words():
     raw = "Ab cd, EF gh!  Next line has words\nlast".encode()
     assert [(a, b, n) for a, b, n, _ in passages.units_of(raw)] == [(0, 13, 4), (15, 34, 4)]
     assert passages.units_of(raw)[0][3] == xxhash.xxh3_64_intdigest(b"ab cd ef gh")
+
+
+# --- stored media, read by another reader
+
+
+def read_tree(data, at, end, parents=(0x18538067, 0x1F43B675, 0x1654AE6B, 0xAE, 0x1C53BB6B, 0xBB, 0xB7)):
+    """(ids from the root, data) of all elements of known size, by recursion."""
+    def number(at, keep):
+        n = 1
+        while not data[at] & (0x80 >> (n - 1)):
+            n += 1
+        value = int.from_bytes(data[at : at + n], "big")
+        return (value if keep else value & ((1 << 7 * n) - 1)), at + n
+
+    while at < end:
+        kind, at = number(at, True)
+        size, at = number(at, False)
+        yield (kind,), data[at : at + size]
+        if kind in parents:
+            for path, body in read_tree(data, at, at + size, parents):
+                yield (kind, *path), body
+        at += size
+
+
+def plain_media(data):
+    """Payload and feature of a file with one track of laced simple blocks, by the specification."""
+    payload, blocks, packets, clusters, cues, tracks = b"", 0, 0, 0, 0, 0
+    for path, body in read_tree(data, 0, len(data)):
+        tracks += path[-1] == 0xAE
+        clusters += path[-1] == 0x1F43B675
+        cues += path[-1] == 0xF1
+        if path[-1] == 0xA3:
+            blocks += 1
+            body, lacing = body[4:], body[3] >> 1 & 3
+            if lacing == 0:
+                packets += 1
+            else:
+                count = body[0] + 1
+                body = body[1:]
+                packets += count
+                if lacing == 3:  # sizes: the first, then signed differences
+                    at, n = 0, 0
+                    while n < count - 1:
+                        width = 1
+                        while not body[at] & (0x80 >> (width - 1)):
+                            width += 1
+                        at, n = at + width, n + 1
+                    body = body[at:]
+            payload += body
+    level = [b - 128 for b in payload]
+    crossings = sum((x < 0) != (y < 0) for x, y in zip(level, level[1:], strict=False))
+    last = (packets - 1) * 512 * 125
+    return payload, f"tracks={tracks};clusters={clusters};blocks={blocks};packets={packets};cues={cues};last_us={last};level={sum(map(abs, level)) * 1000 // len(level)};crossings={crossings}"
+
+
+def test_media_and_features_by_another_reader(spark):
+    texts = {r.doc_id: r.text for r in docs_of(spark).collect()}
+    files = {r.doc_id: r.media for r in matroska.store_media(docs_of(spark)).collect()}
+    for r in queries.op8_matroska(spark, SF).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        payload, feature = plain_media(files[r.doc_id])
+        assert payload == padded and r.feature == feature
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())

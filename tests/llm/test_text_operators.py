@@ -134,3 +134,34 @@ def test_labels_of_long_expressions():
     for text in ("a", "a or b and c with d", "(a or b) with c and a", "a with (b or c)", "(a or b) and (c or a with d)", "a with b with c"):
         postfix = licenses.to_postfix(text)
         assert licenses.labels_of(postfix) == {x for choice in licenses.evaluate(postfix) for x in choice}
+
+
+def plain_labels(text):
+    """Labels and score by comparing every phrase at every word, and every tag's expression by its operands."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = lambda phrase: any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))
+    labels = {v for p, v in licenses.BASE.items() if at(p)}
+    score = max([licenses.BASE_SCORE for p in licenses.BASE if at(p)] + [s for p, (_, s) in licenses.NOTICES.items() if at(p)], default=0.0)
+    labels |= {v for p, (v, _) in licenses.NOTICES.items() if at(p)}
+    for found in re.findall(r"SPDX-License-Identifier: ([A-Za-z0-9.+-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+-]+)*)", text or ""):
+        terms = found.split(" ")
+        score = 1.0
+        i = 0
+        while i < len(terms):
+            if i + 2 < len(terms) and terms[i + 1] == "WITH":
+                labels.add(f"{terms[i]} with {terms[i + 2]}".lower())
+                i += 4
+            else:
+                labels.add(terms[i].lower())
+                i += 2
+    return sorted(labels), score
+
+
+def test_labels_and_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    parts = [*licenses.BASE, *licenses.NOTICES, "filler words", "Apache, License;", "MIT", "SPDX-License-Identifier: MIT\n", "SPDX-License-Identifier: Apache-2.0 OR MIT\n", "SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 AND BSD\n"]
+    docs += [(-i, " . ".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))) for i in range(1, 300)]
+    found = {r.doc_id: (list(r.labels), r.score) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for key, text in docs:
+        assert found[key] == plain_labels(text), text
