@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, cut, merged, new_dir
+from .common import BROADCAST_BYTES, broadcast_if_small, cut, merged, new_dir
 from .words import _ALNUM, utf8
 
 #: Units of fewer words are not hashed; they go with the passage around them.
@@ -163,18 +164,23 @@ def pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSA
 def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces that stand somewhere before: key, unit, word, n_words, start, end, first_key, first_word.
 
-    Pieces are made once and kept in a Parquet table, as they are both counted
-    and joined.  Counts and first places are combined before they are shuffled;
-    they come back by a join that has one row per digest on one side, so that
-    Spark can split a digest with very many pieces on the other.
+    Pieces are made once and kept in a Parquet table.  Their digests alone are
+    counted, combined before they are shuffled.  Few are repeated, and only
+    the pieces of these are looked at further: by a join with the repeated
+    digests, broadcast while their number is small, else shuffled, with one row
+    per digest on one side, so that Spark can split a digest with very many
+    pieces on the other.
     """
     path = new_dir(docs.sparkSession, "pieces")
     pieces(merged(docs.select(key, text)), least, passage, key, text).write.parquet(path, compression="zstd")
     every = docs.sparkSession.read.parquet(path)
+    twice = cut(every.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest"))
+    found = every.join(broadcast_if_small(twice, 32), "digest")
     place = F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), "word")).alias("_first")
-    some = every.groupBy("digest").agg(F.count("*").alias("_n"), place).filter("_n > 1").select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word"))
+    some = cut(found.groupBy("digest").agg(place).select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word")))
     first = F.col(key).eqNullSafe(F.col("first_key"))
-    return every.join(some, "digest").filter(~(first & F.col("fresh"))).select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
+    placed = every.join(broadcast_if_small(some, 64), "digest")
+    return placed.filter(~(first & F.col("fresh"))).select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
 
 
 def _passage_type(kind: str) -> str:
@@ -189,7 +195,9 @@ def _put_together(passage: int, kind: str):
         whole = [pa.int32()] * 5
         names = ["word", "behind", "start", "end", "n_words", "keys", "left_key", "left_word", "right_key", "right_word"]
         out_kind = pa.list_(pa.struct(list(zip(names, [*whole, pa.list_(key_type), key_type, pa.int32(), key_type, pa.int32()], strict=True))))
-        return pa.array([together([tuple(p.values()) for p in rows[i].as_py()], passage) for i in range(len(rows))], out_kind)
+        found = list(zip(*(c.to_pylist() for c in rows.flatten().flatten()), strict=True))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+        return pa.array([together(found[a:b], passage) for a, b in zip(ends[:-1], ends[1:], strict=True)], out_kind)
 
     return put
 
@@ -224,7 +232,7 @@ def together(found: list[tuple], passage: int) -> list[dict]:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, key: str, text: str) -> DataFrame:
-    """_key, word, side, digests, places: of the places ``wanted`` (_key, _at array<struct<word, side>>) the words before (side 0, nearest first) or from there on (1), and where these start or end."""
+    """_key, word, side, digests, places: of the places ``wanted`` (_key, _at array<long>: 2 * word + side) the words before (side 0, nearest first) or from there on (1), and where these start or end."""
     kind = docs.schema[key].dataType.simpleString()
     names = ["_key", "word", "side", "digests", "places"]
 
@@ -235,8 +243,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, key: str, text: st
                 digests = _word_digests(raw, starts, ends).view(np.int64) if len(starts) else np.empty(0, np.int64)
                 if (before := _code_points(raw)) is not None:
                     starts, ends = before[starts], before[ends]
-                at = batch.column(2)[i].values
-                word, side = (at.field(n).to_numpy() for n in ("word", "side"))
+                at = batch.column(2)[i].values.to_numpy()
+                word, side = at >> 1, at & 1
                 step = np.arange(reach)
                 every = np.where(side[:, None] == 0, word[:, None] - 1 - step, word[:, None] + step)
                 good = (every >= 0) & (every < len(starts))
@@ -247,7 +255,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, key: str, text: st
                 yield pa.RecordBatch.from_arrays([keys, pa.array(word, pa.int32()), pa.array(side, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(digests[where])), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))], names=names)
 
     size, rows = wanted.agg(F.sum(F.size("_at")), F.count("*")).first()
-    small = F.broadcast(wanted) if (size or 0) * 16 + rows * 128 <= BROADCAST_BYTES else wanted  # else both sides are shuffled
+    small = F.broadcast(wanted) if (size or 0) * 8 + rows * 96 <= BROADCAST_BYTES else wanted  # else both sides are shuffled
     narrow = docs.select(key, text)
     met = narrow.join(small, narrow[key].eqNullSafe(F.col("_key"))).select(F.col("_key"), text, "_at")
     return met.mapInArrow(run, f"_key {kind}, word int, side int, digests array<long>, places array<int>")
@@ -295,7 +303,8 @@ def _extended(docs: DataFrame, some: DataFrame, reach: int, key: str, text: str)
         F.struct(F.lit(0).alias("side"), F.col("word").alias("at"), F.col("left_key").alias("first_key"), F.col("left_word").alias("first_at")),
         F.struct(F.lit(1).alias("side"), F.col("behind").alias("at"), F.col("right_key").alias("first_key"), F.col("right_word").alias("first_at")),
     )).alias("e")).select("_key", "_p", "e.*")
-    asked = ends.select(F.col("_key"), F.struct(F.col("at").alias("word"), "side").alias("a")).union(ends.select("first_key", F.struct(F.col("first_at").alias("word"), "side")))
+    place = lambda at: (F.col(at) * 2 + F.col("side")).cast("long")
+    asked = ends.select(F.col("_key"), place("at").alias("a")).union(ends.select("first_key", place("first_at")))
     wanted = cut(asked.groupBy("_key").agg(F.collect_set("a").alias("_at")))
     contexts = _contexts(docs, wanted, reach, key, text).groupBy("_key", "word", "side").agg(F.min(F.struct("digests", "places")).alias("c"))  # rows that share a key
     contexts = cut(contexts)
