@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import records
-from .common import broadcast_if_small, kept, new_dir
+from .common import broadcast_if_small, kept, merged, new_dir
 
 #: Pieces of text whose ids a task remembers; when so many have come, those not seen since the last time are forgotten.
 REMEMBERED = 250_000
@@ -236,7 +236,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int | None = 2, key: str
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    rows = merged(docs).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     order = [F.asc_nulls_first("key"), F.asc("tie"), F.asc("place")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     place = f"{folder}/records"
