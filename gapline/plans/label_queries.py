@@ -390,7 +390,7 @@ def lane_fit(spark, d):
     return similarity.lane_fit(mq.fingerprints(spark, d), signals, [(taxonomy.EXCLUSIONS, None)], 2, "item")
 
 
-@query("SIM-10_vector_exceptions", views("items", then=mq._SHARED + " SELECT anchor, candidate FROM s WHERE (0.8 + candidate % 20 / 100.0) >= 0.88 AND (0.7 + candidate % 15 / 100.0) >= 0.80 AND candidate % 7 - 2 > 0"))
+@query("SIM-10_vector_exceptions", views("items", then=mq._SHARED + " SELECT anchor, candidate FROM s WHERE 80 + candidate % 20 >= 88 AND 70 + candidate % 15 >= 80 AND candidate % 7 - 2 > 0"))
 def vector_exceptions(spark, d):
     rows = mq.shared_facets(spark, d)
     hundredths = lambda base, n: (F.lit(base) + F.col("candidate") % n) / 100
