@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import labels, mentions, titles
 from .relational import broadcast_if_small, topk_per_group
@@ -11,34 +17,75 @@ from .relational import broadcast_if_small, topk_per_group
 #: What a title found in headline or description scores, the least score and lead, and how common a rarest word may be.
 IN_HEADLINE, IN_DESCRIPTION, LEAST, LEAD, MOST_COMMON = 90, 65, 65, 8, 12
 LONGEST = 8
+#: Titles that may go to every task at once.
+MOST_TITLES = 100_000
+#: Telling words of a title by which it meets the catalog.
+RAREST = 3
+_WORD = re.compile("[a-z0-9]+")
 
 
-def phrase_candidates(articles: DataFrame, dictionary: DataFrame, key: str = "article", id: str = "item", longest: int = LONGEST) -> DataFrame:
+def phrase_candidates(articles: DataFrame, dictionary: DataFrame, key: str = "article", id: str = "item", longest: int = LONGEST, most: int = MOST_TITLES) -> DataFrame:
     """key, id, in_headline, in_description, score: titles whose words stand next to each other in an article.
 
-    Articles' n-grams, of the lengths that titles have, meet titles in an equi
-    join; no article is tried against all titles.  Titles of more than
-    ``longest`` words are matched by their first ``longest`` and then verified.
+    Up to ``most`` titles go to every task, which looks them up by their first
+    words in one pass over the texts.  Beyond it articles' n-grams, of the
+    lengths that titles have, meet titles in an equi join, and titles of more
+    than ``longest`` words are matched by their first ``longest`` and then
+    verified.  No article is tried against all titles.
     """
-    words = titles.words(F.col("title"))
-    entries = dictionary.select(id, words.alias("_w")).filter(F.size("_w") > 0).withColumns({"n": F.least(F.size("_w"), F.lit(longest)), "_whole": F.array_join("_w", " ")}).withColumn("gram", F.array_join(F.slice("_w", F.lit(1), F.col("n")), " ")).drop("_w")
+    whole = F.array_join(titles.words(F.col("title")), " ")
+    entries = dictionary.select(id, whole.alias("_whole")).filter("_whole <> ''")
+    known = entries.limit(most + 1).collect()  # at most ``most`` titles
+    sure = _looked_up(articles, [tuple(r) for r in known], key, id, dictionary.schema[id].dataType) if len(known) <= most else _joined_grams(articles, entries, key, id, longest)
+    both = sure.groupBy(key, id).agg(F.bool_or(F.col("_where") == "headline").alias("in_headline"), F.bool_or(F.col("_where") == "description").alias("in_description"), F.max("_length").alias("_length"))
+    score = F.col("_length") + F.when(F.col("in_headline"), IN_HEADLINE).otherwise(0) + F.when(F.col("in_description"), IN_DESCRIPTION).otherwise(0)
+    return both.select(key, id, "in_headline", "in_description", score.alias("score"))
+
+
+def _looked_up(articles: DataFrame, known: list[tuple], key: str, id: str, id_kind: T.DataType) -> DataFrame:
+    """key, id, _where, _length of the titles (id, words joined) that stand in headlines and descriptions."""
+    by_first: dict[str, list[tuple]] = {}
+    for one, whole in known:
+        by_first.setdefault(whole.split(" ", 1)[0], []).append((f"{whole} ", one, len(whole)))
+    kind = articles.schema[key].dataType.simpleString()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = to_arrow_type(id_kind)
+        for batch in batches:
+            rows, found, where, lengths = [], [], [], []
+            for name, column in (("headline", 1), ("description", 2)):
+                for i, text in enumerate(batch.column(column).to_pylist()):
+                    words = _WORD.findall((text or "").lower())
+                    line, at, seen = " ".join(words) + " ", 0, set()
+                    for w in words:
+                        for whole, one, n in by_first.get(w, ()):
+                            if (whole, one) not in seen and line.startswith(whole, at):
+                                seen.add((whole, one))
+                                rows.append(i)
+                                found.append(one)
+                                where.append(name)
+                                lengths.append(n)
+                        at += len(w) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type), pa.array(where, pa.string()), pa.array(lengths, pa.int32())], names=[key, id, "_where", "_length"])
+
+    return articles.select(key, "headline", "description").mapInArrow(run, f"`{key}` {kind}, `{id}` {id_kind.simpleString()}, _where string, _length int")
+
+
+def _joined_grams(articles: DataFrame, entries: DataFrame, key: str, id: str, longest: int) -> DataFrame:
+    """The same for any number of titles, by an equi join of n-grams."""
+    words = F.split("_whole", " ")
+    entries = entries.withColumn("n", F.least(F.size(words), F.lit(longest))).withColumn("gram", F.array_join(F.slice(words, F.lit(1), F.col("n")), " "))
     lengths = sorted(r.n for r in entries.select("n").distinct().collect())  # at most ``longest`` numbers
 
     def grams(where: str) -> DataFrame:
         joined = F.concat(*[F.transform(titles.runs(F.col(where), n), lambda r: F.array_join(r, " ")) for n in lengths])
         return articles.select(key, F.lit(where).alias("_where"), F.explode(F.array_distinct(joined)).alias("gram"))
 
-    if not lengths:
-        return articles.limit(0).select(key).join(dictionary.limit(0).select(id)).select(key, id, F.lit(True).alias("in_headline"), F.lit(True).alias("in_description"), F.lit(0).alias("score"))
-    met = grams("headline").unionByName(grams("description")).join(broadcast_if_small(entries), "gram").withColumn("_size", F.size(F.split("_whole", " ")))
+    met = grams("headline").unionByName(grams("description")).join(broadcast_if_small(entries), "gram").withColumn("_size", F.size(words))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(titles.words(F.col(c)), " "), F.lit(" "))
     text = F.when(F.col("_where") == "headline", spaced("headline")).otherwise(spaced("description"))
     long = met.filter(F.col("_size") > longest).join(articles.select(key, "headline", "description"), key)
     long = long.filter(F.contains(text, F.concat(F.lit(" "), F.col("_whole"), F.lit(" "))))
-    sure = met.filter(F.col("_size") <= longest).unionByName(long.select(*met.columns))
-    both = sure.groupBy(key, id).agg(F.bool_or(F.col("_where") == "headline").alias("in_headline"), F.bool_or(F.col("_where") == "description").alias("in_description"), F.max(F.length("_whole")).alias("_length"))
-    score = F.col("_length") + F.when(F.col("in_headline"), IN_HEADLINE).otherwise(0) + F.when(F.col("in_description"), IN_DESCRIPTION).otherwise(0)
-    return both.select(key, id, "in_headline", "in_description", score.alias("score"))
+    return met.filter(F.col("_size") <= longest).unionByName(long.select(*met.columns)).select(key, id, "_where", F.length("_whole").alias("_length"))
 
 
 def winners(candidates: DataFrame, key: str = "article", id: str = "item") -> DataFrame:
@@ -79,7 +126,7 @@ def relinked(old: DataFrame, new: DataFrame, key: str = "article", id: str = "it
 
 
 def resolve(wanted: DataFrame, catalog: DataFrame, least: float = 0.85, tolerance: int = 90, k: int = 10) -> DataFrame:
-    """id, match, similarity: the catalog entry most like a title, among those that share a telling word with it.
+    """id, match, similarity: the catalog entry most like a title, among those that share one of its RAREST telling words that the catalog has least.
 
     ``wanted`` has id, title, released; ``catalog`` entry, name, date.  A date
     out of tolerance costs three tenths of the similarity unless that is at
@@ -88,7 +135,10 @@ def resolve(wanted: DataFrame, catalog: DataFrame, least: float = 0.85, toleranc
     from ..functions import dates
 
     block = lambda rows, text: rows.withColumn("_word", F.explode(F.array_distinct(F.filter(titles.words(titles.normalized_title(F.col(text))), lambda w: ~w.isin(*titles.STOP)))))
-    pairs = block(wanted, "title").join(block(catalog, "name"), "_word").drop("_word").dropDuplicates(["id", "entry"])
+    entries = block(catalog, "name")
+    often = entries.groupBy("_word").agg(F.count("*").alias("_often"))
+    rare = topk_per_group(block(wanted, "title").join(often, "_word"), ["id"], [F.asc("_often"), F.asc("_word")], RAREST).drop("_often")
+    pairs = rare.join(entries, "_word").drop("_word").dropDuplicates(["id", "entry"])
     scored = pairs.withColumn("_raw", titles.title_similarity(titles.normalized_title(F.col("title")), titles.normalized_title(F.col("name"))))
     fits = dates.dates_match(F.col("released"), F.col("date"), tolerance) | (F.col("_raw") >= 0.97)
     judged = scored.filter(titles.titles_related(F.col("title"), F.col("name"), F.col("_raw"))).withColumn("similarity", F.when(fits, F.col("_raw")).otherwise(F.col("_raw") * 0.7))

@@ -51,20 +51,30 @@ def baselines(rows: DataFrame, item: str = "item", ts: str = "sampled_at", value
 def markers(rows: DataFrame, item: str = "item", ts: str = "sampled_at", value: str = "players", tie: str = "sample_id") -> DataFrame:
     """item, at, players, marker: the first sample, surges, drops and rebounds of each series.
 
-    Baselines come from a window; only what depends on the last marker, which
-    silences others for COOLDOWN, is walked through in order, series by series.
+    Baselines come from a window, and so do the rows that can be marked at all:
+    far from their baseline, right after one that is, or far enough above a
+    recent drop.  Only these few are walked through in order, series by
+    series, as each marker silences others for COOLDOWN.
     """
     based = baselines(without_blips(rows, item, ts, value, tie), item, ts, value, tie)
     kind = rows.schema[item].dataType.simpleString()
+    narrow = based.select(F.col(item).alias("item"), micros(ts).alias("at"), F.col(value).cast("double").alias("players"), F.col(tie).alias("tie"), F.col("baseline").cast("double").alias("baseline"))
+    first = narrow.groupBy("item").agg(F.min(F.struct("at", "tie", "players")).alias("f")).select("item", "f.at", "f.players", F.lit("first_tracked").alias("marker"))
+
+    series = Window.partitionBy("item").orderBy("at", "tie")
+    diff = F.col("players") - F.col("baseline")
+    judged = narrow.filter("baseline > 0").withColumn("big", (F.abs(diff) >= JUMP) & (F.abs(diff) / F.col("baseline") >= SHARE))
+    low = F.min(F.when(F.col("big") & (diff < 0) & (F.col("players") > 0), F.col("players"))).over(Window.partitionBy("item").orderBy("at").rangeBetween(-WINDOW, 0))
+    judged = judged.withColumn("low", low).withColumns({"low": F.lag("low").over(series), "after_big": F.coalesce(F.lag("big").over(series), F.lit(False)), "before": F.lag("at").over(series)})
+    rebound = (F.col("players") - F.col("low") >= JUMP) & ((F.col("players") - F.col("low")) / F.col("low") >= SHARE)
+    judged = judged.withColumn("some", F.col("big") | F.col("after_big") | F.coalesce(rebound, F.lit(False)))
+    judged = judged.withColumn("before", F.when(~F.coalesce(F.lag("some").over(series), F.lit(True)), F.col("before"))).filter("some")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "tie"])
         out, marked_at, drop = [], None, None
-        for n, (at, players, base) in enumerate(frame[["at", "players", "baseline"]].itertuples(index=False)):
-            if n == 0:
-                out.append((at, players, "first_tracked"))
-            if base is None or pd.isna(base) or base <= 0:
-                continue
+        for at, players, base, before in frame.sort_values(["at", "tie"])[["at", "players", "baseline", "before"]].itertuples(index=False):
+            if drop and not pd.isna(before) and before - drop[0] > WINDOW:
+                drop = None  # a row that isn't here has ended it
             diff = players - base
             if marked_at is None or at - marked_at >= COOLDOWN:
                 if abs(diff) >= JUMP and abs(diff) / base >= SHARE:
@@ -80,9 +90,8 @@ def markers(rows: DataFrame, item: str = "item", ts: str = "sampled_at", value:
                 drop = None
         return pd.DataFrame([(frame["item"].iloc[0], *x) for x in out], columns=["item", "at", "players", "marker"])
 
-    narrow = based.select(F.col(item).alias("item"), micros(ts).alias("at"), F.col(value).cast("double").alias("players"), F.col(tie).alias("tie"), F.col("baseline").cast("double").alias("baseline"))
-    found = narrow.groupBy("item").applyInPandas(walk, f"item {kind}, at long, players double, marker string")
-    return found.select(F.col("item").alias(item), F.timestamp_micros("at").alias("at"), "players", "marker")
+    found = judged.select("item", "at", "players", "tie", "baseline", "before").groupBy("item").applyInPandas(walk, f"item {kind}, at long, players double, marker string")
+    return first.unionByName(found).select(F.col("item").alias(item), F.timestamp_micros("at").alias("at"), "players", "marker")
 
 
 def buckets(rows: DataFrame, most: int, item: str = "item", ts: str = "sampled_at", high: str = "players", low: str = "players", value: str = "players", tie: str = "sample_id") -> DataFrame:

@@ -140,3 +140,12 @@ def test_scratch_folders_and_rule_tables(spark):
     df = spark.range(3)
     assert relational.saved(df, "x").count() == 3
     assert sorted(map(tuple, payloads.rule_table(spark, payloads.deep_merge({"a": {"b": 1}}, {"a": {"c": [2]}})).collect())) == [("a.b", "1"), ("a.c", "[2]")]
+
+
+def test_both_ways_of_finding_titles_agree(spark):
+    texts = [(1, "Iron Crown review", "the iron crown II is iron"), (2, None, None), (3, "IRON crown iron CROWN", ""), (4, "a b c d e f g h i j", "a b c d e f g h x j"), (4, "a b c d e f g h i j", None)]
+    articles = spark.createDataFrame(texts, "article int, headline string, description string")
+    names = spark.createDataFrame([(1, "Iron Crown"), (2, "Iron"), (3, "a b c d e f g h i"), (4, ""), (5, None), (6, "crown, II"), (7, "iron crown")], "item int, title string")
+    ways = [sorted(map(tuple, linking.phrase_candidates(articles, names, most=n).collect())) for n in (0, 100)]
+    assert ways[0] == ways[1] and len(ways[0]) == 8
+    assert linking.phrase_candidates(articles, names.limit(0)).count() == 0 and linking.phrase_candidates(articles.limit(0), names).count() == 0
