@@ -30,8 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
+_made: list[str] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one; ``remove_scratch`` deletes it."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the folders that this session has made, once what reads them has been written elsewhere; checkpoints go with Spark's own cleaner."""
+    while _made:
+        remove_dir(spark, _made.pop())
 
 
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
