@@ -235,7 +235,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     missing.  A null text has no words; items without words have no windows.  Repeated rows are kept apart.
     """
     kind = docs.schema[key].dataType
-    narrow = merged(docs.select(key, text))
+    narrow = merged(docs).select(key, text)
     found = []
     for block in _blocks(items, item, item_text, block_bytes):
         by_words = windows_of(block, window)

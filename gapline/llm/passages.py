@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, broadcast_if_small, cut, merged, new_dir
+from .common import BROADCAST_BYTES, cut, merged, new_dir
 from .words import _ALNUM, utf8
 
 #: Units of fewer words are not hashed; they go with the passage around them.
@@ -166,21 +166,20 @@ def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | Non
 
     Pieces are made once and kept in a Parquet table.  Their digests alone are
     counted, combined before they are shuffled.  Few are repeated, and only
-    the pieces of these are looked at further: by a join with the repeated
-    digests, broadcast while their number is small, else shuffled, with one row
+    the pieces of these are kept for what follows, by a join that has one row
     per digest on one side, so that Spark can split a digest with very many
     pieces on the other.
     """
     path = new_dir(docs.sparkSession, "pieces")
-    pieces(merged(docs.select(key, text)), least, passage, key, text).write.parquet(path, compression="zstd")
+    pieces(merged(docs).select(key, text), least, passage, key, text).write.parquet(path, compression="zstd")
     every = docs.sparkSession.read.parquet(path)
-    twice = cut(every.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest"))
-    found = every.join(broadcast_if_small(twice, 32), "digest")
+    twice = every.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
+    found = cut(every.join(twice, "digest"))
     place = F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), "word")).alias("_first")
-    some = cut(found.groupBy("digest").agg(place).select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word")))
+    some = found.groupBy("digest").agg(place).select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word"))
     first = F.col(key).eqNullSafe(F.col("first_key"))
-    placed = every.join(broadcast_if_small(some, 64), "digest")
-    return placed.filter(~(first & F.col("fresh"))).select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
+    placed = found.join(some, "digest").filter(~(first & F.col("fresh")))
+    return placed.select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
 
 
 def _passage_type(kind: str) -> str:

@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, differ: int = BITS, shingle: int = SHINGLE,
     one fingerprint are combined before they are shuffled, and joined back
     from a table with one row per fingerprint, so that Spark can split them.
     """
-    prints = cut(fingerprints(merged(docs.select(key, text)), shingle, key, text))
+    prints = cut(fingerprints(merged(docs).select(key, text), shingle, key, text))
     rows = prints.count()
     distinct = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("_least")), rows)
     roots = connected_components(links(distinct, differ, blocks, group), most_links=rows * len(plan(blocks, differ)))
