@@ -41,6 +41,8 @@ _END = re.compile(rb"\n+|[.!?]+(?=\s)")
 PIECES = "unit int, word int, n_words int, start int, end int, digest long, fresh boolean"
 #: Words of an anchor.
 ANCHOR_WORDS = 8
+#: Bits of the map by which pieces that stand once are left out early.
+MAP_BITS = 1 << 24
 #: Words hashed at once.
 HASH_WORDS = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -166,15 +168,15 @@ def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | Non
 
     Pieces are made once and kept in a Parquet table.  Their digests alone are
     counted, combined before they are shuffled.  Few are repeated, and only
-    the pieces of these are kept for what follows, by a join that has one row
-    per digest on one side, so that Spark can split a digest with very many
-    pieces on the other.
+    the pieces of these are kept for what follows: those that a bit map of
+    bounded size lets through, by a join that has one row per digest on one
+    side, so that Spark can split a digest with very many pieces on the other.
     """
     path = new_dir(docs.sparkSession, "pieces")
     pieces(merged(docs).select(key, text), least, passage, key, text).write.parquet(path, compression="zstd")
     every = docs.sparkSession.read.parquet(path)
-    twice = every.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
-    found = cut(every.join(twice, "digest"))
+    twice = cut(every.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest"))
+    found = cut(_let_through(every, twice).join(twice, "digest"))
     place = F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), "word")).alias("_first")
     some = found.groupBy("digest").agg(place).select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word"))
     first = F.col(key).eqNullSafe(F.col("first_key"))
@@ -182,6 +184,20 @@ def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | Non
     return placed.select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
 
 
+def _let_through(every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose digest may be ``wanted``: a map of MAP_BITS bits, in rows of 64, has the bits of all wanted digests and is broadcast.
+
+    It lets all wanted rows through, and of the others as large a share as it
+    has bits set: few while MAP_BITS is large against the wanted digests, in
+    the end all, which costs time but no result.
+    """
+    row = F.shiftright(F.col("digest").bitwiseAND(F.lit(MAP_BITS - 1)), 6).alias("_row")
+    bit = F.expr("shiftleft(1L, cast(digest & 63 AS int))")
+    bits = wanted.select(row, bit.alias("_bit")).groupBy("_row").agg(F.bit_or("_bit").alias("_bits"))
+    met = every.withColumn("_row", row).join(F.broadcast(bits), "_row")  # at most MAP_BITS / 64 rows of 16 bytes
+    return met.filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_row", "_bits")
+
+
 def _passage_type(kind: str) -> str:
     return f"array<struct<word:int,behind:int,start:int,end:int,n_words:int,keys:array<{kind}>,left_key:{kind},left_word:int,right_key:{kind},right_word:int>>"
 
