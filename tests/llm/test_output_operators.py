@@ -322,6 +322,19 @@ def test_copies_that_start_and_end_within_sentences_are_found(spark):
     assert passages.repeated_passages(docs).count() == 0
 
 
+def test_a_full_bit_map_changes_nothing(spark, monkeypatch):
+    """With few bits nearly all pieces are let through, with many nearly none: the passages are the same."""
+    docs = docs_of(spark)
+    want = sorted(map(str, passages.copied_passages(docs).collect()))
+    every = passages.pieces(docs)
+    twice = every.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    kept = passages._let_through(every, twice)
+    assert kept.columns == every.columns and kept.count() < every.count() and kept.join(twice, "digest").count() == every.join(twice, "digest").count()
+    monkeypatch.setattr(passages, "MAP_BITS", 64)
+    assert sorted(map(str, passages.copied_passages(docs).collect())) == want
+    assert passages._let_through(every, twice).count() == every.count()
+
+
 # --- languages
 
 
