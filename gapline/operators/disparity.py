@@ -62,9 +62,12 @@ def mean(column: str) -> Column:
 def spread(column: str) -> Column:
     """Sample standard deviation from exact sums; null for fewer than two.
 
-    Squares of thousandths go to 1e10 and more, so they are added up as decimals: a long would overflow near a billion rows.
+    Squares of thousandths go to 1e10 and more, so a long would overflow near
+    a billion rows: their upper and lower bits are added up apart.
     """
-    n, total, squares = F.count(column), F.sum(column).cast("double"), F.sum((F.col(column) * F.col(column)).cast("decimal(20,0)")).cast("double")
+    square = F.col(column) * F.col(column)
+    n, total = F.count(column), F.sum(column).cast("double")
+    squares = F.sum(F.shiftright(square, 20)).cast("double") * (1 << 20) + F.sum(square.bitwiseAND(F.lit((1 << 20) - 1))).cast("double")
     return F.when(n > 1, F.round(F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1))) / 1000, 6))
 
 
