@@ -177,7 +177,7 @@ def lookup(wanted: DataFrame, catalog: DataFrame, most: int = 25) -> DataFrame:
     Exact titles first, then plain forms that agree, beginnings, containment,
     shorter titles, newer ids.  ``wanted`` has asked, ``catalog`` entry, title;
     they meet on a trigram of the asked text that few titles have, so that no
-    text is tried against all titles.
+    text is tried against all titles; texts of under three letters find nothing.
     """
     low, plain = F.lower(F.trim("asked")), labels.plain_label(F.col("asked"))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3))))

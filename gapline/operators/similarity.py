@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import sha256
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, labels, titles
+from ..functions import labels, titles
 from .relational import broadcast_if_small, topk_per_group
 
 #: What a shared value of each facet adds, and a shared outlet or critic.
@@ -14,6 +22,7 @@ WEIGHTS = {"themes": 100, "genres": 60, "modes": 24, "perspectives": 18, "studio
 OUTLET, CRITIC, HIGH = 3, 2, 180
 #: Fixed value: the width of hashed embeddings.
 DIMENSIONS = 384
+_WORD = re.compile("[a-z0-9]{2,}")
 #: How much a selected item of the same group takes from those that follow.
 REPEAT_PENALTY = 150
 
@@ -41,18 +50,44 @@ def shared_facets(anchors: DataFrame, items: DataFrame, key: str = "item") -> Da
     return shared.select("anchor", "candidate", score.cast("long").alias("score")).withColumn("confidence", F.when(F.col("score") >= HIGH, "high").otherwise("medium"))
 
 
+@lru_cache(maxsize=1 << 17)
+def _place(word: str, dimensions: int) -> tuple[int, int]:
+    """A word's bucket and sign; as ``hashing.bucket`` and ``hashing.sign`` have them."""
+    number = lambda text: int(sha256(text.encode()).hexdigest()[:16], 16)
+    return number(word) % dimensions, -1 if number(f"{word}:sign") % 2 else 1
+
+
 def embeddings(docs: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """key, bucket, value: signed feature hashes of the content words, of length 1; the sparse form, nothing for texts without words.
 
-    A word that stands n times weighs 1 + 0.15 * min(n, 5).
+    A word that stands n times weighs 1 + 0.15 * min(n, 5).  Each row is
+    embedded where it is, with words hashed once a task: made of DataFrame
+    functions, this was a row a word, shuffled, and two SHA-256 for each.
+    Rows that share a key are embedded apart.
     """
-    counts = docs.select(key, F.explode(titles.content_words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    # Whole twentieths, so that sums are exact in any order.
-    weight = F.lit(20) + F.least("n", F.lit(5)) * 3
-    signed = counts.select(key, hashing.bucket(F.col("word"), dimensions).alias("bucket"), (hashing.sign(F.col("word")) * weight).cast("long").alias("w"))
-    sums = signed.groupBy(key, "bucket").agg(F.sum("w").alias("w")).filter("w <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("_norm"))
-    return sums.join(norms, key).select(key, "bucket", (F.col("w") / F.col("_norm")).alias("value"))
+    kind = docs.schema[key].dataType.simpleString()
+    stop = frozenset(titles.STOP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, buckets, values = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                counts = Counter(w for w in _WORD.findall((text or "").lower()) if w not in stop)
+                if not counts:
+                    continue
+                places = [_place(w, dimensions) for w in counts]
+                # Whole twentieths, so that sums are exact in any order.
+                weight = 20 + 3 * np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), 5)
+                sums = np.bincount([b for b, _ in places], weight * [s for _, s in places], dimensions).astype(np.int64)
+                at = np.flatnonzero(sums)
+                if len(at):
+                    rows.append(np.full(len(at), i))
+                    buckets.append(at.astype(np.int32))
+                    values.append(sums[at] / np.sqrt(float((sums[at] * sums[at]).sum())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(values))], names=[key, "bucket", "value"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, bucket int, value double")
 
 
 def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
