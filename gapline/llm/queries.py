@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, languages, licenses, matroska, mixing, passages, sharding, simhash, tokens
+from . import chat, decontamination, divergence, languages, licenses, matroska, mixing, negatives, passages, sharding, simhash, tokens
 from .common import merged, new_dir, table
 
 #: The id put after each document.
@@ -166,5 +166,66 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_decontamination, op4_licenses, op5_simhash, op6_tokens, op7_passages, op8_matroska, op9_chat, op10_languages)}
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_sharding": OP2_SQL, "op9_chat": OP9_SQL}
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+counts AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs
+  FROM (SELECT lang, source, d, unnest(terms) AS term FROM (SELECT *, row_number() OVER () AS d FROM docs)) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS lang_n FROM counts GROUP BY ALL HAVING sum(docs) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+every AS (SELECT DISTINCT lang, source FROM docs),
+filled AS (
+  SELECT e.lang, e.source, k.term, coalesce(c.n, 0) AS n, k.lang_n FROM every e JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+priced AS (
+  SELECT f.*, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY f.lang, f.source) + 5 * v) AS p,
+         1 + (1000000000 * (lang_n + 5)::HUGEINT) // (total + 5 * v) AS q
+  FROM filled f JOIN sizes USING (lang)),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce(d.value, 0) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum(abs(x.p - y.p)) AS value
+             FROM priced x JOIN priced y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY ALL) d
+    ON d.lang = a.lang AND d.s = a.source AND d.o = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM priced WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_decontamination, op4_licenses, op5_simhash, op6_tokens, op7_passages, op8_matroska, op9_chat, op10_languages, op12_negatives, op13_divergence)}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_sharding": OP2_SQL, "op9_chat": OP9_SQL, "op12_negatives": OP12_SQL, "op13_divergence": OP13_SQL}
