@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, divergence, languages, licenses, matroska, mixing, negatives, passages, sharding, simhash, tokens
+from . import chat, decontamination, divergence, languages, licenses, matroska, mixing, negatives, passages, sharding, simhash, tokens, vectors
 from .common import merged, new_dir, table
 
 #: The id put after each document.
@@ -166,6 +166,28 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+         coalesce(embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x != 0)) > 0, false) AS fine
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM rows a JOIN rows b ON a.vec_id != b.vec_id AND a.fine AND b.fine
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM rows
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a)
+SELECT r.vec_id, (SELECT count(*) FROM links WHERE a = r.vec_id) AS n_links, least_id AS component_id, r.vec_id = least_id AS kept
+FROM rows r JOIN (SELECT a, min(b) AS least_id FROM reached GROUP BY a) ON a = r.vec_id
+"""
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -227,5 +249,5 @@ FROM parts QUALIFY part = 'pair' OR rank <= 50
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_decontamination, op4_licenses, op5_simhash, op6_tokens, op7_passages, op8_matroska, op9_chat, op10_languages, op12_negatives, op13_divergence)}
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_sharding": OP2_SQL, "op9_chat": OP9_SQL, "op12_negatives": OP12_SQL, "op13_divergence": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_decontamination, op4_licenses, op5_simhash, op6_tokens, op7_passages, op8_matroska, op9_chat, op10_languages, op11_vectors, op12_negatives, op13_divergence)}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_sharding": OP2_SQL, "op9_chat": OP9_SQL, "op11_vectors": OP11_SQL, "op12_negatives": OP12_SQL, "op13_divergence": OP13_SQL}
