@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, titles
+from .neighbors import nearest  # noqa: F401
 from .relational import broadcast_if_small, topk_per_group
 
 #: What a shared value of each facet adds, and a shared outlet or critic.
@@ -106,27 +107,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(exact, F.lit(0.0))))).otherwise(0.0)
 
 
-def nearest(anchors: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, block: int = 5000) -> DataFrame:
-    """anchor, candidate, similarity, rank: the exact ``k`` nearest by cosine, for a stated set of anchors.
-
-    Anchors are held against all vectors block by block; a block, of ``block``
-    anchors at most, goes to every task, and row_number cuts each anchor's
-    list before it is shuffled.
-    """
-    scaled = lambda v: titles.let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.try_divide(x, norm)))
-    unit = lambda rows, name: rows.select(F.col(key).alias(name), titles.let(F.transform(vector, lambda x: x.cast("double")), scaled).alias(f"_{name}"))
-    a, c = unit(anchors, "anchor"), unit(vectors, "candidate")
-    blocks = -(-anchors.count() // block) or 1
-    found = None
-    for n in range(blocks):
-        part = a if blocks == 1 else a.filter(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == n)
-        pairs = c.crossJoin(F.broadcast(part)).filter("anchor <> candidate")  # about ``block`` rows
-        scored = pairs.select("anchor", "candidate", F.round(F.coalesce(dot(F.col("_anchor"), F.col("_candidate")), F.lit(0.0)), 6).alias("similarity"))
-        best = topk_per_group(scored, ["anchor"], [F.desc("similarity"), F.asc("candidate")], k, "rank")
-        found = best if found is None else found.unionByName(best)
-    return found
-
-
 def precision_at_k(neighbors: DataFrame, labels: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """anchor, hits, precision: neighbours among the first ``k`` that share the anchor's label."""
     a, c = labels.select(F.col(key).alias("anchor"), F.col(label).alias("_a")), labels.select(F.col(key).alias("candidate"), F.col(label).alias("_c"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, titles
-from ..operators import relational, similarity, taxonomy
+from ..operators import neighbors, relational, similarity, taxonomy
 from ..sources import bindings as b
 from . import mining_queries as mq
 from .registry import query, views
@@ -449,6 +449,36 @@ def candidate_pools(spark, d):
     return found.select("anchor", "candidate", F.array_contains("pools", "taxonomy").alias("from_taxonomy"), F.array_contains("pools", "facets").alias("from_facets"))
 
 
+_TITLE_VECTORS = f"""w AS (SELECT item, unnest(list_filter({_W.format("title || ' ' || type")}, lambda w: length(w) > 1 AND NOT list_contains([{', '.join(repr(w) for w in titles.STOP)}], w))) AS word FROM items), n AS (SELECT item, word, count(*) AS n FROM w GROUP BY 1, 2),
+    e AS (SELECT item, CAST((('0x' || sha256(word)[1:16])::UBIGINT) % 384 AS INTEGER) AS bucket, sum(CASE WHEN (('0x' || sha256(word || ':sign')[1:16])::UBIGINT) % 2 = 1 THEN -1 ELSE 1 END * (20 + least(n, 5) * 3)) AS w FROM n GROUP BY 1, 2),
+    u AS (SELECT item, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY item)) AS v FROM e WHERE w <> 0),
+    x AS (SELECT a.item AS anchor, c.item AS candidate, round(sum(a.v * c.v), 6) AS similarity FROM u a JOIN u c ON a.bucket = c.bucket AND a.item <> c.item WHERE a.item % 50 = 0 GROUP BY 1, 2),
+    v AS (SELECT anchor, candidate FROM x WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY similarity DESC, candidate) <= 8)"""
+
+
+def title_vectors(spark, d):
+    docs = b.items(spark, d).select("item", F.concat_ws(" ", "title", "type").alias("fused"))
+    return similarity.dense(similarity.embedded(docs, "item", ["fused"]), "item")
+
+
+@query("SIM-06_vector_pool", views("items", then=mq._SHARED + f""", t AS (SELECT anchor, candidate FROM s QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) <= 5), {_TITLE_VECTORS}
+    SELECT anchor, candidate, bool_or(k = 't') AS from_taxonomy, bool_or(k = 'v') AS from_text FROM (SELECT *, 't' AS k FROM t UNION ALL SELECT *, 'v' FROM v) GROUP BY 1, 2"""))
+def vector_pool(spark, d):
+    """Candidates by rules and by the nearest fused documents, exactly."""
+    vectors = title_vectors(spark, d)
+    near = similarity.nearest(vectors.filter("item % 50 = 0"), vectors, 8, "item", "vector").filter("similarity > 0")
+    found = similarity.pools({"taxonomy": (mq.shared_facets(spark, d), 5), "text": (near.select("anchor", "candidate", F.col("similarity").alias("score")), 8)})
+    return found.select("anchor", "candidate", F.array_contains("pools", "taxonomy").alias("from_taxonomy"), F.array_contains("pools", "text").alias("from_text"))
+
+
+@query("SIM-06_indexed_pool")
+def indexed_pool(spark, d):
+    """The nearest fused documents by an inverted file."""
+    vectors = relational.saved(title_vectors(spark, d), "fused")
+    anchors, index = vectors.filter("item % 50 = 0"), neighbors.InvertedFile(vectors, "item", "vector")
+    return index.search(anchors, 8, index.probes_for(anchors, 8)).filter("similarity > 0")
+
+
 @query("SIM-07_profiles", "SELECT * FROM (VALUES ('local', 0.72::DOUBLE, 300, 0.42::DOUBLE), ('vectors', 0.5::DOUBLE, 300, 0.5::DOUBLE)) t(name, taxonomy, divisor, published)")
 def profiles(spark, d):
     return similarity.profiles(spark).select("name", "taxonomy", "divisor", "published")

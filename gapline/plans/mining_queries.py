@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import titles
-from ..operators import linking, relational, similarity, taxonomy
+from ..operators import linking, neighbors, relational, similarity, taxonomy
 from ..sources import bindings as b
 from .registry import query, views
 from .series_queries import _STOP
@@ -65,6 +65,14 @@ def nearest(spark, d):
     return similarity.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 10, "vec_id", "embedding")
 
 
+@query("SRT-09_indexed")
+def indexed(spark, d):
+    """The same by an inverted file, with as many probes as the measured recall asks for."""
+    vectors = b.table(spark, d, "embeddings")
+    anchors, index = vectors.filter("vec_id % 50 = 0"), neighbors.InvertedFile(vectors, "vec_id", "embedding")
+    return index.search(anchors, 10, index.probes_for(anchors, 10))
+
+
 @query("AGG-24_precision_at_5", f"WITH {_KNN} SELECT anchor, count(*) FILTER (label = c_label) AS hits, count(*) FILTER (label = c_label) / CAST(greatest(1, least(5, count(*))) AS DOUBLE) AS precision FROM n WHERE rank <= 5 GROUP BY anchor")
 def precision(spark, d):
     return similarity.precision_at_k(nearest(spark, d), b.table(spark, d, "embeddings"), "vec_id", "label", 5)
