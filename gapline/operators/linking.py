@@ -19,8 +19,6 @@ IN_HEADLINE, IN_DESCRIPTION, LEAST, LEAD, MOST_COMMON = 90, 65, 65, 8, 12
 LONGEST = 8
 #: Titles that may go to every task at once.
 MOST_TITLES = 100_000
-#: Telling words of a title by which it meets the catalog.
-RAREST = 3
 _WORD = re.compile("[a-z0-9]+")
 
 
@@ -125,27 +123,6 @@ def relinked(old: DataFrame, new: DataFrame, key: str = "article", id: str = "it
     return both.withColumn("change", change)
 
 
-def resolve(wanted: DataFrame, catalog: DataFrame, least: float = 0.85, tolerance: int = 90, k: int = 10) -> DataFrame:
-    """id, match, similarity: the catalog entry most like a title, among those that share one of its RAREST telling words that the catalog has least.
-
-    ``wanted`` has id, title, released; ``catalog`` entry, name, date.  A date
-    out of tolerance costs three tenths of the similarity unless that is at
-    least 0.97; the title guard rules out other parts of a series.
-    """
-    from ..functions import dates
-
-    block = lambda rows, text: rows.withColumn("_word", F.explode(F.array_distinct(F.filter(titles.words(titles.normalized_title(F.col(text))), lambda w: ~w.isin(*titles.STOP)))))
-    entries = block(catalog, "name")
-    often = entries.groupBy("_word").agg(F.count("*").alias("_often"))
-    rare = topk_per_group(block(wanted, "title").join(often, "_word"), ["id"], [F.asc("_often"), F.asc("_word")], RAREST).drop("_often")
-    pairs = rare.join(entries, "_word").drop("_word").dropDuplicates(["id", "entry"])
-    scored = pairs.withColumn("_raw", titles.title_similarity(titles.normalized_title(F.col("title")), titles.normalized_title(F.col("name"))))
-    fits = dates.dates_match(F.col("released"), F.col("date"), tolerance) | (F.col("_raw") >= 0.97)
-    judged = scored.filter(titles.titles_related(F.col("title"), F.col("name"), F.col("_raw"))).withColumn("similarity", F.when(fits, F.col("_raw")).otherwise(F.col("_raw") * 0.7))
-    best = topk_per_group(judged, ["id"], [F.desc("similarity"), F.asc("entry")])
-    return best.filter(F.col("similarity") >= least).select("id", F.col("entry").alias("match"), F.round("similarity", 6).alias("similarity"))
-
-
 def title_frequency(dictionary: DataFrame, stop: list[str], id: str = "item") -> DataFrame:
     """id, often: in how many titles the most frequent telling word of each stands."""
     each = dictionary.select(id, F.explode(F.array_distinct(F.filter(mentions.words(F.col("title")), lambda w: ~w.isin(*stop)))).alias("_word"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, titles
-from ..operators import disparity, linking, relational, similarity, trending
+from ..operators import disparity, linking, relational, resolving, similarity, trending
 from ..operators import timeseries as ts
 from ..sources import bindings as b
 from ..sources import payloads
@@ -281,7 +281,7 @@ def exact_resolution(spark, d):
     """Titles in capitals with a trademark sign find themselves."""
     names = b.items(spark, d).select("title").distinct()
     wanted = names.select(F.col("title").alias("id"), F.concat(F.upper("title"), F.lit("™")).alias("title"), F.lit(None).cast("date").alias("released"))
-    found = linking.resolve(wanted, names.select(F.col("title").alias("entry"), F.col("title").alias("name"), F.lit(None).cast("date").alias("date")))
+    found = resolving.resolve(wanted, names.select(F.col("title").alias("entry"), F.col("title").alias("name"), F.lit(None).cast("date").alias("date")))
     return found.select("id", "match")
 
 

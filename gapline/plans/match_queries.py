@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, mentions, titles
-from ..operators import linking, relational
+from ..operators import linking, relational, resolving
 from ..sources import bindings as b
 from . import mining_queries as mq
 from .registry import query, views
@@ -129,16 +129,46 @@ def adjusted_winners(spark, d):
 # --- resolving
 
 
-@query("RES-02_batch", views("items", then="+t AS (SELECT DISTINCT title FROM items) SELECT 'matched' AS outcome, count(*) AS n FROM t UNION ALL SELECT 'unmatched', count(DISTINCT type) FROM items"))
+#: An ending that leaves too few letters alike relates a title to itself only by a word of four letters.
+_TELLING = "len(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 4)) > 0"
+
+
+@query("RES-02_batch", views("items", then=f"+t AS (SELECT DISTINCT title, {_TELLING} AS tells FROM items), a AS (SELECT tells FROM t UNION ALL SELECT false FROM (SELECT DISTINCT type FROM items)) SELECT CASE WHEN tells THEN 'matched' ELSE 'unmatched' END AS outcome, count(*) AS n FROM a GROUP BY 1"))
 def batch(spark, d):
-    """Every title and every kind is asked for; titles find themselves, kinds nothing."""
+    """Every title and every kind is asked for; titles with a telling word find themselves, kinds nothing."""
     items = b.items(spark, d)
     names = items.select("title").distinct()
     asked = names.select(F.col("title").alias("id"), F.concat(F.initcap("title"), F.lit(" - Remastered")).alias("title")).unionByName(items.select(F.concat(F.lit("kind "), "type").alias("id"), F.lit("qqq zzz").alias("title")).distinct())
-    found = linking.resolve(asked.withColumn("released", F.lit(None).cast("date")), names.select(F.col("title").alias("entry"), F.col("title").alias("name"), F.lit(None).cast("date").alias("date")))
+    found = resolving.resolve(asked.withColumn("released", F.lit(None).cast("date")), names.select(F.col("title").alias("entry"), F.col("title").alias("name"), F.lit(None).cast("date").alias("date")))
     return asked.join(found, "id", "left").groupBy(F.when(F.col("match").isNotNull(), "matched").otherwise("unmatched").alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def asked_and_listed(spark, d):
+    """Titles as they are asked for, and a catalogue: the first words of the documents, in other spellings and with other dates."""
+    docs = b.table(spark, d, "documents").select("doc_id", F.split(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^a-zA-Z0-9 ]", ""), " ").alias("w"))
+    listed = docs.select("doc_id", F.trim(F.array_join(F.slice("w", 1, 5), " ")).alias("name")).filter("name <> ''").groupBy("name").agg(F.min("doc_id").alias("entry"))
+    k, day = F.col("entry") % 6, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("entry") % 500).cast("int"))
+    catalog = listed.select("entry", "name", F.when(k != 5, day).alias("date"), F.when(F.col("entry") % 4 == 0, "dlc").otherwise("game").alias("kind"))
+    cut = F.substring_index("name", " ", 3)
+    title = F.when(k == 0, F.upper("name")).when(k == 1, F.concat("name", F.lit(" Collection"))).when(k == 2, F.regexp_replace("name", "e", "")).when(k == 3, F.concat(cut, F.lit(": Chapter 2"))).otherwise(cut)
+    asked = listed.select(F.col("entry").alias("id"), title.alias("title"), F.when(F.col("entry") % 7 != 0, F.date_add(day, F.when(F.col("entry") % 5 == 0, 200).otherwise(3))).alias("released"))
+    return asked, catalog
+
+
+@query("RES-01_store_matches")
+def store_matches(spark, d):
+    return resolving.resolve(*asked_and_listed(spark, d)).select("id", "match", "similarity", "reason")
+
+
+@query("RES-02_outcomes")
+def outcomes(spark, d):
+    """How all titles come out; every fiftieth has an entry given by hand."""
+    asked, listed = asked_and_listed(spark, d)
+    given = listed.filter("entry % 50 = 0").select(F.col("entry").alias("id"), (F.col("entry") + 1).alias("entry"))
+    found = resolving.resolve(asked, listed, given)
+    return asked.join(found, "id", "left").groupBy(F.coalesce("reason", F.lit("unmatched")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("RES-03_lookup", views("items", then="""+a(asked) AS (VALUES ('Large Bolt'), ('idget'), ('cold'), ('small WID'), ('nothing'), (' medium gear ')), m AS (SELECT asked, item AS entry, title, lower(trim(asked)) AS low, lower(title) AS t FROM a JOIN items ON contains(lower(title), lower(trim(asked))))
     SELECT asked, entry, title FROM m QUALIFY row_number() OVER (PARTITION BY asked ORDER BY (t = low) DESC, starts_with(t, low) DESC, length(title), entry DESC) = 1"""))
 def lookup(spark, d):
@@ -192,7 +222,7 @@ def flagged_totals(spark, d):
     return mq.boilerplate(spark, d)
 
 
-@query("RES-01_best_titles", views("items", then="+t AS (SELECT DISTINCT title FROM items) SELECT title AS id, title AS match FROM t"))
+@query("RES-01_best_titles", views("items", then=f"+t AS (SELECT DISTINCT title FROM items WHERE {_TELLING}) SELECT title AS id, title AS match FROM t"))
 def best_titles(spark, d):
     return mq.resolved(spark, d).select("id", "match")
 

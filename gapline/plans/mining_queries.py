@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import titles
-from ..operators import linking, neighbors, relational, similarity, taxonomy
+from ..operators import linking, neighbors, relational, resolving, similarity, taxonomy
 from ..sources import bindings as b
 from .registry import query, views
 from .series_queries import _STOP
@@ -246,4 +246,4 @@ def relinked(spark, d):
 def resolved(spark, d):
     names = b.items(spark, d).select("title").distinct()
     wanted = names.select(F.col("title").alias("id"), F.concat(F.initcap("title"), F.lit(": Edition")).alias("title"), F.lit(None).cast("date").alias("released"))
-    return linking.resolve(wanted, names.select(F.col("title").alias("entry"), F.col("title").alias("name"), F.lit(None).cast("date").alias("date")))
+    return resolving.resolve(wanted, names.select(F.col("title").alias("entry"), F.col("title").alias("name"), F.lit(None).cast("date").alias("date")))
