@@ -44,9 +44,31 @@ def baseline(spark, d):
     return ts.baselines(b.activity(spark, d))
 
 
-@query("TS-03_markers")
+_STEP = """CASE WHEN s.marked IS NOT NULL AND x.us - s.marked < 172800000000 THEN
+      {'us': x.us, 'players': x.players, 'base': x.base, 'marked': s.marked, 'drop_us': CASE WHEN x.us - s.drop_us > 604800000000 THEN NULL ELSE s.drop_us END, 'drop_p': s.drop_p, 'kind': '', 'gap': 0.0::DOUBLE, 'out': s.out}
+    WHEN abs(x.players - x.base) >= 5000 AND abs(x.players - x.base) / x.base >= 0.30::DOUBLE THEN
+      {'us': x.us, 'players': x.players, 'base': x.base, 'marked': x.us, 'drop_us': CASE WHEN x.players < x.base THEN x.us ELSE s.drop_us END, 'drop_p': CASE WHEN x.players < x.base THEN x.players ELSE s.drop_p END, 'kind': '', 'gap': 0.0::DOUBLE,
+       'out': list_append(s.out, {'us': x.us, 'players': x.players, 'kind': CASE WHEN x.players > x.base THEN 'major_surge' ELSE 'major_drop' END, 'gap': abs(x.players - x.base)})}
+    WHEN s.drop_us IS NOT NULL AND x.us > s.drop_us AND x.players - s.drop_p >= 5000 AND s.drop_p > 0 AND (x.players - s.drop_p) / s.drop_p >= 0.30::DOUBLE THEN
+      {'us': x.us, 'players': x.players, 'base': x.base, 'marked': x.us, 'drop_us': NULL::BIGINT, 'drop_p': NULL::DOUBLE, 'kind': '', 'gap': 0.0::DOUBLE, 'out': list_append(s.out, {'us': x.us, 'players': x.players, 'kind': 'rebound', 'gap': x.players - s.drop_p})}
+    ELSE {'us': x.us, 'players': x.players, 'base': x.base, 'marked': s.marked, 'drop_us': CASE WHEN x.us - s.drop_us > 604800000000 THEN NULL ELSE s.drop_us END, 'drop_p': s.drop_p, 'kind': '', 'gap': 0.0::DOUBLE, 'out': s.out} END"""
+_EMPTY = "[{'us': 0::BIGINT, 'players': 0.0::DOUBLE, 'kind': '', 'gap': 0.0::DOUBLE}][2:1]"
+_MARKERS = _BLIPS + f""", based AS (SELECT item, sample_id, epoch_us(sampled_at) AS us, CAST(players AS DOUBLE) AS players, CASE WHEN count(players) OVER w >= 2 THEN quantile_cont(CAST(players AS DOUBLE), 0.5) OVER w END AS base FROM kept
+      WINDOW w AS (PARTITION BY item ORDER BY epoch_us(sampled_at) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING)),
+    walked AS (SELECT item, list_reduce(list({{'us': us, 'players': players, 'base': base, 'marked': NULL::BIGINT, 'drop_us': NULL::BIGINT, 'drop_p': NULL::DOUBLE, 'kind': '', 'gap': 0.0::DOUBLE, 'out': {_EMPTY}}} ORDER BY us, sample_id),
+        lambda s, x: {_STEP}, {{'us': 0::BIGINT, 'players': 0.0::DOUBLE, 'base': 0.0::DOUBLE, 'marked': NULL::BIGINT, 'drop_us': NULL::BIGINT, 'drop_p': NULL::DOUBLE, 'kind': '', 'gap': 0.0::DOUBLE, 'out': {_EMPTY}}}).out AS out FROM based WHERE base > 0 GROUP BY item),
+    marks AS (SELECT item, m.us, m.players, m.kind, m.gap FROM (SELECT item, unnest(out) AS m FROM walked)
+      UNION ALL SELECT item, us, players, 'first_tracked', NULL FROM (SELECT item, us, players FROM based QUALIFY row_number() OVER (PARTITION BY item ORDER BY us, sample_id) = 1)
+      UNION ALL SELECT item, us, players, 'all_time_peak', NULL FROM (SELECT item, epoch_us(sampled_at) AS us, CAST(players AS DOUBLE) AS players FROM activity QUALIFY row_number() OVER (PARTITION BY item ORDER BY players DESC, sampled_at) = 1)),
+    said AS (SELECT item, us AS "at", players, kind AS marker, format('{{:,}}', CAST(players AS BIGINT)) AS n, format('{{:,}}', CAST(round_even(gap, 0) AS BIGINT)) AS g FROM marks)
+    SELECT item, "at", players, marker, CASE marker WHEN 'first_tracked' THEN 'First Activity Sample' WHEN 'all_time_peak' THEN 'All-Time Peak' WHEN 'major_surge' THEN 'Major Surge' WHEN 'major_drop' THEN 'Major Drop' ELSE 'Rebound' END AS label,
+      CASE marker WHEN 'first_tracked' THEN 'Started tracking at ' || n || '.' WHEN 'all_time_peak' THEN 'All-time peak reached ' || n || '.' WHEN 'major_surge' THEN n || ' was ' || g || ' above the prior 7-day median.' WHEN 'major_drop' THEN n || ' was ' || g || ' below the prior 7-day median.' ELSE 'Recovered by ' || g || ' players from the recent drop.' END AS detail FROM said"""
+
+
+@query("TS-03_markers", views("activity", then=_MARKERS))
 def markers(spark, d):
-    return ts.markers(b.activity(spark, d))
+    rows = b.activity(spark, d)
+    return ts.markers(rows, peaks=ts.peaks(rows)).withColumn("at", F.unix_micros("at"))
 
 
 @query("TS-04_buckets", views("activity", then="""+
