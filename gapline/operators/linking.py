@@ -1,91 +1,34 @@
-"""Linking articles to titles: phrases by an n-gram join, rephrased titles by their rarest word."""
+"""Linking articles to titles: phrases by an automaton, rephrased titles by their rarest word."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import labels, mentions, titles
+from . import phrases
 from .relational import broadcast_if_small, topk_per_group
 
 #: What a title found in headline or description scores, the least score and lead, and how common a rarest word may be.
 IN_HEADLINE, IN_DESCRIPTION, LEAST, LEAD, MOST_COMMON = 90, 65, 65, 8, 12
-LONGEST = 8
-#: Titles that may go to every task at once.
-MOST_TITLES = 100_000
-_WORD = re.compile("[a-z0-9]+")
+#: The letters a title has at least, and for titles in other words the telling words and their letters.
+LEAST_LETTERS, LEAST_WORDS, LEAST_WORD = 4, 3, 3
 
 
-def phrase_candidates(articles: DataFrame, dictionary: DataFrame, key: str = "article", id: str = "item", longest: int = LONGEST, most: int = MOST_TITLES) -> DataFrame:
+def phrase_candidates(articles: DataFrame, dictionary: DataFrame, key: str = "article", id: str = "item", least: int = LEAST_LETTERS, shard: int = phrases.SHARD) -> DataFrame:
     """key, id, in_headline, in_description, score: titles whose words stand next to each other in an article.
 
-    Up to ``most`` titles go to every task, which looks them up by their first
-    words in one pass over the texts.  Beyond it articles' n-grams, of the
-    lengths that titles have, meet titles in an equi join, and titles of more
-    than ``longest`` words are matched by their first ``longest`` and then
-    verified.  No article is tried against all titles.
+    Titles of fewer than ``least`` characters, as they are or as words, are
+    left out.  The texts are walked once for each ``shard`` titles.
     """
     whole = F.array_join(titles.words(F.col("title")), " ")
-    entries = dictionary.select(id, whole.alias("_whole")).filter("_whole <> ''")
-    known = entries.limit(most + 1).collect()  # at most ``most`` titles
-    sure = _looked_up(articles, [tuple(r) for r in known], key, id, dictionary.schema[id].dataType) if len(known) <= most else _joined_grams(articles, entries, key, id, longest)
+    entries = dictionary.filter(F.length("title") >= least).select(id, whole.alias("_whole")).filter(F.length("_whole") >= least)
+    sure = phrases.mentions(articles, entries, key, id, ["headline", "description"], shard)
     both = sure.groupBy(key, id).agg(F.bool_or(F.col("_where") == "headline").alias("in_headline"), F.bool_or(F.col("_where") == "description").alias("in_description"), F.max("_length").alias("_length"))
     score = F.col("_length") + F.when(F.col("in_headline"), IN_HEADLINE).otherwise(0) + F.when(F.col("in_description"), IN_DESCRIPTION).otherwise(0)
     return both.select(key, id, "in_headline", "in_description", score.alias("score"))
 
 
-def _looked_up(articles: DataFrame, known: list[tuple], key: str, id: str, id_kind: T.DataType) -> DataFrame:
-    """key, id, _where, _length of the titles (id, words joined) that stand in headlines and descriptions."""
-    by_first: dict[str, list[tuple]] = {}
-    for one, whole in known:
-        by_first.setdefault(whole.split(" ", 1)[0], []).append((f"{whole} ", one, len(whole)))
-    kind = articles.schema[key].dataType.simpleString()
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = to_arrow_type(id_kind)
-        for batch in batches:
-            rows, found, where, lengths = [], [], [], []
-            for name, column in (("headline", 1), ("description", 2)):
-                for i, text in enumerate(batch.column(column).to_pylist()):
-                    words = _WORD.findall((text or "").lower())
-                    line, at, seen = " ".join(words) + " ", 0, set()
-                    for w in words:
-                        for whole, one, n in by_first.get(w, ()):
-                            if (whole, one) not in seen and line.startswith(whole, at):
-                                seen.add((whole, one))
-                                rows.append(i)
-                                found.append(one)
-                                where.append(name)
-                                lengths.append(n)
-                        at += len(w) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type), pa.array(where, pa.string()), pa.array(lengths, pa.int32())], names=[key, id, "_where", "_length"])
-
-    return articles.select(key, "headline", "description").mapInArrow(run, f"`{key}` {kind}, `{id}` {id_kind.simpleString()}, _where string, _length int")
-
-
-def _joined_grams(articles: DataFrame, entries: DataFrame, key: str, id: str, longest: int) -> DataFrame:
-    """The same for any number of titles, by an equi join of n-grams."""
-    words = F.split("_whole", " ")
-    entries = entries.withColumn("n", F.least(F.size(words), F.lit(longest))).withColumn("gram", F.array_join(F.slice(words, F.lit(1), F.col("n")), " "))
-    lengths = sorted(r.n for r in entries.select("n").distinct().collect())  # at most ``longest`` numbers
-
-    def grams(where: str) -> DataFrame:
-        joined = F.concat(*[F.transform(titles.runs(F.col(where), n), lambda r: F.array_join(r, " ")) for n in lengths])
-        return articles.select(key, F.lit(where).alias("_where"), F.explode(F.array_distinct(joined)).alias("gram"))
-
-    met = grams("headline").unionByName(grams("description")).join(broadcast_if_small(entries), "gram").withColumn("_size", F.size(words))
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(titles.words(F.col(c)), " "), F.lit(" "))
-    text = F.when(F.col("_where") == "headline", spaced("headline")).otherwise(spaced("description"))
-    long = met.filter(F.col("_size") > longest).join(articles.select(key, "headline", "description"), key)
-    long = long.filter(F.contains(text, F.concat(F.lit(" "), F.col("_whole"), F.lit(" "))))
-    return met.filter(F.col("_size") <= longest).unionByName(long.select(*met.columns)).select(key, id, "_where", F.length("_whole").alias("_length"))
-
-
 def winners(candidates: DataFrame, key: str = "article", id: str = "item") -> DataFrame:
     """key, id, score: an article's best title, if it is good enough and ahead of the second.
 
@@ -99,12 +42,16 @@ def winners(candidates: DataFrame, key: str = "article", id: str = "item") -> Da
     return led.filter(sure).select(key, F.col(f"_one.{id}").alias(id), F.col("_one.score").alias("score"))
 
 
-def fallback(articles: DataFrame, dictionary: DataFrame, key: str = "article", id: str = "item", least_words: int = 2) -> DataFrame:
-    """key, id: titles all of whose words stand in a headline in order, whatever is between; the longest title wins.
+def fallback(articles: DataFrame, dictionary: DataFrame, key: str = "article", id: str = "item", least_words: int = LEAST_WORDS, stop: list[str] = titles.STOP) -> DataFrame:
+    """key, id: titles all of whose telling words stand in a headline in order, whatever is between; the longest title wins.
 
-    Titles and headlines meet on the title's rarest word, which at most MOST_COMMON titles may have.
+    Telling words are numbers, numerals and words of LEAST_WORD letters that
+    are not in ``stop``; titles with fewer than ``least_words`` are left out.
+    Titles and headlines meet on the title's rarest word, which at most
+    MOST_COMMON titles may have.
     """
-    entries = dictionary.select(id, titles.words(F.col("title")).alias("_t")).filter(F.size("_t") >= least_words)
+    telling = lambda w: ~w.isin(*stop) & (w.rlike("^([0-9]+|[ivxlcdm]+)$") | (F.length(w) >= LEAST_WORD))
+    entries = dictionary.select(id, F.filter(titles.words(F.col("title")), telling).alias("_t")).filter(F.size("_t") >= least_words)
     each = entries.select(id, "_t", F.explode(F.array_distinct("_t")).alias("word"))
     often = each.groupBy("word").agg(F.count("*").alias("n"))
     anchors = topk_per_group(each.join(often, "word").filter(F.col("n") <= MOST_COMMON), [id], [F.asc("n"), F.desc(F.length("word")), F.asc("word")])

@@ -71,7 +71,7 @@ _STORIES = "cw AS (SELECT c.article, c.item, c.in_headline, c.in_description, sc
 def _texts(headline: str, text: str) -> str:
     """Candidates with their texts' words: links over the stories that have made-up ends, so that every flag occurs."""
     return f"""{_DICT}, st AS (SELECT doc_id AS article, {headline} AS headline, {text} AS text FROM documents), s AS (SELECT article, ' ' || array_to_string({mq._WORDS.format('headline')}, ' ') || ' ' AS h, ' ' || array_to_string({mq._WORDS.format('text')}, ' ') || ' ' AS x FROM st),
-    c AS (SELECT article, item, contains(h, ' ' || title || ' ') AS in_headline, contains(x, ' ' || title || ' ') AS in_description, length(title) AS n FROM s, dict WHERE title <> '' AND (contains(h, ' ' || title || ' ') OR contains(x, ' ' || title || ' '))),
+    c AS (SELECT article, item, contains(h, ' ' || title || ' ') AS in_headline, contains(x, ' ' || title || ' ') AS in_description, length(title) AS n FROM s, dict WHERE length(title) >= 4 AND (contains(h, ' ' || title || ' ') OR contains(x, ' ' || title || ' '))),
     scored AS (SELECT article, item, CAST(n + CASE WHEN in_headline THEN 90 ELSE 0 END + CASE WHEN in_description THEN 65 ELSE 0 END AS INTEGER) AS score FROM c),
     cw AS (SELECT c.article, c.item, c.in_headline, c.in_description, scored.score, {_NWORDS.format('st.headline')} AS h, {_NWORDS.format('st.text')} AS x FROM c JOIN scored ON scored.article = c.article AND scored.item = c.item JOIN st ON st.article = c.article),
     fl AS (SELECT cw.*, t, p, a, r, {_flags('h')}, {_flags('x')} FROM cw JOIN amb ON amb.item = cw.item)"""
@@ -227,7 +227,7 @@ def best_titles(spark, d):
     return mq.resolved(spark, d).select("id", "match")
 
 
-@query("LNK-08_words_in_order", f"""WITH {_DICT}, s AS (SELECT doc_id AS article, {mq._WORDS.format("split_part(text, chr(10), 1)")} AS h FROM documents), dw AS (SELECT item, title, {mq._WORDS.format('title')} AS t FROM dict), w AS (SELECT item, t, title, unnest(list_distinct(t)) AS word FROM dw WHERE len(t) >= 2), o AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+@query("LNK-08_words_in_order", f"""WITH {_DICT}, s AS (SELECT doc_id AS article, {mq._WORDS.format("split_part(text, chr(10), 1)")} AS h FROM documents), dw AS (SELECT item, title, list_filter({mq._WORDS.format('title')}, lambda w: NOT list_contains([{', '.join(repr(w) for w in titles.STOP)}], w) AND (length(w) >= 3 OR regexp_full_match(w, '[0-9]+|[ivxlcdm]+'))) AS t FROM dict), w AS (SELECT item, t, title, unnest(list_distinct(t)) AS word FROM dw WHERE len(t) >= 3), o AS (SELECT word, count(*) AS n FROM w GROUP BY word),
     an AS (SELECT item, t, title, word FROM w JOIN o USING (word) WHERE n <= 12 QUALIFY row_number() OVER (PARTITION BY item ORDER BY n, length(word) DESC, word) = 1),
     m AS (SELECT article, item, t, title FROM s JOIN an ON list_contains(h, word) WHERE regexp_matches(' ' || array_to_string(h, ' ') || ' ', ' ' || array_to_string(t, ' (?:.* )?') || ' '))
     SELECT article, item FROM m QUALIFY row_number() OVER (PARTITION BY article ORDER BY len(list_distinct(t)) DESC, length(array_to_string(t, ' ')) DESC, item) = 1""")

@@ -217,7 +217,7 @@ def stories(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINKS = f"""dict AS (SELECT item_id AS item, array_to_string(list_slice({_WORDS.format('text')}, 1, item_id % 5 + 1), ' ') AS title FROM benchmark), s AS (SELECT doc_id AS article, ' ' || array_to_string({_WORDS.format("split_part(text, chr(10), 1)")}, ' ') || ' ' AS h, ' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ' AS x FROM documents),
-    c AS (SELECT article, item, contains(h, ' ' || title || ' ') AS in_headline, contains(x, ' ' || title || ' ') AS in_description, length(title) AS n FROM s, dict WHERE title <> '' AND (contains(h, ' ' || title || ' ') OR contains(x, ' ' || title || ' '))),
+    c AS (SELECT article, item, contains(h, ' ' || title || ' ') AS in_headline, contains(x, ' ' || title || ' ') AS in_description, length(title) AS n FROM s, dict WHERE length(title) >= 4 AND (contains(h, ' ' || title || ' ') OR contains(x, ' ' || title || ' '))),
     scored AS (SELECT article, item, in_headline, in_description, CAST(n + CASE WHEN in_headline THEN 90 ELSE 0 END + CASE WHEN in_description THEN 65 ELSE 0 END AS INTEGER) AS score FROM c)"""
 
 

@@ -142,10 +142,26 @@ def test_scratch_folders_and_rule_tables(spark):
     assert sorted(map(tuple, payloads.rule_table(spark, payloads.deep_merge({"a": {"b": 1}}, {"a": {"c": [2]}})).collect())) == [("a.b", "1"), ("a.c", "[2]")]
 
 
-def test_both_ways_of_finding_titles_agree(spark):
+def test_titles_are_found_in_shards_of_any_size(spark):
     texts = [(1, "Iron Crown review", "the iron crown II is iron"), (2, None, None), (3, "IRON crown iron CROWN", ""), (4, "a b c d e f g h i j", "a b c d e f g h x j"), (4, "a b c d e f g h i j", None)]
     articles = spark.createDataFrame(texts, "article int, headline string, description string")
     names = spark.createDataFrame([(1, "Iron Crown"), (2, "Iron"), (3, "a b c d e f g h i"), (4, ""), (5, None), (6, "crown, II"), (7, "iron crown")], "item int, title string")
-    ways = [sorted(map(tuple, linking.phrase_candidates(articles, names, most=n).collect())) for n in (0, 100)]
-    assert ways[0] == ways[1] and len(ways[0]) == 8
+    ways = [sorted(map(tuple, linking.phrase_candidates(articles, names, shard=n).collect())) for n in (1, 3, 100)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == 8
     assert linking.phrase_candidates(articles, names.limit(0)).count() == 0 and linking.phrase_candidates(articles.limit(0), names).count() == 0
+
+
+def test_words_of_phrases_are_walked_once(spark):
+    """Against all phrases at all places, with phrases that begin and end within each other."""
+    import random
+
+    from gapline.operators import phrases
+
+    rng = random.Random(6)
+    known = [[rng.choice("abc") for _ in range(rng.randint(1, 5))] for _ in range(60)] + [["the"] * n for n in range(1, 40)]
+    automaton = phrases.Automaton(list(enumerate(known)))
+    for _ in range(200):
+        text = [rng.choice(["a", "b", "c", "the", "x"]) for _ in range(rng.randint(0, 60))]
+        want = {n for n, p in enumerate(known) if any(text[i : i + len(p)] == p for i in range(len(text)))}
+        assert automaton.found(text) == want
+    assert phrases.Automaton([]).found(["a"]) == set()

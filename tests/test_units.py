@@ -126,7 +126,7 @@ def test_linking(spark):
     found = linking.phrase_candidates(articles, names)
     assert rows_of(found.select("article", "item", "in_headline", "in_description")) == [(1, 7, True, False), (2, 7, False, True), (2, 8, False, True)]
     assert rows_of(linking.winners(found).select("article", "item")) == [(1, 7)]
-    assert rows_of(linking.fallback(articles, names)) == [(1, 7), (5, 9)]
+    assert rows_of(linking.fallback(articles, names, least_words=2)) == [(1, 7), (5, 9)]
     assert linking.phrase_candidates(articles, names.limit(0)).count() == 0
 
 
