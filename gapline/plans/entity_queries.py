@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, titles
 from ..operators import disparity, linking, relational, resolving, similarity, trending
 from ..operators import timeseries as ts
 from ..sources import bindings as b
-from ..sources import payloads
+from ..sources import paged, payloads, sync
 from . import mining_queries as mq
 from .disparity_queries import AS_OF, scored_reviews, user_scores
 from .list_queries import _DESCRIBED, _MEANINGFUL, described_items, meaningful
@@ -550,28 +550,47 @@ def cleared_news(spark, d):
 @query("SRC-03_paged_scan", "SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids FROM part")
 def paged_scan(spark, d):
     """The items as numbered pages of JSON, written and read through the page source, a partition for each page."""
-    return pages_of(spark, b.items(spark, d).select("item", "title"), 50, "item long, title string").agg(F.count("*").alias("n"), F.sum("item").alias("ids"))
-
-
-def pages_of(spark: SparkSession, rows: DataFrame, size: int, schema: str) -> DataFrame:
-    from ..sources import paged
-
     path = relational.scratch_dir(spark, "pages")
-    n = -(-rows.count() // size) or 1
-    numbered = rows.withColumn("_page", F.pmod(F.xxhash64(rows.columns[0]), F.lit(n)))  # pages of about ``size`` rows, made without a global order
-    packed = numbered.groupBy("_page").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("json"))
-    paged.write_pages(packed, path)
-    spark.dataSource.register(paged.PagedSource)
-    return spark.read.format("pages").schema(schema).option("path", path).option("pages", n + 2).load()
-
-
-@query("SRC-04_paged_reviews", views("reviews", then="SELECT item, count(*) AS n, count(score) AS scored FROM reviews WHERE item IN (1, 2, 3) GROUP BY item"))
+    packed_pages(b.items(spark, d).select("item", "title"), 50, path)
+    return pages_at(spark, path, "item long, title string").agg(F.count("*").alias("n"), F.sum("item").alias("ids"))
+
+
+def packed_pages(rows: DataFrame, size: int, path: str, first: int = 0, parent: str | None = None) -> None:
+    """``rows`` as pages of about ``size`` records from page ``first`` on, below each ``parent``; dealt by the first column's hash, without a global order."""
+    by = [parent] if parent else []
+    sizes = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("_n"))
+    numbered = (rows.join(relational.broadcast_if_small(sizes), by) if by else rows.crossJoin(F.broadcast(sizes))).withColumn("page", F.pmod(F.xxhash64(rows.columns[0]), F.col("_n")))
+    # Where the hash leaves a number out, the pages behind move up.
+    used = numbered.select(*by, "page").distinct().withColumn("_at", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("page")) - 1 + first)
+    packed = numbered.groupBy(*by, "page").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("json")).join(used, [*by, "page"])
+    paged.write_pages(packed.select(F.col("_at").alias("page"), "json", *[F.col(c).cast("string").alias("parent") for c in by]), path)
+
+
+def pages_at(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    paged.register(spark)
+    return spark.read.format("pages").schema(schema).options(path=path, **options).load()
+
+
+@query("SRC-03_resumed_sync", "SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids, 3 AS runs FROM part")
+def resumed_sync(spark, d):
+    """A list that grows: a run over what is there, one over what has come behind it, and a full one that finds a change at its head."""
+    path, table = (relational.scratch_dir(spark, n) for n in ("pages", "synced"))
+    items, schema = b.items(spark, d).select("item", "title"), "item long, title string"
+    k = F.col("item") % 3
+    packed_pages(items.filter(k == 0), 100, path)
+    sync.sync(spark, path, table, schema, "item")
+    done = sync.state(spark, table)[1]
+    packed_pages(items.filter(k == 1), 100, path, done)
+    sync.sync(spark, path, table, schema, "item")
+    paged.write_pages(items.filter(k == 2).groupBy().agg(F.to_json(F.collect_list(F.struct("item", "title"))).alias("json")).select(F.lit(0).alias("page"), "json"), path)
+    sync.sync(spark, path, table, schema, "item", full=True)
+    return sync.synced(spark, table, schema).agg(F.count("*").alias("n"), F.sum("item").alias("ids"), F.lit(3).alias("runs"))
+
+
+@query("SRC-04_paged_reviews", views("reviews", then="SELECT critic % 40 AS parent, count(*) AS n, count(score) AS scored FROM reviews WHERE critic % 40 IN (1, 2, 3) GROUP BY 1"))
 def paged_reviews(spark, d):
-    """Pages below a parent: the reviews of some items, read one parent after the other."""
-    rows = b.reviews(spark, d)
-    found = None
-    for item in (1, 2, 3):
-        own = rows.filter(F.col("item") == item).select("review_id", "item", "critic", "score")
-        read = pages_of(spark, own, 20, "review_id long, item long, critic long, score double")
-        found = read if found is None else found.unionByName(read)
-    return found.groupBy("item").agg(F.count("*").alias("n"), F.count("score").alias("scored"))
+    """Pages below parents: all reviews are written, and the pages of three parents are planned and read."""
+    path = relational.scratch_dir(spark, "pages")
+    packed_pages(b.reviews(spark, d).select("review_id", (F.col("critic") % 40).alias("parent_id"), "score"), 2000, path, parent="parent_id")
+    read = pages_at(spark, path, "review_id long, parent_id long, score double", parent="parent_id")
+    return read.filter(F.col("parent_id").isin(1, 2, 3)).groupBy(F.col("parent_id").alias("parent")).agg(F.count("*").alias("n"), F.count("score").alias("scored"))
