@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, titles
-from ..operators import disparity, relational, similarity, taxonomy
+from ..operators import disparity, relational, similarity, snapshots, taxonomy
 from ..sources import bindings as b
 from . import disparity_queries as dq
 from . import mining_queries as mq
@@ -170,12 +170,26 @@ def changed_links(spark, d):
 
 
 @query("SNK-09_snapshots", views("disparity", then=f"SELECT 'outlet' AS entity_type, CAST(outlet AS BIGINT) AS id, DATE '1998-01-01' AS snapshot_date, {STATS_SQL} FROM disparity WHERE outlet IS NOT NULL AND published_at <= TIMESTAMP '{dq.AS_OF}' GROUP BY outlet"))
-def snapshots(spark, d):
+def outlet_snapshots(spark, d):
     past = dq.scored_reviews(spark, d).filter(F.col("published_at") <= F.lit(dq.AS_OF).cast("timestamp_ntz"))
     stats = disparity.entity_stats(past, "outlet").withColumnRenamed("outlet", "id")
     return stats.select(F.lit("outlet").alias("entity_type"), F.col("id").cast("long").alias("id"), F.lit("1998-01-01").cast("date").alias("snapshot_date"), *[c for c in stats.columns if c != "id"])
 
 
+@query("SNK-09_incremental", views("disparity", then=f"""+
+    moved AS (SELECT outlet, published_at, CASE WHEN item % 10 = 4 THEN d + 1000 ELSE d END AS d, CASE WHEN item % 10 = 4 THEN d_a + 1000 ELSE d_a END AS d_a, CASE WHEN item % 10 = 4 THEN d_b + 1000 ELSE d_b END AS d_b FROM disparity WHERE item % 10 <> 3)
+    SELECT outlet, {STATS_SQL}, max(published_at) AS last FROM moved WHERE outlet IS NOT NULL GROUP BY outlet"""))
+def incremental(spark, d):
+    """A tenth of the items has come since the first snapshot, the reviews of a tenth were taken back, those of a tenth scored anew."""
+    rows = dq.scored_reviews(spark, d)
+    k = F.col("item") % 10
+    anew = rows.withColumns({c: F.when(k == 4, F.col(c) + 1000).otherwise(F.col(c)) for c in ("d", "d_a", "d_b")})
+    states = relational.saved(snapshots.cells(rows.filter(k != 2), "outlet"), "states")
+    first = snapshots.stats(states, "outlet")
+    touched = relational.saved(snapshots.changed_cells(states, rows.filter(k.isin(3, 4)), anew.filter(k.isin(2, 4)), anew.filter(k != 3), "outlet"), "touched")
+    return snapshots.snapshot(first, snapshots.updated(states, touched, "outlet"), touched, "outlet")
+
+
 @query("SNK-13_backfilled_items", views("disparity", "items", then="""SELECT i.item, i.title, coalesce(r.n, 0) AS n_reviews, r.last_day, s.scores FROM items i LEFT JOIN (SELECT item, count(*) AS n, max(CAST(published_at AS DATE)) AS last_day FROM disparity GROUP BY item) r ON i.item = r.item
     LEFT JOIN (SELECT user_id, count(*) AS scores FROM observations GROUP BY user_id) s ON i.item % 150 = s.user_id"""))
 def backfilled_items(spark, d):
