@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import titles
-from ..operators import linking, neighbors, relational, resolving, similarity, taxonomy
+from ..operators import linking, neighbors, postings, relational, resolving, similarity, taxonomy
 from ..sources import bindings as b
 from .registry import query, views
 from .series_queries import _STOP
@@ -30,7 +30,15 @@ def shared_facets(spark, d):
 
 @query("SRT-05_top_similar", views("items", then=_SHARED + " SELECT anchor, candidate, score, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"))
 def top_similar(spark, d):
-    return relational.topk_per_group(shared_facets(spark, d).drop("confidence"), ["anchor"], [F.desc("score"), F.asc("candidate")], 5, "rank")
+    rows = facets(spark, d)
+    return postings.top_shared(rows.filter("item % 50 = 0"), rows, 5)
+
+
+@query("SRT-05_top_of_all", views("items", then=_SHARED.replace(" WHERE a.item % 50 = 0", "") + " SELECT anchor, candidate, score, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"))
+def top_of_all(spark, d):
+    """Every item is an anchor."""
+    rows = facets(spark, d)
+    return postings.top_shared(rows, rows, 5)
 
 
 @query("SRT-06_diverse")
