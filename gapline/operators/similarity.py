@@ -182,13 +182,13 @@ def sparse_cosine(pairs: DataFrame, sparse: DataFrame, key: str) -> DataFrame:
 def final_scores(pairs: DataFrame, profile: dict[str, float] | None = None) -> DataFrame:
     """``pairs`` with taxonomy (from score) and final, where both are high enough to be published.
 
-    Parts that ``pairs`` lacks count nothing; negative prototypes cost three tenths of their value.
+    Parts that ``pairs`` lacks count nothing; negative prototypes cost three tenths of their value; an adjustment is added as it is.
     """
     taxonomy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / DIVISOR))
     part = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in pairs.columns else F.lit(0.0)
     weights = profile or PROFILE
     known = pairs.withColumn("taxonomy", taxonomy)
-    final = sum((F.greatest(F.lit(0.0), part(n)) * w for n, w in weights.items() if n != "taxonomy"), F.col("taxonomy") * weights["taxonomy"]) + F.least(F.lit(0.0), part("prototype")) * 0.3
+    final = sum((F.greatest(F.lit(0.0), part(n)) * w for n, w in weights.items() if n != "taxonomy"), F.col("taxonomy") * weights["taxonomy"]) + F.least(F.lit(0.0), part("prototype")) * 0.3 + part("adjustment")
     return known.withColumn("final", final).filter((F.col("final") >= PUBLISHED) & (F.col("taxonomy") >= LEAST_TAXONOMY))
 
 
