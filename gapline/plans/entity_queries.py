@@ -9,7 +9,7 @@ from ..functions import dates, titles
 from ..operators import disparity, linking, relational, resolving, similarity, trending
 from ..operators import timeseries as ts
 from ..sources import bindings as b
-from ..sources import paged, payloads, sync
+from ..sources import markup, paged, payloads, sync
 from . import mining_queries as mq
 from .disparity_queries import AS_OF, scored_reviews, user_scores
 from .list_queries import _DESCRIBED, _MEANINGFUL, described_items, meaningful
@@ -500,6 +500,29 @@ def page_metadata(spark, d):
     return payloads.json_ld(b.table(spark, d, "pages").select("page_id", html.alias("html")), "page_id", "html")
 
 
+_INNER = "regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs')"
+_PLAIN = "trim(regexp_replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '\\s+', ' ', 'g'))"
+
+
+@query("SRC-16_page_heads", f"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, {_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {_PLAIN.format("regexp_extract(html, '<h1>([^<]*)', 1)")} AS heading,
+    len(regexp_extract_all({_INNER}, '<a [^>]*href=')) AS links, len(regexp_extract_all({_INNER}, '<p[ >]')) AS paragraphs FROM pages""")
+def page_heads(spark, d):
+    """Titles, headings and counts of the pages as they are."""
+    return markup.heads(markup.page_elements(b.table(spark, d, "pages"), "page_id", "html"), "page_id")
+
+
+@query("SRC-08_page_links", f"""SELECT page_id, href, text, count(*) AS n FROM (SELECT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, {_PLAIN.format("regexp_extract(a, '>([^<]*)', 1)")} AS text FROM (SELECT page_id, unnest(regexp_extract_all({_INNER}, '<a [^>]*>[^<]*')) AS a FROM pages)) GROUP BY ALL""")
+def page_links(spark, d):
+    found = markup.page_elements(b.table(spark, d, "pages"), "page_id", "html").filter("tag = 'a'")
+    return found.groupBy("page_id", F.col("attributes")["href"].alias("href"), "text").agg(F.count("*").alias("n"))
+
+
+@query("SRC-08_page_elements")
+def page_elements(spark, d):
+    """Every element of every page, with its path and where it stands."""
+    return markup.page_elements(b.table(spark, d, "pages"), "page_id", "html").withColumn("attributes", F.to_json("attributes"))
+
+
 @query("TS-07_peak_summary", "SELECT page_id, page_id * 1000 + 7 AS peak_day, page_id * 2000 + 11 AS peak_all, DATE '2023-01-01' + CAST(page_id AS INTEGER) AS peak_at FROM pages")
 def peak_summary(spark, d):
     n = lambda c: F.format_number(c, 0)
