@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..operators import timeseries as ts
 from ..operators import trending
 from ..sources import bindings as b
@@ -154,6 +155,40 @@ def news_signals(spark, d):
     return found.withColumn("latest_at", F.col("latest_at").cast("timestamp_ntz"))
 
 
+def _inferred_sql(headline: str) -> str:
+    """CTEs up to inferred (article, title): what a headline seems to begin with."""
+    lists = {n: ", ".join(repr(w) for w in getattr(labels, f"HEADLINE_{n}")) for n in ("BREAKS", "STARTS", "REJECTS", "MINOR")}
+    words = f"list_filter(string_split(regexp_replace(lower({headline}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w <> 's')"
+    return f"""w AS (SELECT article, {words} AS w FROM recent WHERE item IS NULL), c AS (SELECT article, w, list_min(list_filter(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN ({lists['BREAKS']}) THEN i - 1 END), lambda i: i IS NOT NULL)) AS cut FROM w),
+    h AS (SELECT article, list_slice(w, 1, coalesce(cut, len(w))) AS h FROM c), p AS (SELECT article, list_slice(h, 1, least(8, coalesce(list_max(list_transform(h, lambda x, i: CASE WHEN x NOT IN ({lists['MINOR']}) THEN i END)), 0))) AS s FROM h),
+    inferred AS (SELECT article, array_to_string(list_transform(s, lambda x, i: CASE WHEN regexp_full_match(x, '[ivxlcdm]+') THEN upper(x) WHEN i > 1 AND x IN ({lists['MINOR']}) THEN x ELSE upper(x[1]) || x[2:] END), ' ') AS title FROM p
+      WHERE len(s) >= 2 AND s[1] NOT IN ({lists['STARTS']}) AND NOT regexp_full_match(s[1], '[0-9]+') AND len(list_filter(s, lambda x: x IN ({lists['REJECTS']}))) = 0)"""
+
+
+_INFERRED = f"""+
+    recent AS (SELECT * FROM articles WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR), {_inferred_sql("trim(regexp_replace(headline, '\\s+', ' ', 'g'))")},
+    rows AS (SELECT a.article, a.item, i.released, a.source, a.published_at AS t, CASE WHEN a.item IS NOT NULL THEN 'item:' || a.item ELSE 'topic:' || {topic_sql('n.title')} END AS trend_key,
+        coalesce(i.title, n.title, coalesce(nullif(trim(regexp_replace(headline, '\\s+', ' ', 'g')), ''), 'Untitled')) AS title, (epoch(TIMESTAMP '{NOW}') - epoch(a.published_at)) / 3600 AS age
+        FROM recent a LEFT JOIN items i ON a.item = i.item LEFT JOIN inferred n ON n.article = a.article WHERE a.item IS NOT NULL OR n.title IS NOT NULL),
+    b AS (SELECT trend_key, max(item) AS item, max(released) AS released, max_by(title, {{'a': t, 'b': article, 'c': title}}) AS title, max(t) AS latest_at, count(*) AS mentions, count(DISTINCT source) AS sources,
+        sum(exp(-ln(2) * greatest(age, 0) / 24)) AS weighted, count(*) FILTER (age <= 12) - count(*) FILTER (age > 12 AND age <= 24) AS momentum FROM rows GROUP BY trend_key)
+    SELECT trend_key, item, released, title, latest_at, mentions, sources, round(weighted + least(sources, 5) * 0.35::DOUBLE + greatest(0.0::DOUBLE, least(2.5::DOUBLE, momentum * 0.4::DOUBLE)), 4) AS score FROM b WHERE item IS NOT NULL OR mentions >= 2"""
+
+
+@query("TRD-01_inferred", views("articles", "items", then=_INFERRED))
+def inferred_signals(spark, d):
+    """Unlinked articles by the title that their headline seems to begin with."""
+    found = trending.news_signals(b.articles(spark, d), b.items(spark, d), NOW, infer=True)
+    return found.withColumn("latest_at", F.col("latest_at").cast("timestamp_ntz"))
+
+
+@query("TRD-01_spellings")
+def spellings(spark, d):
+    """The same, and titles that are spelt nearly alike are one topic."""
+    found = trending.news_signals(b.articles(spark, d), b.items(spark, d), NOW, infer=True, share=0.6)
+    return found.withColumn("latest_at", F.col("latest_at").cast("timestamp_ntz"))
+
+
 @query("TRD-03_ranked", views("articles", "items", then=_SIGNALS + f""",
     aged AS (SELECT *, date_diff('day', released, DATE '{NOW[:10]}') AS days FROM signals WHERE score > 0),
     weighed AS (SELECT *, round(score * CASE WHEN days IS NULL OR days <= 120 THEN 1.0 ELSE least(1.0::DOUBLE, CASE WHEN days <= 180 THEN 0.75 WHEN days <= 365 THEN 0.25 WHEN days <= 730 THEN 0.2 WHEN days <= 1825 THEN 0.15 ELSE 0.1 END::DOUBLE
