@@ -37,8 +37,13 @@ from .words import _ALNUM, utf8
 UNIT_WORDS = 4
 #: Passages of fewer words stay: a line that many documents share by nature, such as a heading, is no copied text.
 PASSAGE_WORDS = 20
+#: Whole lines of so many words go wherever they repeat, however short the passage around them; None leaves them to it.
+LINE_WORDS = 8
+UNIT, WHOLE, LINE = 0, 1, 2
 _END = re.compile(rb"\n+|[.!?]+(?=\s)")
-PIECES = "unit int, word int, n_words int, start int, end int, digest long, fresh boolean"
+#: Letters of scripts that are written without spaces, from kana to Han, by their first bytes.
+_DENSE = re.compile(rb"[\xE3-\xE9][\x80-\xBF]{2}")
+PIECES = "unit int, word int, n_words int, start int, end int, whole boolean, digest long, fresh boolean"
 #: Words of an anchor.
 ANCHOR_WORDS = 8
 #: Bits of the map by which pieces that stand once are left out early.
@@ -49,25 +54,48 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
 
 
-def units_of(raw: bytes, least: int = UNIT_WORDS) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of the units with at least ``least`` words; offsets in bytes, from the first letter to behind the last."""
-    words = raw.translate(_ALNUM)
-    out, at = [], 0
-    for end in [*(m.end() for m in _END.finditer(raw)), len(raw)]:
+def units_of(raw: bytes, least: int = UNIT_WORDS, line: int | None = LINE_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, words, digest, kind) of the units with at least ``least`` words; offsets in bytes, from the first letter to behind the last.
+
+    Kinds are UNIT, WHOLE for a unit that is a line of at least ``line`` words,
+    and LINE for such a line that has several units, besides these.
+    """
+    words, starts = raw.translate(_ALNUM), word_places(raw)[0] if _DENSE.search(raw) else None
+    out: list[tuple[int, int, int, int, int]] = []
+
+    def put(at: int, end: int, kind: int) -> None:
         found = words[at:end].split()
-        if len(found) >= least:
+        n = len(found) if starts is None else int(np.subtract(*np.searchsorted(starts, [end, at])))
+        if n >= least and (kind != LINE or n >= line):
             body = raw[at:end]
             start = at + len(body) - len(body.lstrip())
-            out.append((start, at + len(body.rstrip()), len(found), xxhash.xxh3_64_intdigest(b" ".join(found))))
+            kind = UNIT if kind == WHOLE and n < line else kind
+            out.append((start, at + len(body.rstrip()), n, xxhash.xxh3_64_intdigest(b" ".join(found)), kind))
+
+    begin = at = 0
+    for m in [*_END.finditer(raw), None]:
+        end, ends = (m.end(), raw[m.start()] == 10) if m else (len(raw), True)
+        if not ends and raw[end : end + 1] == b"\n":
+            continue  # the line's end comes next, and ends this unit, too
+        put(at, end, WHOLE if ends and at == begin and line is not None else UNIT)
+        if ends:
+            if at != begin and line is not None:
+                put(begin, end, LINE)
+            begin = end
         at = end
     return out
 
 
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text start and end, in bytes."""
+    """Where the words of a text start and end, in bytes; each letter of a script without spaces is one."""
     letters = np.frombuffer(b" " + raw.translate(_ALNUM) + b" ", np.uint8) != 32
     edge = np.flatnonzero(letters[1:] != letters[:-1])
-    return edge[::2], edge[1::2]
+    start, end = edge[::2], edge[1::2]
+    if _DENSE.search(raw) is None:
+        return start, end
+    more = np.unique(np.array([m.span() for m in _DENSE.finditer(raw)]))
+    more = np.setdiff1d(more, np.concatenate([start, end]), assume_unique=True)
+    return np.sort(np.concatenate([start, more])), np.sort(np.concatenate([end, more]))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,25 +148,26 @@ def _code_points(raw: bytes) -> np.ndarray | None:
     return None if raw.isascii() else np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
 
 
-def pieces_of(raw: bytes, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS) -> list[np.ndarray]:
-    """unit (its number; -1 for an anchor), word (words before it), n_words, start, end (code points), digest, fresh (first of its digest in the text); without ``passage`` no anchors."""
+def pieces_of(raw: bytes, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, line: int | None = LINE_WORDS) -> list[np.ndarray]:
+    """unit (its number; -1 for an anchor, -2 for a line of several), word (words before it), n_words, start, end (code points), whole, digest, fresh (first of its digest in the text); without ``passage`` no anchors."""
     starts, ends = word_places(raw)
-    units = units_of(raw, least)
-    a, b, n, digest = (np.array(x, np.uint64 if i == 3 else np.int64) for i, x in enumerate(zip(*units, strict=True))) if units else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    word, unit = np.searchsorted(starts, a), np.arange(len(a))
+    units = units_of(raw, least, line)
+    a, b, n, digest, kinds = (np.array(x, np.uint64 if i == 3 else np.int64) for i, x in enumerate(zip(*units, strict=True))) if units else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
+    word, unit, whole = np.searchsorted(starts, a), np.where(kinds == LINE, -2, np.cumsum(kinds != LINE) - 1), kinds != UNIT
     if passage and len(starts) >= passage:
         at, found = anchors_of(_word_digests(raw, starts, ends), passage)
         size = min(ANCHOR_WORDS, passage)
         unit, word, n = np.concatenate([unit, np.full(len(at), -1)]), np.concatenate([word, at]), np.concatenate([n, np.full(len(at), size)])
         a, b, digest = np.concatenate([a, starts[at]]), np.concatenate([b, ends[at + size - 1]]), np.concatenate([digest, found])
+        whole = np.concatenate([whole, np.zeros(len(at), bool)])
     if (before := _code_points(raw)) is not None:
         a, b = before[a], before[b]
     fresh = np.zeros(len(digest), bool)
     fresh[np.unique(digest, return_index=True)[1]] = True
-    return [unit, word, n, a, b, digest.view(np.int64), fresh]
+    return [unit, word, n, a, b, whole, digest.view(np.int64), fresh]
 
 
-def pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text", line: int | None = LINE_WORDS) -> DataFrame:
     """The hashed units and anchors of each row: key and the columns of ``pieces_of``."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, *(x.split()[0] for x in PIECES.split(", "))]
@@ -146,13 +175,13 @@ def pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSA
     def rows(keys: pa.Array, of: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*(x for _, x in of), strict=True)]
         take = np.repeat([i for i, _ in of], [len(x[0]) for _, x in of])
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), *(pa.array(c.astype(np.int32)) for c in columns[:5]), pa.array(columns[5]), pa.array(columns[6])], names=names)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), *(pa.array(c.astype(np.int32)) for c in columns[:5]), *map(pa.array, columns[5:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, size = [], 0
             for i, raw in enumerate(utf8(batch.column(1))):
-                of.append((i, pieces_of(raw, least, passage)))
+                of.append((i, pieces_of(raw, least, passage, line)))
                 size += len(raw)
                 if size >= 4 << 20:
                     yield rows(batch.column(0), of)
@@ -163,8 +192,8 @@ def pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSA
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {PIECES}")
 
 
-def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces that stand somewhere before: key, unit, word, n_words, start, end, first_key, first_word.
+def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, key: str = "doc_id", text: str = "text", line: int | None = LINE_WORDS) -> DataFrame:
+    """The pieces that stand somewhere before: key, unit, word, n_words, start, end, whole, first_key, first_word.
 
     Pieces are made once and kept in a Parquet table.  Their digests alone are
     counted, combined before they are shuffled.  Few are repeated, and only
@@ -173,7 +202,7 @@ def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | Non
     side, so that Spark can split a digest with very many pieces on the other.
     """
     path = new_dir(docs.sparkSession, "pieces")
-    pieces(merged(docs).select(key, text), least, passage, key, text).write.parquet(path, compression="zstd")
+    pieces(merged(docs).select(key, text), least, passage, key, text, line).write.parquet(path, compression="zstd")
     every = docs.sparkSession.read.parquet(path)
     twice = cut(every.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest"))
     found = cut(_let_through(every, twice).join(twice, "digest"))
@@ -181,7 +210,7 @@ def repeated_pieces(docs: DataFrame, least: int = UNIT_WORDS, passage: int | Non
     some = found.groupBy("digest").agg(place).select("digest", F.col("_first.key").alias("first_key"), F.col("_first.word").alias("first_word"))
     first = F.col(key).eqNullSafe(F.col("first_key"))
     placed = found.join(some, "digest").filter(~(first & F.col("fresh")))
-    return placed.select(key, "unit", "word", "n_words", "start", "end", "first_key", "first_word")
+    return placed.select(key, "unit", "word", "n_words", "start", "end", "whole", "first_key", "first_word")
 
 
 def _let_through(every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -199,7 +228,7 @@ def _let_through(every: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _passage_type(kind: str) -> str:
-    return f"array<struct<word:int,behind:int,start:int,end:int,n_words:int,keys:array<{kind}>,left_key:{kind},left_word:int,right_key:{kind},right_word:int>>"
+    return f"array<struct<word:int,behind:int,start:int,end:int,n_words:int,keys:array<{kind}>,left_key:{kind},left_word:int,right_key:{kind},right_word:int,whole:boolean>>"
 
 
 def _put_together(passage: int, kind: str):
@@ -208,8 +237,8 @@ def _put_together(passage: int, kind: str):
     def put(rows: pa.Array) -> pa.Array:
         key_type = rows.type.value_type.field("first_key").type
         whole = [pa.int32()] * 5
-        names = ["word", "behind", "start", "end", "n_words", "keys", "left_key", "left_word", "right_key", "right_word"]
-        out_kind = pa.list_(pa.struct(list(zip(names, [*whole, pa.list_(key_type), key_type, pa.int32(), key_type, pa.int32()], strict=True))))
+        names = ["word", "behind", "start", "end", "n_words", "keys", "left_key", "left_word", "right_key", "right_word", "whole"]
+        out_kind = pa.list_(pa.struct(list(zip(names, [*whole, pa.list_(key_type), key_type, pa.int32(), key_type, pa.int32(), pa.bool_()], strict=True))))
         found = list(zip(*(c.to_pylist() for c in rows.flatten().flatten()), strict=True))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
         return pa.array([together(found[a:b], passage) for a, b in zip(ends[:-1], ends[1:], strict=True)], out_kind)
@@ -218,14 +247,16 @@ def _put_together(passage: int, kind: str):
 
 
 def together(found: list[tuple], passage: int) -> list[dict]:
-    """Passages of (word, n_words, unit, start, end, first_key, first_word): runs of pieces that touch or overlap.
+    """Passages of (word, n_words, unit, start, end, first_key, first_word, whole): runs of pieces that touch or overlap.
+
+    ``whole`` tells those that hold a whole repeated line.
 
     Between two units, units of too few words may stand, which don't count;
     between two anchors that are equally far apart at their first occurrence,
     as many words as a copy can have there, which do.
     """
     units = sorted(p for p in found if p[2] >= 0)
-    anchors = sorted((p for p in found if p[2] < 0), key=lambda p: p[0])
+    anchors = sorted((p for p in found if p[2] == -1), key=lambda p: p[0])
     fill = [(u[0] + u[1], v[0] - u[0] - u[1], False) for u, v in zip(units, units[1:], strict=False) if v[2] == u[2] + 1 and v[3] >= u[4] and v[0] > u[0] + u[1]]
     fill += [(u[0] + u[1], gap, True) for u, v in zip(anchors, anchors[1:], strict=False) if 0 < (gap := v[0] - u[0] - u[1]) <= passage - u[1] and u[5] == v[5] and v[0] - u[0] == v[6] - u[6]]
     every = sorted([(p[0], 0, p) for p in found] + [(w, 1, (w, n, c)) for w, n, c in fill], key=lambda x: x[:2])
@@ -233,13 +264,14 @@ def together(found: list[tuple], passage: int) -> list[dict]:
     behind = counted = -1  # the word behind the passage, and behind the words counted
     for word, filling, p in every:
         if word > behind:
-            out.append({"word": word, "behind": word, "start": p[3], "end": p[4], "n_words": 0, "keys": set(), "left_key": p[5], "left_word": p[6], "right_key": p[5], "right_word": p[6] + p[1]})
+            out.append({"word": word, "behind": word, "start": p[3], "end": p[4], "n_words": 0, "keys": set(), "left_key": p[5], "left_word": p[6], "right_key": p[5], "right_word": p[6] + p[1], "whole": False})
         last = out[-1]
         if not filling or p[2]:
             last["n_words"] += max(0, word + p[1] - max(word, counted))
             counted = max(counted, word + p[1])
         if not filling:
             last["keys"].add(p[5])
+            last["whole"] |= p[7]
             if word + p[1] > last["behind"]:
                 last |= {"behind": word + p[1], "end": max(last["end"], p[4]), "right_key": p[5], "right_word": p[6] + p[1]}
         behind = max(behind, word + p[1])
@@ -276,7 +308,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, key: str, text: st
     return met.mapInArrow(run, f"_key {kind}, word int, side int, digests array<long>, places array<int>")
 
 
-def copied_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def copied_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text", line: int | None = LINE_WORDS) -> DataFrame:
     """The passages to remove: key, start, end (code points from 0, end open), n_words, first_keys (sorted keys at which its pieces stand first).
 
     A piece's first occurrence is the one with the least key, and in that text
@@ -291,25 +323,25 @@ def copied_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PAS
     between two marks or line ends.  The pieces of one document are gathered
     in one row, and nothing larger is.
     """
-    return _passages(docs, least, passage, key, text, anchors=True)
+    return _passages(docs, least, passage, key, text, line, anchors=True)
 
 
-def repeated_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = UNIT_WORDS, passage: int = PASSAGE_WORDS, key: str = "doc_id", text: str = "text", line: int | None = LINE_WORDS) -> DataFrame:
     """Passages of whole repeated units alone; columns, and what counts as first, as in ``copied_passages``."""
-    return _passages(docs, least, passage, key, text, anchors=False)
+    return _passages(docs, least, passage, key, text, line, anchors=False)
 
 
-def _passages(docs: DataFrame, least: int, passage: int, key: str, text: str, anchors: bool) -> DataFrame:
+def _passages(docs: DataFrame, least: int, passage: int, key: str, text: str, line: int | None, anchors: bool) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
-    found = repeated_pieces(docs, least, passage if anchors else None, key, text)
-    rows = found.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("word", "n_words", "unit", "start", "end", "first_key", "first_word")).alias("_pieces"))
+    found = repeated_pieces(docs, least, passage if anchors else None, key, text, line)
+    rows = found.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("word", "n_words", "unit", "start", "end", "first_key", "first_word", "whole")).alias("_pieces"))
     some = rows.select("_key", F.posexplode(_put_together(passage, kind)(F.col("_pieces"))).alias("_p", "p")).select("_key", "_p", "p.*")
     reach = passage - min(ANCHOR_WORDS, passage)
     if anchors and reach:
-        some = _extended(docs, cut(some.filter(F.col("n_words") + 2 * reach >= passage)), reach, key, text)
-    rows = some.groupBy("_key").agg(F.collect_list(F.struct("word", "behind", "start", "end", "n_words", "keys")).alias("_all"))
-    out = rows.select("_key", F.explode(_disjoint(kind)(F.col("_all"))).alias("p")).filter(F.col("p.n_words") >= passage)
-    return out.select(F.col("_key").alias(key), "p.*")
+        some = _extended(docs, cut(some.filter((F.col("n_words") + 2 * reach >= passage) | F.col("whole"))), reach, key, text)
+    rows = some.groupBy("_key").agg(F.collect_list(F.struct("word", "behind", "start", "end", "n_words", "keys", "whole")).alias("_all"))
+    out = rows.select("_key", F.explode(_disjoint(kind)(F.col("_all"))).alias("p")).filter((F.col("p.n_words") >= passage) | F.col("p.whole"))
+    return out.select(F.col("_key").alias(key), "p.start", "p.end", "p.n_words", "p.first_keys")
 
 
 def _extended(docs: DataFrame, some: DataFrame, reach: int, key: str, text: str) -> DataFrame:
@@ -337,27 +369,28 @@ def _extended(docs: DataFrame, some: DataFrame, reach: int, key: str, text: str)
     more = lambda s: F.coalesce(F.col(f"_{s}.n"), F.lit(0))
     return joined.select(
         "_key", (F.col("word") - more(0)).cast("int").alias("word"), (F.col("behind") + more(1)).cast("int").alias("behind"), F.coalesce(F.when(more(0) > 0, F.col("_0.to")), "start").alias("start"),
-        F.coalesce(F.when(more(1) > 0, F.col("_1.to")), "end").alias("end"), (F.col("n_words") + more(0) + more(1)).cast("int").alias("n_words"), "keys",
+        F.coalesce(F.when(more(1) > 0, F.col("_1.to")), "end").alias("end"), (F.col("n_words") + more(0) + more(1)).cast("int").alias("n_words"), "keys", "whole",
     )
 
 
 def _disjoint(kind: str):
     """An Arrow function that makes one passage of those that touch or overlap after their ends were moved."""
-    @F.arrow_udf(f"array<struct<start:int,end:int,n_words:int,first_keys:array<{kind}>>>")
+    @F.arrow_udf(f"array<struct<start:int,end:int,n_words:int,first_keys:array<{kind}>,whole:boolean>>")
     def disjoint(rows: pa.Array) -> pa.Array:
         key_type = rows.type.value_type.field("keys").type
-        out_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_keys", key_type)]))
+        out_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_keys", key_type), ("whole", pa.bool_())]))
         out = []
         for i in range(len(rows)):
             passages: list[dict] = []
             behind = -1
             for p in sorted(rows[i].as_py(), key=lambda p: (p["word"], p["behind"], p["start"])):
                 if p["word"] > behind:
-                    passages.append({"start": p["start"], "end": p["end"], "n_words": p["n_words"], "first_keys": set(p["keys"])})
+                    passages.append({"start": p["start"], "end": p["end"], "n_words": p["n_words"], "first_keys": set(p["keys"]), "whole": p["whole"]})
                 else:
                     last, shared = passages[-1], min(behind, p["behind"]) - p["word"]
                     last["end"], last["n_words"] = max(last["end"], p["end"]), last["n_words"] + max(0, p["n_words"] - shared)
                     last["first_keys"] |= set(p["keys"])
+                    last["whole"] |= p["whole"]
                 behind = max(behind, p["behind"])
             out.append([p | {"first_keys": sorted(p["first_keys"], key=lambda k: (k is None, k))} for p in passages])
         return pa.array(out, out_kind)

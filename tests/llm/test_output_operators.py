@@ -217,11 +217,11 @@ def units_of_row(units, rows, position):
 
 
 def has_units(text):
-    return bool(passages.units_of((text or "").encode()))
+    return bool(passages.units_of((text or "").encode(), line=None))
 
 
 def check_passages(docs, rows):
-    got = sorted(((r.doc_id, r.start, r.end, r.n_words, r.first_keys) for r in passages.repeated_passages(docs).collect()), key=str)
+    got = sorted(((r.doc_id, r.start, r.end, r.n_words, r.first_keys) for r in passages.repeated_passages(docs, line=None).collect()), key=str)
     want = plain_passages(rows)
     assert got == want
     return got
@@ -244,7 +244,7 @@ def test_passages_of_odd_rows(spark):
     found = check_passages(docs, rows)
     assert not any(k in (1, 2, 3, 4, 8, 10, 11) for k, *_ in found)
     assert passages.repeated_passages(docs.limit(0)).count() == 0
-    cleaned = {r.doc_id: r.text for r in passages.without_passages(docs.filter("doc_id is not null"), passages.repeated_passages(docs)).collect()}
+    cleaned = {r.doc_id: r.text for r in passages.without_passages(docs.filter("doc_id is not null"), passages.repeated_passages(docs, line=None)).collect()}
     spans = defaultdict(list)
     for k, a, b, *_ in found:
         spans[k].append((a, b))
@@ -275,10 +275,10 @@ def stretches_of(rows, size=passages.PASSAGE_WORDS):
 
 
 def check_stretches(docs, rows):
-    found = passages.copied_passages(docs).collect()
+    found = passages.copied_passages(docs, line=None).collect()
     inside = lambda key, a, b: any(p.doc_id == key and p.start <= a and b <= p.end for p in found)
     assert all(inside(key, a, b) for key, _, a, b, _ in stretches_of(rows))
-    assert all(inside(r.doc_id, r.start, r.end) for r in passages.repeated_passages(docs).collect())
+    assert all(inside(r.doc_id, r.start, r.end) for r in passages.repeated_passages(docs, line=None).collect())
     assert all(p.n_words >= passages.PASSAGE_WORDS for p in found)
     return found
 
@@ -322,6 +322,68 @@ def test_copies_that_start_and_end_within_sentences_are_found(spark):
     assert passages.repeated_passages(docs).count() == 0
 
 
+def lines_of(rows, least=passages.LINE_WORDS):
+    """(key, start, end) of the whole lines of so many words that stand before."""
+    order = lambda k: (k is None, k or 0)
+    found, first = [], {}
+    for n, (key, text) in enumerate(rows):
+        for m in re.finditer(r"[^\n]+", text or ""):
+            body = m[0]
+            words = tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), body)))
+            if len(words) >= least:
+                space = " \t\n\r\x0b\x0c"
+                found.append((words, n, key, m.start() + len(body) - len(body.lstrip(space)), m.start() + len(body.rstrip(space))))
+                first[words] = min(first.get(words, key), key, key=order)
+    seen, out = set(), []
+    for words, n, key, start, end in found:
+        if first[words] != key or (n, words) in seen:
+            out.append((key, start, end))
+        seen.add((n, words))
+    return out
+
+
+def check_lines(docs, rows):
+    """Whole repeated lines go, and what goes besides is a passage of its own."""
+    lines = lines_of(rows)
+    found, without = passages.copied_passages(docs).collect(), passages.copied_passages(docs, line=None).collect()
+    inside = lambda some, key, a, b: any(p.doc_id == key and p.start <= a and b <= p.end for p in some)
+    assert all(inside(found, *x) for x in lines) and all(inside(found, p.doc_id, p.start, p.end) for p in without)
+    for p in found:
+        assert p.n_words >= passages.PASSAGE_WORDS or any(k == p.doc_id and p.start <= a and b <= p.end for k, a, b in lines)
+    return [p for p in found if not inside(without, p.doc_id, p.start, p.end)]
+
+
+def test_whole_lines_of_the_table(spark):
+    docs = docs_of(spark)
+    check_lines(docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_whole_lines_that_stand_alone_go(spark):
+    word = iter(f"w{i}" for i in range(10_000))
+    words = lambda n: " ".join(next(word) for _ in range(n))
+    one, several, short = words(12), f"{words(5)}. Oh! {words(4)}. {words(2)}", words(7)
+    rows = [(n, f"{words(30)}\n{one}\n{words(9)}\n  {several} \n{short}\n{words(25)}") for n in range(3)] + [(5, one.upper() + "!"), (6, f"{one} {words(3)}"), (None, one), (7, "\n".join([one] * 4)), (8, None), (9, several + "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = check_lines(docs, rows)
+    texts = dict(rows)
+    cut = defaultdict(list)
+    for p in more:
+        cut[p.doc_id].append(texts[p.doc_id][p.start : p.end].strip())
+    both = sorted([one, f"{several} \n{short}"])  # a repeated line that touches goes, too
+    assert {k: sorted(v) for k, v in cut.items()} == {1: both, 2: both, 5: [one.upper() + "!"], None: [one], 9: [several]}
+    assert any(p.doc_id == 7 for p in passages.copied_passages(docs).collect())
+
+
+def test_texts_without_spaces_are_found(spark):
+    rng = random.Random(8)
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(600))
+    kana = "".join(chr(rng.randint(0x3041, 0x3090)) for _ in range(60))
+    rows = [(1, han), (2, han), (3, kana + "abc def"), (4, f"xyz {kana}"), (5, han[:10]), (6, "word " + han[100:130] + " other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.start, r.end, r.n_words) for r in passages.copied_passages(docs).collect()}
+    assert found == {2: (0, 600, 600), 4: (4, 64, 60), 6: (5, 35, 30)}
+
+
 def test_a_full_bit_map_changes_nothing(spark, monkeypatch):
     """With few bits nearly all pieces are let through, with many nearly none: the passages are the same."""
     docs = docs_of(spark)
@@ -489,7 +551,7 @@ def test_stages_with_odd_rows(spark):
 
 def test_digests_are_of_normalised_words():
     raw = "Ab cd, EF gh!  Next line has words\nlast".encode()
-    assert [(a, b, n) for a, b, n, _ in passages.units_of(raw)] == [(0, 13, 4), (15, 34, 4)]
+    assert [(a, b, n) for a, b, n, *_ in passages.units_of(raw)] == [(0, 13, 4), (15, 34, 4), (0, 34, 8)]  # and the line of both
     assert passages.units_of(raw)[0][3] == xxhash.xxh3_64_intdigest(b"ab cd ef gh")
 
 
