@@ -41,6 +41,16 @@ _TAG_LINE = re.compile(_TAG + rb"[^\S\n]*:?[^\S\n]*((?:(?!" + _TAG + rb")[^\n])*
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 BASE_SCORE, EXPRESSION_SCORE = 0.8, 1.0
+#: What an expression's score loses if the choice it leaves has licences of unknown terms.
+UNKNOWN_LOSS = 0.1
+#: Terms of a licence, the better the higher, and the label that an expression gets for its best choice.
+STRONG, UNKNOWN, WEAK, PERMISSIVE = 0, 1, 2, 3
+TERMS = {STRONG: "strong-copyleft", UNKNOWN: "unknown-terms", WEAK: "weak-copyleft", PERMISSIVE: "permissive"}
+KINDS = [
+    (re.compile(r"(mit|isc|zlib|0bsd|unlicense|bsd-|apache-|cc0-|cc-by-\d|bsl-|python-|psf-|ncsa|wtfpl|x11|postgresql|artistic-2)"), PERMISSIVE),
+    (re.compile(r"(lgpl-|mpl-|epl-|cddl-|eupl-|cc-by-sa-|osl-|ms-rl)"), WEAK),
+    (re.compile(r"(gpl-|agpl-|sspl-|cc-by-n|busl-)"), STRONG),
+]
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -81,21 +91,38 @@ def to_postfix(expression: str) -> list[str]:
     return best
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The choices that a licence expression leaves: each a set of licences that hold together."""
-    stack: list[list[frozenset[str]]] = []
+def terms_of(licence: str) -> int:
+    """How few obligations a licence has: PERMISSIVE, WEAK, UNKNOWN or STRONG; an exception lightens what it is added to."""
+    name, _, exception = licence.partition(" with ")
+    found = next((terms for pattern, terms in KINDS if pattern.match(name)), UNKNOWN)
+    return WEAK if exception and found == STRONG else found
+
+
+def evaluate(postfix: list[str]) -> tuple[int, set[str]]:
+    """The choice with the fewest obligations that a licence expression leaves: its terms, and its licences.
+
+    ``or`` takes the side with the better terms, then the one with fewer
+    licences, then the one that sorts first; under ``and`` both sides hold, and
+    the worse terms count.  So an expression of any size is evaluated without
+    its choices, which multiply: each licence is held once.
+    """
+    stack: list[tuple[int, set[str]]] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append([frozenset([token])])
+            stack.append((terms_of(token), {token}))
             continue
-        b, a = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append([*a, *(x for x in b if x not in a)])
-        elif token == "and":
-            stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+        (t, b), (s, a) = stack.pop(), stack.pop()
+        if token == "with" and min(len(a), len(b)) == 1:
+            joined = {f"{x} with {y}" for x in a for y in b}
+            stack.append((min(map(terms_of, joined)), joined))
+        elif token == "or":
+            first = s > t if s != t else len(a) < len(b) if len(a) != len(b) else sorted(a) <= sorted(b)
+            stack.append((s, a) if first else (t, b))
         else:
-            stack.append([frozenset(f"{i} with {j}" for i in x for j in y) for x in a for y in b])
-    return stack[0] if stack else []
+            small, large = sorted((a, b), key=len)
+            large |= small
+            stack.append((min(s, t), large))
+    return stack[0] if stack else (UNKNOWN, set())
 
 
 def labels_of(postfix: list[str]) -> set[str]:
@@ -145,32 +172,37 @@ def scan(raw: bytes, finder: ahocorasick.Automaton) -> dict:
     base = [(at, p) for at, p in places if p in BASE]
     labels = {BASE[p] for _, p in base} | {NOTICES[p][0] for _, p in places if p in NOTICES}
     scores = [BASE_SCORE for _ in base[:1]] + [NOTICES[p][1] for _, p in places if p in NOTICES]
-    expressions = []
+    expressions, choices = [], []
     if any(p == TAG for _, p in places):
         for m in _TAG_LINE.finditer(raw.lower()):
             postfix = to_postfix(m[1].decode("utf-8", "replace"))
             if postfix:
+                terms, choice = evaluate(postfix)
                 expressions.append(" ".join(postfix))
-                labels |= labels_of(postfix)
-                scores.append(EXPRESSION_SCORE)
+                choices.append(" and ".join(sorted(choice)))
+                labels |= labels_of(postfix) | {TERMS[terms]}
+                scores.append(EXPRESSION_SCORE - UNKNOWN_LOSS * any(terms_of(x) == UNKNOWN for x in choice))
     return {
         "n_words": len(words), "n_base": len(base), "first_word": min((at for at, _ in base), default=None), "last_word": max((at for at, _ in base), default=None),
-        "base_labels": sorted({BASE[p] for _, p in base}), "labels": sorted(labels), "expressions": expressions, "score": max(scores, default=0.0),
+        "base_labels": sorted({BASE[p] for _, p in base}), "labels": sorted(labels), "expressions": expressions, "choices": choices, "score": max(scores, default=0.0),
     }
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, n_words long, n_base long, first_word, last_word long, base_labels, labels, expressions array<string>, score double.
+    """Per row of ``docs``: key, n_words long, n_base long, first_word, last_word long, base_labels, labels, expressions, choices array<string>, score double.
 
     ``n_base`` counts the places of the base phrases, overlapping ones too;
     first_word and last_word are their smallest and largest start.  ``labels``
     also has those of the notices and expressions found; ``expressions`` are
-    in postfix order.  The score is the strongest evidence's, 0 without any.
+    in postfix order, and ``choices`` what each leaves with the fewest
+    obligations, whose terms are a label, too.  The score is the strongest
+    evidence's, 0 without any; an expression's is less if the terms of its
+    choice are unknown.
     A null text is empty.  Rows stay where they are: nothing is shuffled.
     """
     narrow = docs.select(key, F.col(text).alias("_text"))
     listed = pa.list_(pa.string())
-    found_schema = pa.schema([*((c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", listed), ("labels", listed), ("expressions", listed), ("score", pa.float64())])
+    found_schema = pa.schema([*((c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", listed), ("labels", listed), ("expressions", listed), ("choices", listed), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = automaton()
@@ -179,4 +211,4 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=[key, *found_schema.names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, expressions array<string>, score double")
+    return narrow.mapInArrow(run, f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, expressions array<string>, choices array<string>, score double")

@@ -130,7 +130,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")})
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")} | {"choices": F.array_join("choices", "; ")})
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -111,11 +111,50 @@ def test_shunting_yard(text, postfix):
     assert licenses.to_postfix(text) == postfix
 
 
+def all_choices(postfix):
+    """Every choice of an expression, by multiplying out."""
+    stack = []
+    for token in postfix:
+        if token not in licenses.PRECEDENCE:
+            stack.append([frozenset([token])])
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "or":
+            stack.append([*a, *(x for x in b if x not in a)])
+        elif token == "and":
+            stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+        else:
+            stack.append([frozenset(f"{i} with {j}" for i in x for j in y) for x in a for y in b])
+    return stack[0] if stack else []
+
+
 def test_expressions():
-    choices = licenses.evaluate(licenses.to_postfix("(a or b) and c with d"))
-    assert choices == [frozenset({"a", "c with d"}), frozenset({"b", "c with d"})]
     got = licenses.scan(b"// SPDX-License-Identifier: MIT OR (GPL-2.0-only AND Zlib)\nint x;", licenses.automaton())
-    assert got["labels"] == ["gpl-2.0-only", "mit", "zlib"] and got["score"] == 1.0 and got["n_base"] == 0
+    assert got["labels"] == ["gpl-2.0-only", "mit", "permissive", "zlib"] and got["choices"] == ["mit"] and got["score"] == 1.0 and got["n_base"] == 0
+    both = licenses.scan(b"SPDX-License-Identifier: MIT AND GPL-2.0-only", licenses.automaton())
+    assert both["labels"] == ["gpl-2.0-only", "mit", "strong-copyleft"] and both["choices"] == ["gpl-2.0-only and mit"]
+    odd = licenses.scan(b"SPDX-License-Identifier: Foo-1.0 OR GPL-3.0-only WITH GCC-exception-3.1", licenses.automaton())
+    assert odd["choices"] == ["gpl-3.0-only with gcc-exception-3.1"] and "weak-copyleft" in odd["labels"] and odd["score"] == 1.0
+    assert licenses.scan(b"SPDX-License-Identifier: Foo-1.0", licenses.automaton())["score"] == 0.9
+
+
+def test_evaluation_finds_the_best_of_all_choices():
+    rng = random.Random(11)
+    names = ["mit", "isc", "gpl-2.0", "lgpl-2.1", "foo", "agpl-3.0", "mpl-2.0", "bsd-3-clause"]
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice([rng.choice(names), f"{rng.choice(names)} with classpath-exception-2.0"])
+        return f"({expression(depth - 1)}) {rng.choice(['and', 'or'])} ({expression(depth - 1)})"
+
+    for _ in range(300):
+        postfix = licenses.to_postfix(expression(rng.randint(0, 4)))
+        terms, choice = licenses.evaluate(postfix)
+        worst = lambda c: min(map(licenses.terms_of, c))
+        every = all_choices(postfix)
+        assert frozenset(choice) in every and terms == worst(choice) == max(map(worst, every))
+    long = licenses.to_postfix(" and ".join(f"({a} or gpl-2.0)" for a in [f"bsd-{n}" for n in range(20_000)]))
+    assert licenses.evaluate(long)[0] == licenses.PERMISSIVE and len(licenses.evaluate(long)[1]) == 20_000
 
 
 @pytest.mark.parametrize("text, expressions", [
@@ -130,10 +169,10 @@ def test_every_tag_of_a_line_is_parsed(text, expressions):
 def test_labels_of_long_expressions():
     many = [f"l{i}" for i in range(40)]
     got = licenses.scan(f"SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 AND ({' OR '.join(many)}) AND ({' OR '.join(many)})".encode(), licenses.automaton())
-    assert got["labels"] == sorted(["gpl-2.0 with classpath-exception-2.0", *many])
+    assert got["labels"] == sorted(["gpl-2.0 with classpath-exception-2.0", "unknown-terms", *many])
     for text in ("a", "a or b and c with d", "(a or b) with c and a", "a with (b or c)", "(a or b) and (c or a with d)", "a with b with c"):
         postfix = licenses.to_postfix(text)
-        assert licenses.labels_of(postfix) == {x for choice in licenses.evaluate(postfix) for x in choice}
+        assert licenses.labels_of(postfix) == {x for choice in all_choices(postfix) for x in choice}
 
 
 def plain_labels(text):
@@ -145,7 +184,9 @@ def plain_labels(text):
     labels |= {v for p, (v, _) in licenses.NOTICES.items() if at(p)}
     for found in re.findall(r"SPDX-License-Identifier: ([A-Za-z0-9.+-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+-]+)*)", text or ""):
         terms = found.split(" ")
-        score = 1.0
+        worst, chosen = max(((min(map(licenses.terms_of, c)), -len(c), [-ord(x) for x in "".join(sorted(c))], c) for c in all_choices(licenses.to_postfix(found))), key=lambda x: x[:3])[::3]
+        labels.add(licenses.TERMS[worst])
+        score = max(score, 0.9 if any(licenses.terms_of(x) == licenses.UNKNOWN for x in chosen) else 1.0)
         i = 0
         while i < len(terms):
             if i + 2 < len(terms) and terms[i + 1] == "WITH":
