@@ -101,6 +101,16 @@ def running_totals(df: DataFrame, group: list[str], bucket: str, order: list[str
     return inner.join(base, keys).withColumn(into, F.col("_base") + F.col("_within")).drop("_base", "_within")
 
 
+def copies(df: DataFrame, number: str, at: str, together: int = 100_000) -> DataFrame:
+    """Each row as often as ``number`` says, with ``at`` from 0; a row that stands very often is dealt to many tasks."""
+    one = df.filter(F.col(number) == 1).withColumn(at, F.lit(0).cast("long"))
+    some = df.filter((F.col(number) > 1) & (F.col(number) <= together)).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1)))
+    many = df.filter(F.col(number) > together).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(number) - 1) / together)))).repartition("_part")
+    first = F.col("_part") * together
+    many = many.withColumn(at, F.explode(F.sequence(first, F.least(first + together, F.col(number)) - 1))).drop("_part")
+    return one.unionByName(some).unionByName(many)
+
+
 _kept: list[tuple[object, object]] = []
 
 

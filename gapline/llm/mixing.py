@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, key_digest, merged, row_digest, running_totals
+from .common import broadcast_if_small, copies, cut, key_digest, merged, row_digest, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 Knots = list[tuple[float, float]]
@@ -65,7 +65,7 @@ def source_targets(sized: DataFrame, max_passes: int, schedule: Callable[[Column
     windows see one row per source.
     """
     by_rank = Window.orderBy("_null", "_source")
-    sources = sized.groupBy("_null", "_source").agg(F.sum("size").alias("source_size"))
+    sources = sized.groupBy("_null", "_source").agg(F.sum("_all").alias("source_size"))
     sources = sources.withColumn("_pieces", _pieces(schedule(F.row_number().over(by_rank) - 1)))
     sources = sources.withColumn("_weight", F.aggregate("_pieces", F.lit(0.0), lambda s, p: s + p["area"]))
     sources = sources.withColumn("_cap", F.col("source_size") * F.lit(float(max_passes)))
@@ -96,15 +96,19 @@ def mix(docs: DataFrame, max_passes: int = 3, whole: bool = False, schedule: Cal
     words and is never taken; null is a source of its own.  Ties in the
     random order are broken by key, size; repeated rows count as documents.
     Nothing is grouped by source alone: running totals are by (source, 1/4096
-    of the documents).
+    of the documents), over rows that agree in key, source and size as one, so
+    that of one key, null included, there are no more than there are sizes.
+    Only the windows of ``source_targets`` are whole, over a row a source.
     """
     sized = merged(docs).select(
         F.col(key).alias("_key"), F.col(source).isNull().alias("_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         word_count(text).alias("size"), key_digest(key).alias("_digest"),
     )
-    sized = cut(sized.withColumn("_bucket", F.substring("_digest", 1, 3)))
+    sized = sized.groupBy("_key", "_null", "_source", "size", "_digest").agg(F.count("*").alias("_n"))
+    sized = cut(sized.withColumns({"_bucket": F.substring("_digest", 1, 3), "_all": F.col("size") * F.col("_n")}))
     targets = source_targets(sized, max_passes, schedule)
-    rows = running_totals(sized, ["_null", "_source"], "_bucket", ["_digest", "_key", "size"], "size", "_from", per_group=targets)
+    rows = copies(running_totals(sized, ["_null", "_source"], "_bucket", ["_digest", "_key", "size"], "_all", "_from", per_group=targets), "_n", "_copy")
+    rows = rows.withColumn("_from", F.col("_from") + F.col("_copy") * F.col("size"))
 
     goal, size = F.floor(F.col("target") + 0.5), F.col("size")
 
@@ -117,7 +121,8 @@ def mix(docs: DataFrame, max_passes: int = 3, whole: bool = False, schedule: Cal
     takes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_passes - 1)), take), lambda x: x["words"] > 0)
     rows = rows.withColumn("takes", takes).withColumn("position", F.get("takes", F.lit(0))["position"])
     #: Documents that are not taken follow, spread over 1..2 so that no task gets them all.
-    rows = rows.withColumn("_sort", F.coalesce("position", F.lit(1.0) + F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") / 4294967296.0))
+    spread = F.pmod(F.xxhash64("_digest", "size", "_copy"), F.lit(1 << 32)).cast("double") / 4294967296.0
+    rows = rows.withColumn("_sort", F.coalesce("position", F.lit(1.0) + spread))
     return rows.orderBy("_sort", "_key").select(
         F.col("_key").alias(key), "size", "source_size", "target", F.aggregate("takes", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("taken"), F.size("takes").alias("passes"), "position", "takes"
     )

@@ -74,7 +74,7 @@ jumped AS (
         'j': CAST(floor((s.j + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(((s.k * 2862933555777941757 + 1) % CAST(18446744073709551616 AS HUGEINT)) // 8589934592 AS DOUBLE) + 1))) AS BIGINT)} END) AS hop
   FROM summed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(hop.b AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY hop.b ORDER BY h[17:32], doc_id, text_crc32, size) - 1 AS slot, CAST(CASE WHEN hop.j = 40 THEN 40 ELSE hop.b END AS INTEGER) AS grown_shard
+       row_number() OVER (PARTITION BY hop.b ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':' || size), doc_id, text_crc32, size) - 1 AS slot, CAST(CASE WHEN hop.j = 40 THEN 40 ELSE hop.b END AS INTEGER) AS grown_shard
 FROM jumped
 """
 

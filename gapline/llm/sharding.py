@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_digest, running_totals
+from .common import copies, cut, key_digest, running_totals
 
 #: Jumps tried at most. They number ln(n) on average; 256 are never reached in practice, and reaching them is an error, not a wrong shard.
 MAX_JUMPS = 256
@@ -42,8 +42,10 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     law, shard int, slot long (gapless from 0 in each shard), grown_shard int
     (with one more shard: unchanged or the new one).  A null key counts as the
     empty string, a null text as no bytes.  Repeated rows share a shard and
-    get slots of their own.  Only narrow rows are shuffled, by (shard, 1/4096
-    of the keys), so a shard of any size is numbered in many tasks.
+    get slots of their own; they are one row until they have them.  Only narrow
+    rows are shuffled, by what they hold and by (shard, 1/4096 of the rows), so
+    a shard, a key or a row that stands any number of times is numbered in many
+    tasks.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
@@ -52,9 +54,11 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
         F.crc32(body).cast("long").alias("text_crc32"),
         key_digest(key).alias("_digest"),
     )
+    same = ["_key", "size", "text_crc32", "_digest"]
+    rows = cut(rows.groupBy(*same).agg(F.count("*").alias("_n")))
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("_key").cast("string"), F.lit("")), "text_crc32", "size"))
     rows = rows.withColumn("_at", jump_shard(F.col("_digest"), shards)).select(
-        "_key", "size", "text_crc32", F.col("_at.shard").alias("shard"), F.col("_at.grown").alias("grown_shard"),
-        F.substring("_digest", 17, 3).alias("_bucket"), F.substring("_digest", 17, 16).alias("_order"), F.lit(1).alias("_one"),
+        "_key", "size", "text_crc32", F.col("_at.shard").alias("shard"), F.col("_at.grown").alias("grown_shard"), order.alias("_order"), F.substring(order, 1, 3).alias("_bucket"), "_n",
     )
-    rows = running_totals(rows, ["shard"], "_bucket", ["_order", "_key", "text_crc32", "size"], "_one", "slot")
-    return rows.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    rows = copies(running_totals(rows, ["shard"], "_bucket", ["_order", "_key", "text_crc32", "size"], "_n", "_from"), "_n", "_copy")
+    return rows.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_from") + F.col("_copy")).cast("long").alias("slot"), "grown_shard")

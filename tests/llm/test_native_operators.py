@@ -188,3 +188,27 @@ def test_escape_is_reversible(spark):
         assert bad.count() == 0
 
     run()
+
+
+def test_rows_that_stand_very_often_are_dealt_out(spark):
+    from gapline.llm import common
+
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 1000), ("d", 7)], "k string, n long")
+    for together in (1, 3, 100, 10_000):
+        got = sorted((r.k, r.i) for r in common.copies(df, "n", "i", together).collect())
+        assert got == [(k, i) for k, n in [("a", 1), ("b", 3), ("c", 1000), ("d", 7)] for i in range(n)]
+    assert common.copies(df.limit(0), "n", "i").count() == 0
+
+
+def test_repeated_rows_and_null_keys_keep_their_places(spark):
+    rows = [(None, f"w {i % 5}", "s") for i in range(600)] + [(7, "a b c", "s")] * 500 + [(i, "x y", "t") for i in range(100)] + [(None, None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt = sharding.assign_shards(docs, 6).collect()
+    assert len(dealt) == len(rows)
+    for shard in {r.shard for r in dealt}:
+        assert sorted(r.slot for r in dealt if r.shard == shard) == list(range(sum(r.shard == shard for r in dealt)))
+    mixed = mixing.mix(docs).collect()
+    assert sorted((str(r.doc_id), r["size"]) for r in mixed) == sorted((str(k), len((t or "").split())) for k, t, _ in rows)
+    for source, words in (("s", 600 * 2 + 500 * 3), ("t", 200)):
+        some = [r for r in mixed if r.source_size == words]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 1 and all(r.taken <= 3 * r["size"] for r in some)
