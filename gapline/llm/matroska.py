@@ -225,6 +225,17 @@ def demux(data: bytes) -> Media:
     return out
 
 
+def parsed(data: bytes) -> tuple[Media, str | None]:
+    """What ``demux`` finds, or nothing and what is wrong with a broken file."""
+    try:
+        media = demux(data)
+        if any(abs(when) >= 1 << 63 or track >= 1 << 63 for track, when, *_ in media.packets):
+            raise ValueError("a time or track is beyond 64 bits")
+        return media, None
+    except (ValueError, IndexError, TypeError, OverflowError, struct.error) as error:
+        return Media(), f"{type(error).__name__}: {error}"
+
+
 def samples(data: bytes, media: Media, track: int = 1) -> bytes:
     """The packets of a track, put together."""
     return b"".join([data[a:b] for t, _, a, b, *_ in media.packets if t == track])
@@ -278,9 +289,10 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text", unit:
 
 
 def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """The packet table of a media column: key, n, track, timestamp_ns, start, end, keyframe, cluster; byte ranges from 0, end open.
+    """The packet table of a media column: key, n, track, timestamp_ns, start, end, keyframe, cluster, error; byte ranges from 0, end open.
 
-    A null file has no packets; a broken one is an error.
+    A null file has no packets; a broken one has a row with nothing but what is
+    wrong with it.
     """
     names = ["track", "timestamp_ns", "start", "end", "keyframe", "cluster"]
     types = [pa.int64()] * 4 + [pa.bool_(), pa.int64()]
@@ -290,30 +302,34 @@ def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for first, n in _slices(sizes):
-                found = [demux(f).packets if f is not None else [] for f in batch.column(1).slice(first, n).to_pylist()]
+                read = [parsed(f) if f is not None else (Media(), None) for f in batch.column(1).slice(first, n).to_pylist()]
+                found = [media.packets if error is None else [(None,) * len(names)] for media, error in read]
                 rows = [p for x in found for p in x]
+                errors = pa.array([error for x, (_, error) in zip(found, read, strict=True) for _ in x], pa.string())
                 keys = batch.column(0).slice(first, n).take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
-                numbers = pa.array([i for x in found for i in range(len(x))], pa.int32())
+                numbers = pa.array([None if error else i for x, (_, error) in zip(found, read, strict=True) for i in range(len(x))], pa.int32())
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([keys, numbers, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "n", *names])
+                yield pa.RecordBatch.from_arrays([keys, numbers, *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), errors], names=[key, "n", *names, "error"])
 
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, n int, track long, timestamp_ns long, start long, end long, keyframe boolean, cluster long")
+    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, n int, track long, timestamp_ns long, start long, end long, keyframe boolean, cluster long, error string")
 
 
 def media_digest(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
-    """Per row of a media table: key, the columns ``keep``, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature, all from the stored bytes; null where there is no file."""
+    """Per row of a media table: key, the columns ``keep``, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature, all from the stored bytes, and error; null where there is no file, and but for the stored form's own columns where it is broken."""
     import hashlib
     import zlib
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 6
-        found = demux(data)
+            return (None,) * 7
+        stored, (found, error) = (len(data), hashlib.sha256(data).hexdigest()), parsed(data)
+        if error is not None:
+            return None, None, None, *stored, None, error
         payload = samples(data, found)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(found, payload)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature(found, payload), None
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     kept = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,4 +341,4 @@ def media_digest(media: DataFrame, key: str = "doc_id", column: str = "media", k
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in batch.columns[:-1]), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept, *names])
 
     schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in kept)
-    return media.select(*kept, column).mapInArrow(run, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(*kept, column).mapInArrow(run, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -141,6 +141,19 @@ def test_matroska_of_odd_rows(spark, odd):
     assert matroska.media_digest(matroska.store_media(odd.limit(0))).count() == 0
 
 
+def test_broken_files_are_told_and_harm_no_other(spark):
+    rng = random.Random(4)
+    good = matroska.mux(rng.randbytes(6400))
+    broken = [good[:n] for n in range(1, len(good), 997)] + [bytes(x ^ (rng.random() < 0.02) * 255 for x in good) for _ in range(40)] + [b"", b"\x01", b"\x1f\x43\xb6\x75"]
+    media = spark.createDataFrame([(n, bytearray(b), len(b)) for n, b in enumerate(broken)] + [(1000, bytearray(good), 6400), (1001, None, 0)], "doc_id long, media binary, n_bytes long")
+    found = {r.doc_id: r for r in matroska.media_digest(media).collect()}
+    assert len(found) == len(broken) + 2 and found[1000].error is None and found[1000].payload_bytes == 6400 and found[1001].media_bytes is None
+    wrong = {k for k, r in found.items() if r.error is not None}
+    assert wrong and all(found[k].feature is None and found[k].media_bytes == len(broken[k]) for k in wrong)
+    packets = matroska.packets(media).collect()
+    assert {r.doc_id for r in packets if r.error is not None} == wrong and all(r.n is None and r.start is None for r in packets if r.error is not None)
+
+
 def test_all_kinds_of_lacing_and_unknown_sizes():
     rng = random.Random(2)
     m = matroska
