@@ -40,3 +40,7 @@ def rows_and_sql(spark, d, name):
 def test_short_titles_are_candidates(spark, tables):
     found = {(r["article"], r["item"]): r["score"] for r in rows_and_sql(spark, tables, "LNK-03_phrase_candidates")}
     assert found[1, OX] == 2 + 90 + 65 and found[2, OX] == 2 + 65 and (5, 10) in found
+
+
+def test_short_titles_win(spark, tables):
+    assert (1, OX) in {(r["article"], r["item"]) for r in rows_and_sql(spark, tables, "LNK-07_winners")}
