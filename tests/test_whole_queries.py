@@ -44,3 +44,8 @@ def test_short_titles_are_candidates(spark, tables):
 
 def test_short_titles_win(spark, tables):
     assert (1, OX) in {(r["article"], r["item"]) for r in rows_and_sql(spark, tables, "LNK-07_winners")}
+
+
+def test_short_titles_are_linked_anew(spark, tables):
+    found = {r["article"]: (r["was"], r["now"], r["change"]) for r in rows_and_sql(spark, tables, "LNK-09_relinked")}
+    assert found[1] == (None, OX, "linked") and found[6] == (6, None, "cleared") and found[9] == (9, None, "cleared")
