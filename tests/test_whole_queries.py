@@ -49,3 +49,7 @@ def test_short_titles_win(spark, tables):
 def test_short_titles_are_linked_anew(spark, tables):
     found = {r["article"]: (r["was"], r["now"], r["change"]) for r in rows_and_sql(spark, tables, "LNK-09_relinked")}
     assert found[1] == (None, OX, "linked") and found[6] == (6, None, "cleared") and found[9] == (9, None, "cleared")
+
+
+def test_short_titles_are_counted(spark, tables):
+    assert {r["item"]: (r["articles"], r["headlines"]) for r in rows_and_sql(spark, tables, "JOI-16_titles_in_articles")}[OX] == (2, 1)
