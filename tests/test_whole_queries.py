@@ -53,3 +53,8 @@ def test_short_titles_are_linked_anew(spark, tables):
 
 def test_short_titles_are_counted(spark, tables):
     assert {r["item"]: (r["articles"], r["headlines"]) for r in rows_and_sql(spark, tables, "JOI-16_titles_in_articles")}[OX] == (2, 1)
+
+
+def test_short_titles_get_flags(spark, tables):
+    found = {(r["article"], r["item"]): r for r in rows_and_sql(spark, tables, "LNK-06_mention_flags")}
+    assert found[5, OX]["sequel"] and found[1, OX]["context"]
