@@ -58,3 +58,8 @@ def test_short_titles_are_counted(spark, tables):
 def test_short_titles_get_flags(spark, tables):
     found = {(r["article"], r["item"]): r for r in rows_and_sql(spark, tables, "LNK-06_mention_flags")}
     assert found[5, OX]["sequel"] and found[1, OX]["context"]
+
+
+def test_short_titles_are_adjusted(spark, tables):
+    found = {(r["article"], r["item"]): r["score"] for r in rows_and_sql(spark, tables, "LNK-05_adjusted_candidates")}
+    assert found[1, OX] == 2 + 90 + 65 + 30 and (5, OX) in found
