@@ -63,3 +63,7 @@ def test_short_titles_get_flags(spark, tables):
 def test_short_titles_are_adjusted(spark, tables):
     found = {(r["article"], r["item"]): r["score"] for r in rows_and_sql(spark, tables, "LNK-05_adjusted_candidates")}
     assert found[1, OX] == 2 + 90 + 65 + 30 and (5, OX) in found
+
+
+def test_short_titles_win_when_adjusted(spark, tables):
+    assert (1, OX) in {(r["article"], r["item"]) for r in rows_and_sql(spark, tables, "LNK-07_adjusted_winners")}
