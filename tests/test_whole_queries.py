@@ -12,6 +12,7 @@ DOCUMENTS = [
     (1, "The ox is slow\nmore of it"), (2, "We go on\nand an ox"), (3, "moon base\nas ever"), (4, "sea and of all ice\nx"), (5, "the moon has a base\nx"), (6, "so or so by it\nx"),
     (9, None), (12, ""), (40, "nothing here\nnothing there"),
 ]
+PARTS = [(i, t, "b", "kind", 1, 2.0) for i, t in enumerate(["hot rod", "red rod", "go on", "iv", "x", "large bolt", "hot rod"])]
 OX = 5
 
 
@@ -19,7 +20,8 @@ OX = 5
 def tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     documents = [(i, text, "en", "web") for i, text in DOCUMENTS]
-    for name, rows, schema in (("benchmark", BENCHMARK, "item_id long, text string"), ("documents", documents, "doc_id long, text string, lang string, source string")):
+    part = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    for name, rows, schema in (("benchmark", BENCHMARK, "item_id long, text string"), ("documents", documents, "doc_id long, text string, lang string, source string"), ("part", PARTS, part)):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
     return d
 
@@ -67,3 +69,8 @@ def test_short_titles_are_adjusted(spark, tables):
 
 def test_short_titles_win_when_adjusted(spark, tables):
     assert (1, OX) in {(r["article"], r["item"]) for r in rows_and_sql(spark, tables, "LNK-07_adjusted_winners")}
+
+
+def test_titles_of_short_words_find_themselves(spark, tables):
+    found = {r["id"]: r["match"] for r in rows_and_sql(spark, tables, "RES-01_best_titles")}
+    assert found == {t: t for t in ("hot rod", "red rod", "go on", "iv", "x", "large bolt")}
