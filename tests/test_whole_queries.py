@@ -74,3 +74,8 @@ def test_short_titles_win_when_adjusted(spark, tables):
 def test_titles_of_short_words_find_themselves(spark, tables):
     found = {r["id"]: r["match"] for r in rows_and_sql(spark, tables, "RES-01_best_titles")}
     assert found == {t: t for t in ("hot rod", "red rod", "go on", "iv", "x", "large bolt")}
+
+
+def test_titles_of_two_or_short_words_are_found_in_order(spark, tables):
+    found = {r["article"]: r["item"] for r in rows_and_sql(spark, tables, "LNK-08_words_in_order")}
+    assert found[5] == 6 and found[4] == 2 and found[6] == 7 and found[2] == 1
