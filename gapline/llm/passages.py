@@ -40,7 +40,9 @@ PASSAGE_WORDS = 20
 #: Whole lines of so many words go wherever they repeat, however short the passage around them; None leaves them to it.
 LINE_WORDS = 8
 UNIT, WHOLE, LINE = 0, 1, 2
-_END = re.compile(rb"\n+|[.!?]+(?=\s)")
+#: Kinds of bytes, by which units are cut; white space last.
+_LETTER, _MARK, _BLANK, _NEWLINE = 0, 1, 2, 3
+_KINDS = np.array([_NEWLINE if c == 10 else _BLANK if c in b" \t\r\f\v" else _MARK if c in b".!?" else _LETTER for c in range(256)], np.uint8)
 #: Letters of scripts that are written without spaces, from kana to Han, by their first bytes.
 _DENSE = re.compile(rb"[\xE3-\xE9][\x80-\xBF]{2}")
 PIECES = "unit int, word int, n_words int, start int, end int, whole boolean, digest long, fresh boolean"
@@ -48,6 +50,8 @@ PIECES = "unit int, word int, n_words int, start int, end int, whole boolean, di
 ANCHOR_WORDS = 8
 #: Bits of the map by which pieces that stand once are left out early.
 MAP_BITS = 1 << 24
+#: Places whose words are sent on at once, about.
+PLACES = 1 << 14
 #: Words hashed at once.
 HASH_WORDS = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,35 +59,48 @@ _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
 
 
 def units_of(raw: bytes, least: int = UNIT_WORDS, line: int | None = LINE_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, words, digest, kind) of the units with at least ``least`` words; offsets in bytes, from the first letter to behind the last.
+    """(start, end, words, digest, kind) of the units with at least ``least`` words, one at least; offsets in bytes, from the first letter to behind the last.
 
     Kinds are UNIT, WHOLE for a unit that is a line of at least ``line`` words,
     and LINE for such a line that has several units, besides these.
     """
-    words, starts = raw.translate(_ALNUM), word_places(raw)[0] if _DENSE.search(raw) else None
-    out: list[tuple[int, int, int, int, int]] = []
-
-    def put(at: int, end: int, kind: int) -> None:
-        found = words[at:end].split()
-        n = len(found) if starts is None else int(np.subtract(*np.searchsorted(starts, [end, at])))
-        if n >= least and (kind != LINE or n >= line):
-            body = raw[at:end]
-            start = at + len(body) - len(body.lstrip())
-            kind = UNIT if kind == WHOLE and n < line else kind
-            out.append((start, at + len(body.rstrip()), n, xxhash.xxh3_64_intdigest(b" ".join(found)), kind))
-
-    begin = at = 0
-    for m in [*_END.finditer(raw), None]:
-        end, ends = (m.end(), raw[m.start()] == 10) if m else (len(raw), True)
-        if not ends and raw[end : end + 1] == b"\n":
-            continue  # the line's end comes next, and ends this unit, too
-        put(at, end, WHOLE if ends and at == begin and line is not None else UNIT)
-        if ends:
-            if at != begin and line is not None:
-                put(begin, end, LINE)
-            begin = end
-        at = end
-    return out
+    return list(zip(*(x.tolist() for x in _units(raw, *word_places(raw), least, line)), strict=True))
+
+
+def _units(raw: bytes, starts: np.ndarray, ends: np.ndarray, least: int, line: int | None) -> list[np.ndarray]:
+    """The columns of ``units_of``, by the places of the text's words."""
+    kinds = _KINDS[np.frombuffer(raw + b"x", np.uint8)]
+    here, after = kinds[:-1], kinds[1:]
+    # Units end behind line ends, and behind marks before other white space; what comes before a line's end goes with it.
+    last = np.append(np.flatnonzero(((here == _NEWLINE) & (after != _NEWLINE)) | ((here == _MARK) & (after == _BLANK))) + 1, len(raw))
+    first = np.concatenate([[0], last[:-1]])
+    closes = np.append(here[last[:-1] - 1] == _NEWLINE, True)
+    # The line's first unit: the one behind the last that closes a line.
+    begins = np.concatenate([[0], np.flatnonzero(closes[:-1]) + 1])
+    begin = first[begins[np.cumsum(closes) - closes]]
+    kind = np.where(closes & (first == begin) & (line is not None), WHOLE, UNIT)
+    several = np.flatnonzero(closes & (first != begin)) if line is not None else first[:0]
+    order = np.argsort(np.concatenate([2 * np.arange(len(last)), 2 * several + 1]), kind="stable")
+    a, b = np.concatenate([first, begin[several]])[order], np.concatenate([last, last[several]])[order]
+    kind = np.concatenate([kind, np.full(len(several), LINE)])[order]
+    w, v = np.searchsorted(starts, a), np.searchsorted(starts, b)
+    n = v - w
+    kept = (n >= max(1, least)) & ((kind != LINE) | (n >= (line or 0)))
+    a, b, n, w, v, kind = a[kept], b[kept], n[kept], w[kept], v[kept], kind[kept]
+    kind[(kind == WHOLE) & (n < (line or 0))] = UNIT
+    ink = np.flatnonzero(here < _BLANK)
+    return [ink[np.searchsorted(ink, a)], ink[np.searchsorted(ink, b) - 1] + 1, n, _unit_digests(raw, a, b, starts, ends, w, v), kind]
+
+
+def _unit_digests(raw: bytes, a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Digests of the words of each stretch from ``a`` to ``b``, which are the words ``w`` to ``v``, joined by single spaces."""
+    words = raw.translate(_ALNUM)
+    joined, at = b" ".join(words.split()), np.append(0, np.cumsum(ends - starts + 1))
+    if at[-1] == len(joined) + 1:
+        of = [joined[i:j] for i, j in zip(at[w].tolist(), (at[v] - 1).tolist(), strict=True)]
+    else:  # some of these words have no space between them
+        of = [b" ".join(words[i:j].split()) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in of], np.uint64)
 
 
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +155,8 @@ def anchors_of(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]
     runs, wide = _run_digests(words, n), passage - n + 1
     if len(runs) < wide:
         return np.empty(0, np.int64), runs[:0]
-    least = np.pad(_sliding(np.minimum, runs, wide), wide - 1)  # zero is no stretch's
+    none = np.zeros(wide - 1, np.uint64)  # zero is no stretch's
+    least = np.concatenate([none, _sliding(np.minimum, runs, wide), none])
     at = np.flatnonzero(_sliding(np.maximum, least, wide) == runs)  # an anchor is the greatest of its stretches' least ones
     return at, runs[at]
 
@@ -151,8 +169,7 @@ def _code_points(raw: bytes) -> np.ndarray | None:
 def pieces_of(raw: bytes, least: int = UNIT_WORDS, passage: int | None = PASSAGE_WORDS, line: int | None = LINE_WORDS) -> list[np.ndarray]:
     """unit (its number; -1 for an anchor, -2 for a line of several), word (words before it), n_words, start, end (code points), whole, digest, fresh (first of its digest in the text); without ``passage`` no anchors."""
     starts, ends = word_places(raw)
-    units = units_of(raw, least, line)
-    a, b, n, digest, kinds = (np.array(x, np.uint64 if i == 3 else np.int64) for i, x in enumerate(zip(*units, strict=True))) if units else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
+    a, b, n, digest, kinds = _units(raw, starts, ends, least, line)
     word, unit, whole = np.searchsorted(starts, a), np.where(kinds == LINE, -2, np.cumsum(kinds != LINE) - 1), kinds != UNIT
     if passage and len(starts) >= passage:
         at, found = anchors_of(_word_digests(raw, starts, ends), passage)
@@ -283,23 +300,37 @@ def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, key: str, text: st
     kind = docs.schema[key].dataType.simpleString()
     names = ["_key", "word", "side", "digests", "places"]
 
+    def around(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends = word_places(raw)
+        word, side, step = at >> 1, at & 1, np.arange(reach)
+        every = np.where(side[:, None] == 0, word[:, None] - 1 - step, word[:, None] + step)
+        good = (every >= 0) & (every < len(starts))
+        size, where = good.sum(axis=1), every[good]
+        asked, place = np.unique(where, return_inverse=True)
+        starts, ends = starts[asked], ends[asked]
+        digests = _word_digests(raw, starts, ends).view(np.int64) if len(asked) else np.empty(0, np.int64)
+        if (before := _code_points(raw)) is not None:
+            starts, ends = before[starts], before[ends]
+        return size, digests[place], np.where(np.repeat(side, size) == 0, starts[place], ends[place])
+
+    def sent(keys: pa.Array, of: list[tuple]) -> pa.RecordBatch:
+        numbers, at, sizes, digests, places = (np.concatenate(c) for c in zip(*of, strict=True))
+        offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(digests)), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32))))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(numbers)), pa.array((at >> 1).astype(np.int32)), pa.array((at & 1).astype(np.int32)), *lists], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            of, size = [], 0
             for i, raw in enumerate(utf8(batch.column(1))):
-                starts, ends = word_places(raw)
-                digests = _word_digests(raw, starts, ends).view(np.int64) if len(starts) else np.empty(0, np.int64)
-                if (before := _code_points(raw)) is not None:
-                    starts, ends = before[starts], before[ends]
                 at = batch.column(2)[i].values.to_numpy()
-                word, side = at >> 1, at & 1
-                step = np.arange(reach)
-                every = np.where(side[:, None] == 0, word[:, None] - 1 - step, word[:, None] + step)
-                good = (every >= 0) & (every < len(starts))
-                where = every[good]
-                places = np.where(np.repeat(side, good.sum(axis=1)) == 0, starts[where], ends[where]) if len(starts) else np.empty(0, np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(good.sum(axis=1))]), pa.int32())
-                keys = batch.column(0).take(pa.array(np.full(len(word), i)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(word, pa.int32()), pa.array(side, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(digests[where])), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))], names=names)
+                of.append((np.full(len(at), i), at, *around(raw, at)))
+                size += len(at)
+                if size >= PLACES:
+                    yield sent(batch.column(0), of)
+                    of, size = [], 0
+            if of:
+                yield sent(batch.column(0), of)
 
     size, rows = wanted.agg(F.sum(F.size("_at")), F.count("*")).first()
     small = F.broadcast(wanted) if (size or 0) * 8 + rows * 96 <= BROADCAST_BYTES else wanted  # else both sides are shuffled

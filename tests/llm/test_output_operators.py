@@ -568,6 +568,47 @@ def test_digests_are_of_normalised_words():
     assert passages.units_of(raw)[0][3] == xxhash.xxh3_64_intdigest(b"ab cd ef gh")
 
 
+def plain_units(raw, least, line):
+    """Units cut by a regular expression, one after the other."""
+    out, begin, at = [], 0, 0
+    for m in [*re.finditer(rb"\n+|[.!?]+(?=\s)", raw), None]:
+        end, ends = (m.end(), m.group()[:1] == b"\n") if m else (len(raw), True)
+        if not ends and raw[end : end + 1] == b"\n":
+            continue
+        whole = ends and at == begin and line is not None
+        for a, kind in [(at, passages.WHOLE if whole else passages.UNIT)] + ([(begin, passages.LINE)] if ends and at != begin and line is not None else []):
+            body, n = raw[a:end], len(passages.word_places(raw[a:end])[0])
+            if n >= least and (kind != passages.LINE or n >= line):
+                digest = xxhash.xxh3_64_intdigest(b" ".join(body.translate(passages._ALNUM).split()))
+                out.append((a + len(body) - len(body.lstrip()), a + len(body.rstrip()), n, digest, passages.UNIT if kind == passages.WHOLE and n < line else kind))
+        begin, at = end if ends else begin, end
+    return out
+
+
+def test_units_are_those_of_a_regular_expression():
+    rng = random.Random(12)
+    parts = ["a", "b1", " ", "  ", "\n", "\n\n", ".", "...", "! ", "?", "\t", "\r\n", "\x0b", "\x1c", "é", "日", "本語", "\x00", "ab cd ef gh ij kl mn op "]
+    for _ in range(1500):
+        raw = "".join(rng.choices(parts, k=rng.choice([0, 1, 3, 10, 60]))).encode()
+        for least, line in ((4, 8), (1, 2), (1, None)):
+            assert passages.units_of(raw, least, line) == plain_units(raw, least, line)
+
+
+def test_words_around_places(spark):
+    text = "One two, drei 日本 (five) six. " * 3
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x y")], "doc_id int, text string")
+    wanted = spark.createDataFrame([(1, [2 * w + s for w in (0, 3, 20, 21) for s in (0, 1)]), (2, [0, 1]), (3, [3])], "_key int, _at array<long>")
+    found = {(r._key, r.word, r.side): (r.digests, r.places) for r in passages._contexts(docs, wanted, 4, "doc_id", "text").collect()}
+    assert len(found) == 11 and found[2, 0, 0] == found[2, 0, 1] == ([], [])
+    raw = text.encode()
+    start, end = passages.word_places(raw)
+    digests = passages._word_digests(raw, start, end).view(np.int64).tolist()
+    start, end = (passages._code_points(raw)[x].tolist() for x in (start, end))
+    for w in (0, 3, 20, 21):
+        assert found[1, w, 0] == (digests[max(0, w - 4) : w][::-1], start[max(0, w - 4) : w][::-1]) and found[1, w, 1] == (digests[w : w + 4], end[w : w + 4])
+    assert found[3, 1, 1][1] == [3]
+
+
 # --- stored media, read by another reader
 
 
