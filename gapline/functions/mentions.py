@@ -36,7 +36,7 @@ def places(text: Column, title: Column) -> Column:
     """Where a title's words stand next to each other, from 1."""
     n = F.size(title)
     fits = (F.size(text) >= n) & (n > 0)
-    return F.when(fits, F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(text) - n + 1)), lambda i: F.slice(text, i, n) == title)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.when(fits, F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(text) - n + 1)), lambda i: (F.get(text, i - 1) == F.get(title, F.lit(0))) & (F.slice(text, i, n) == title))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def _at(text: Column, i: Column) -> Column:
