@@ -36,7 +36,13 @@ def places(text: Column, title: Column) -> Column:
     """Where a title's words stand next to each other, from 1."""
     n = F.size(title)
     fits = (F.size(text) >= n) & (n > 0)
-    return F.when(fits, F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(text) - n + 1)), lambda i: (F.get(text, i - 1) == F.get(title, F.lit(0))) & (F.slice(text, i, n) == title))).otherwise(F.expr("cast(array() as array<int>)"))
+    first = let(F.get(title, F.lit(0)), lambda w: spots(text, w))
+    return F.when(fits, F.filter(first, lambda i: (n == 1) | (F.slice(text, i, n) == title))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def spots(text: Column, word: Column) -> Column:
+    """Where a word stands, from 1."""
+    return F.coalesce(F.array_compact(F.transform(text, lambda w, i: F.when(w == word, i + 1))), F.expr("cast(array() as array<int>)"))
 
 
 def _at(text: Column, i: Column) -> Column:
@@ -48,13 +54,19 @@ def sequel_follows(text: Column, title: Column) -> Column:
     return F.exists(places(text, title), lambda i: _at(text, i + F.size(title)).rlike(_SEQUEL))
 
 
+def numbered(text: Column) -> Column:
+    """The words that a sequel's number stands behind; only titles that end with one of them are followed by one."""
+    return F.array_distinct(F.filter(text, lambda _, i: _at(text, i + 2).isin(*map(str, range(2, 21)))))
+
+
 def only_referred_to(text: Column, title: Column) -> Column:
     """Whether every place of a title of several words is a comparison with it."""
     def referred(i: Column) -> Column:
         before = F.array_join(F.slice(text, F.greatest(F.lit(1), i - 3), F.least(i - 1, F.lit(3))), " ")
         return _at(text, i + F.size(title)).isin(*REFERENCE_SUFFIX) | ((i > 1) & _at(text, i - 1).isin(*REFERENCE_PREFIX)) | before.rlike(f"(^| )({'|'.join(REFERENCE_PHRASES)})$")
 
-    return let(places(text, title), lambda found: (F.size(title) >= 2) & (F.size(found) > 0) & F.forall(found, referred))
+    # Titles of one word, which are most, are not looked for.
+    return F.when(F.size(title) >= 2, let(places(text, title), lambda found: (F.size(found) > 0) & F.forall(found, referred))).otherwise(False)
 
 
 def primary_word(title: Column, stop: list[str]) -> Column:
@@ -84,32 +96,32 @@ def risky(title: Column, common: list[str], stop: list[str]) -> Column:
     return F.coalesce(let(F.filter(title, lambda w: ~w.isin(*stop)), judged), F.lit(False))
 
 
-def near_context(text: Column, word: Column, context: list[str]) -> Column:
-    """Whether a telling word or a number stands within NEAR words of ``word``, where no preposition touches it."""
+def near_context(text: Column, word: Column, context: list[str], at: Column | None = None) -> Column:
+    """Whether a telling word or a number stands within NEAR words of ``word``, where no preposition touches it; ``at`` are its spots, if known."""
     def telling(i: Column) -> Column:
         around = F.concat(F.slice(text, F.greatest(F.lit(1), i - NEAR), F.least(i - 1, F.lit(NEAR))), F.slice(text, i + 1, F.lit(NEAR)))
         touched = _at(text, i - 1).isin(*PREPOSITIONS) & (i > 1) | _at(text, i + 1).isin(*PREPOSITIONS)
         return ~touched & F.exists(around, lambda w: w.isin(*context) | w.rlike(_NUMERAL))
 
-    return F.exists(places(text, F.array(word)), telling)
+    return F.exists(spots(text, word) if at is None else at, telling)
 
 
-def other_word_before(text: Column, word: Column, allowed: list[str]) -> Column:
-    """Whether ``word`` somewhere ends a longer phrase: a word that isn't ``allowed``, nor a number, stands before it."""
-    return F.exists(places(text, F.array(word)), lambda i: (i > 1) & ~_at(text, i - 1).isin(*allowed) & ~_at(text, i - 1).rlike(_NUMERAL))
+def other_word_before(text: Column, word: Column, allowed: list[str], at: Column | None = None) -> Column:
+    """Whether ``word`` somewhere ends a longer phrase: a word that isn't ``allowed``, nor a number, stands before it; ``at`` are its spots, if known."""
+    return F.exists(spots(text, word) if at is None else at, lambda i: (i > 1) & ~_at(text, i - 1).isin(*allowed) & ~_at(text, i - 1).rlike(_NUMERAL))
 
 
 def generic_lead(text: Column, word: Column, followups: list[str]) -> Column:
     return (F.size(text) >= 2) & (_at(text, F.lit(1)) == word) & _at(text, F.lit(2)).isin(*followups)
 
 
-def adjustment(text: Column, title: Column, primary: Column, is_ambiguous: Column, is_risky: Column, lists: dict[str, list[str]], headline: bool) -> Column:
-    """What a headline's or description's flags add to a candidate's score."""
+def adjustment(text: Column, title: Column, primary: Column, is_ambiguous: Column, is_risky: Column, lists: dict[str, list[str]], headline: bool, followed: Column, at: Column) -> Column:
+    """What a headline's or description's flags add to a candidate's score; ``followed`` are the text's ``numbered`` words, ``at`` an ambiguous title's spots of ``primary``."""
     a, b, c, d, e = (-130, -140, 25, -130, -140) if headline else (-100, -110, 15, 0, -110)
-    numbered = F.element_at(title, -1).rlike(_SEQUEL)
-    sequel = F.when(sequel_follows(text, title), F.when(numbered, c).otherwise(b)).otherwise(0)
+    last = F.get(title, F.size(title) - 1)
+    sequel = F.when(F.array_contains(followed, last) & sequel_follows(text, title), F.when(last.rlike(_SEQUEL), c).otherwise(b)).otherwise(0)
     lead = F.when(is_ambiguous & generic_lead(text, primary, lists["followups"]) & primary.isin(*lists["common"]), d).otherwise(0)
-    phrase = F.when(is_ambiguous & is_risky & other_word_before(text, primary, [*lists["stop"], *PREPOSITIONS, *lists["followups"], *lists["context"]]), e).otherwise(0)
+    phrase = F.when(is_ambiguous & is_risky & other_word_before(text, primary, [*lists["stop"], *PREPOSITIONS, *lists["followups"], *lists["context"]], at), e).otherwise(0)
     return F.when(only_referred_to(text, title), a).otherwise(0) + sequel + lead + phrase
 
 

@@ -1,11 +1,14 @@
 """Linking and resolving queries on small tables of their own: what a shorter job would leave out is found."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gapline import plans
+from gapline.functions import mentions
 
 BENCHMARK = [(5, "Ox carts of old"), (10, "a new one"), (1, "go on then"), (6, "moon base again"), (2, "sea of ice melts"), (7, "or by it so"), (15, None), (20, "")]
 DOCUMENTS = [
@@ -79,3 +82,20 @@ def test_titles_of_short_words_find_themselves(spark, tables):
 def test_titles_of_two_or_short_words_are_found_in_order(spark, tables):
     found = {r["article"]: r["item"] for r in rows_and_sql(spark, tables, "LNK-08_words_in_order")}
     assert found[5] == 6 and found[4] == 2 and found[6] == 7 and found[2] == 1
+
+
+def test_places_of_titles_are_those_of_plain_python(spark):
+    """What is worked out once for all flags, on texts of few words, so that titles overlap, end texts and repeat."""
+    rng = random.Random(5)
+    some = lambda least, most: rng.choices(["a", "b", "2", "20", "21", "0", "x"], k=rng.randint(least, most))
+    rows = [(i, some(0, 9), some(0, 3), rng.choice(["a", "b", "2", None])) for i in range(400)] + [(400, None, ["a"], "a"), (401, ["a"], None, "a")]
+    x, t, w = F.col("x"), F.col("t"), F.col("w")
+    found = spark.createDataFrame(rows, "i int, x array<string>, t array<string>, w string").select("i", mentions.places(x, t).alias("places"), mentions.spots(x, w).alias("spots"), mentions.numbered(x).alias("numbered"), mentions.sequel_follows(x, t).alias("sequel"))
+    found = {r.i: r for r in found.collect()}
+    for i, text, title, word in rows[:400]:
+        n = len(title)
+        places = [k + 1 for k in range(len(text) - n + 1) if n and text[k : k + n] == title]
+        assert found[i].places == places and found[i].spots == [k + 1 for k, v in enumerate(text) if v == word]
+        assert found[i].numbered == list(dict.fromkeys(v for v, after in zip(text, text[1:]) if after in ("2", "20")))
+        assert found[i].sequel == any(text[k - 1 + n : k + n] in (["2"], ["20"]) for k in places) and (not found[i].sequel or title[-1] in found[i].numbered)
+    assert found[400].places == found[400].spots == found[401].places == []
