@@ -99,13 +99,14 @@ def _attributes(text: str, at: int) -> tuple[int, dict[str, str]]:
     return size, out
 
 
-def elements(text: str | None) -> list[list]:
+def elements(text: str | None, entities: list[str] | None = None) -> list[list]:
     """The elements of a page in order, as SCHEMA has them.
 
     ``text`` is what stands in the element itself, not in those within it,
     with single spaces; ``begin`` is where its tag begins and ``end`` where the
     element ends.  End tags without a beginning are ignored; elements that
-    aren't ended end with the one around them.
+    aren't ended end with the one around them.  Of ``entities`` (name, sign,
+    name, sign, ...) only those are read in texts, in that order.
     """
     out: list[list] = []
     open_: list[int] = []
@@ -115,12 +116,19 @@ def elements(text: str | None) -> list[list]:
         while len(open_) > down_to:
             out[open_.pop()][8] = at
 
+    def read(piece: str) -> str:
+        if entities is None:
+            return html.unescape(piece)
+        for name, sign in zip(entities[::2], entities[1::2], strict=True):
+            piece = piece.replace(name, sign)
+        return piece
+
     for token in tokens(text or ""):
         kind, begin, end = token[:3]
         if kind in ("text", "raw"):
             if open_:
                 piece = text[begin:end]
-                said[open_[-1]].append(piece if kind == "raw" else html.unescape(piece))
+                said[open_[-1]].append(piece if kind == "raw" else read(piece))
         elif kind == "start":
             tag = token[3]
             if tag in ENDS_ITSELF:
@@ -152,14 +160,18 @@ def elements(text: str | None) -> list[list]:
 class HtmlElements:
     """``html_elements(html)`` as a table function: a row an element."""
 
-    def eval(self, page: str):
-        for row in elements(page):
+    def eval(self, page: str, entities: list[str] | None = None):
+        for row in elements(page, entities):
             yield tuple(row)
 
 
-def page_elements(pages: DataFrame, key: str, page: str) -> DataFrame:
-    """key and SCHEMA: the elements of each page, in the page's own order by ``n``; a page that is null or has none has no row."""
-    return pages.select(key, F.col(page).alias("_page")).lateralJoin(HtmlElements(F.col("_page").outer())).drop("_page")
+def page_elements(pages: DataFrame, key: str, page: str, entities: list[tuple[str, str]] | None = None) -> DataFrame:
+    """key and SCHEMA: the elements of each page, in the page's own order by ``n``; a page that is null or has none has no row.
+
+    In texts all entities are read, or just ``entities`` (name, sign), one after the other.
+    """
+    told = [] if entities is None else [F.array(*[F.lit(x) for one in entities for x in one])]
+    return pages.select(key, F.col(page).alias("_page")).lateralJoin(HtmlElements(F.col("_page").outer(), *told)).drop("_page")
 
 
 def heads(found: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,9 @@
 import html.parser
 import random
 
+import duckdb
+
+from gapline import plans
 from gapline.sources import markup
 
 SF = "/root/testdata/sf0.01"
@@ -79,3 +82,12 @@ def test_table_function_and_what_is_read_from_it(spark):
     assert sorted(map(tuple, markup.review_summary(found, "id").collect())) == [(1, 1250, 1162, 88), (4, 10, 0, 10)]
     spark.udtf.register("html_elements", markup.HtmlElements)
     assert spark.sql("SELECT tag FROM html_elements('<a><b>')").count() == 2
+
+
+def test_heads_read_the_entities_of_their_sql(spark, tmp_path):
+    """Cut and other entities stay as they are; pages without a title or without any element have a row."""
+    rows = [(1, "<title>a &amp;&amp b &quot;c&quot</title><h1>d &amp;lt; &lt;e&#39;&nbsp;f</h1><p>x"), (2, '<html lang="de"><h1> g\n h </h1><a href="x">y</a></html>'), (3, "no tags"), (4, ""), (5, None), (6, '<html lang="">')]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(plans.ORACLE_SQL["SRC-16_page_heads"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'"))
+    found = plans.QUERIES["SRC-16_page_heads"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, found)) == sorted(want.fetchall()) and len(found) == 6
