@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gapline import plans
 from gapline.functions import labels, mentions, titles
 from gapline.operators import linking, relational, similarity, taxonomy
 from gapline.sources import payloads
@@ -165,3 +166,10 @@ def test_words_of_phrases_are_walked_once(spark):
         want = {n for n, p in enumerate(known) if any(text[i : i + len(p)] == p for i in range(len(text)))}
         assert automaton.found(text) == want
     assert phrases.Automaton([]).found(["a"]) == set()
+
+
+@pytest.mark.parametrize("name, most", [("AGG-21_confusion", 1), ("TAX-03_mapped_labels", 1), ("TAX-04_rebuilt", 3), ("TAX-21_preferred", 2)])
+def test_labels_and_evidence_are_made_once(spark, name, most):
+    """Each further use of them in a plan was another scan, with shuffles of its own."""
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Relation [") <= most
