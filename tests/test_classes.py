@@ -12,7 +12,7 @@ from tests.test_whole_queries import rows_and_sql
 #: Few kinds of items, many copies of each; every fiftieth is an anchor.
 KINDS = [("hot rod", "Brand#1", "LARGE", 5, 100.0), ("hot bolt", "Brand#1", "LARGE", 20, 300.0), ("cold rod", "Brand#2", "LARGE", 5, 100.0), ("large bolt", "Brand#2", "ECONOMY", 40, 900.0), ("small anvil", "Brand#2", "ECONOMY", 40, 900.0), ("lone gear", "Brand#3", "PROMO", 1, 1.0)]
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
-QUERIES = ["AGG-22_relationship_confusion", "JOI-08_neighbour_items", "JOI-10_neighbour_kinds", "JOI-15_scored_pairs", "SIM-06_candidate_pools", "SIM-06_vector_pool", "SIM-08_adjusted_scores", "SIM-08_final_scores", "SIM-11_neighbours", "SIM-11_published", "SIM-13_served_neighbours", "SIM-14_explanations", "SRT-05_top_of_all"]
+QUERIES = ["AGG-22_relationship_confusion", "JOI-08_neighbour_items", "JOI-10_neighbour_kinds", "JOI-15_scored_pairs", "SIM-06_candidate_pools", "SIM-06_vector_pool", "SIM-08_adjusted_scores", "SIM-08_final_scores", "SIM-11_neighbours", "SIM-11_published", "SIM-13_served_neighbours", "SIM-14_explanations", "SRT-05_top_of_all", "TAX-26_conditional_relationships", "FN-53_token_scores", "TAX-27_pair_scores"]
 
 
 @pytest.fixture(scope="module")
